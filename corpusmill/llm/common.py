@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,7 @@ def partitions(spark: SparkSession) -> int:
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with their texts (null: empty), about ``limit`` characters each, one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
