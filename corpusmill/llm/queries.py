@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license as licenses
-from . import linededup, pii, quality, sentencepiece, toxicity, urlfilter
+from . import decontaminate, linededup, pii, quality, sentencepiece, toxicity, urlfilter
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -39,5 +43,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op8_quality_rules, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op8_quality_rules, op9_toxicity)}
 ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle()}
