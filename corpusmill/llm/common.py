@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,9 +40,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder."""
+    """Cuts the lineage with a checkpoint in the shared folder.
+
+    The shuffle files of what came before are of no more use then; Spark deletes
+    them when the driver has collected its garbage, which this asks for.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

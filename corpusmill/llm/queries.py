@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license as licenses
-from . import decontaminate, jaccard, linededup, pii, quality, sentencepiece, toxicity, urlfilter
+from . import decontaminate, jaccard, linededup, pii, quality, sentencepiece, suffixes, toxicity, urlfilter
 from .common import table
 
 
@@ -47,5 +47,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle()}
