@@ -219,10 +219,10 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """One row for each document: number of ids, of those that stand for bytes, digests of ids and decoded text, and whether that is the text."""
+def round_trip(docs: DataFrame, model: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """One row for each document: number of ids, of those that stand for bytes, digests of ids and decoded text, and whether that is the text; the ids too if asked for."""
     make = _codec(model)
-    schema = "doc_id long, n_ids long, n_byte_ids long, ids_sha256 string, decoded_sha256 string, same boolean"
+    schema = "doc_id long, n_ids long, n_byte_ids long, ids_sha256 string, decoded_sha256 string, same boolean" + ", ids array<int>" * with_ids
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def work():
@@ -235,6 +235,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             return {
                 "doc_id": C.column(part, "doc_id"), "n_ids": [len(x) for x in ids], "n_byte_ids": [int(np.isin(x, byte_ids).sum()) for x in ids],
                 "ids_sha256": [sha(x.tobytes()) for x in ids], "decoded_sha256": [sha(t.encode()) for t in back], "same": [a == b for a, b in zip(texts, back, strict=True)],
+                "ids": _lists(ids) if with_ids else None,
             }
 
         return each
