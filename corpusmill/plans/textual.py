@@ -1,0 +1,128 @@
+"""Queries on answers: boxes, options, candidates, repair, grading and rewards.
+
+The tables hold no such texts, so rows are made from ids, alike in both engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import grading, scan
+from ..functions import text as T
+from ..operators import reward
+from .curation import docs
+
+
+def _ids(spark, d):
+    return docs(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("s"))
+
+
+def boxed_extract(spark, d):
+    t = F.concat(F.lit("so \\boxed{\\frac{"), "s", F.lit("}{2}} or \\boxed{ a{b{c}} } then \\boxed{open {x}"))
+    b = scan.boxes_udf()(t)
+    return _ids(spark, d).select("doc_id", F.size(b).cast("long").alias("n"), F.array_join(b, "|").alias("boxes"), F.size(T.boxes_shallow(t)).cast("long").alias("n_shallow"))
+
+
+def split_commas(spark, d):
+    parts = scan.split_commas_udf()(F.concat(F.lit('(1, 2], {a, b}, "x, y", '), "s", F.lit(", , z\\, w")))
+    return _ids(spark, d).select("doc_id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+
+
+def box_repair(spark, d):
+    t = F.concat(F.lit("First \\boxed{x"), "s", F.lit("} and \\boxed{{y}}"))
+    return _ids(spark, d).select("doc_id", scan.unbox_udf()(t).alias("unboxed"), scan.drop_last_box_udf()(t).alias("without_last"), F.array_join(scan.last_boxes_udf()(t), "|").alias("last"))
+
+
+def render_targets(spark, d):
+    out = T.render_target(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit(" why "), "s")), F.concat(F.lit("\\boxed{"), "s", F.lit("}")))
+    return _ids(spark, d).select("doc_id", out.alias("target"), T.well_structured(out).alias("ok"), T.reasoning(out).alias("reasoning"))
+
+
+def mcq_letters(spark, d):
+    letter = F.char((F.col("doc_id") % 5).cast("int") + 65)
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("not E. </think> \\boxed{("), letter, F.lit(")}"))).otherwise(F.concat(F.lit("A or B? It is "), letter, F.lit(".")))
+    options = F.array(F.lit("red"), F.lit("$blue$."), F.concat(F.lit("\\text{"), "s", F.lit("}")))
+    return _ids(spark, d).select("doc_id", T.mcq_letter(t).alias("letter"), T.canonical_choice(F.when(F.col("doc_id") % 2 == 0, F.col("s")).otherwise("Blue"), options).alias("choice"), T.options_block(options).alias("block"))
+
+
+def option_parsing(spark, d):
+    t = F.concat(F.lit("Answer Choices: (A) one "), "s", F.lit(" (B) two (C) three"))
+    got = T.inline_options(t)
+    labels = F.transform(got, lambda x: x["label"])
+    return _ids(spark, d).select("doc_id", F.array_join(labels, "").alias("labels"), F.get(got, F.lit(0))["text"].alias("first"), T.labels_continuous(labels).alias("continuous"), T.looks_like_mcq(t, F.col("s")).alias("mcq"), F.array_join(T.split_labelled(F.concat(F.lit("a ) "), "s", F.lit(" , b ) two"))), "|").alias("labelled"))
+
+
+def candidates(spark, d):
+    kind = F.col("doc_id") % 3
+    t = F.when(kind == 0, F.concat(F.lit("The answer is "), "s", F.lit(". So x = 7.\n"))).when(kind == 1, F.concat(F.lit("\\boxed{"), "s", F.lit("}"))).otherwise(F.concat(F.lit("\\boxed{1} \\boxed{"), "s", F.lit("}")))
+    c = T.answer_candidates(t)
+    return _ids(spark, d).select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["mode"], x["candidate"])), "|").alias("candidates"))
+
+
+def repaired_answers(spark, d):
+    none = F.lit(None).cast("array<string>")
+    t = F.concat(F.lit("\\boxed{1} \\boxed{2} \\boxed{"), "s", F.lit("}"))
+    n = (F.col("doc_id") % 4 + 1).cast("int")
+    return _ids(spark, d).select("doc_id", T.repaired_answer(t, n, none).alias("answer"), T.format_ok(F.concat(F.lit("x</think>\\boxed{1,"), "s", F.lit("}")), n, none).alias("format_ok"), F.struct(T.final_answer(F.concat(F.lit(" "), "s", F.lit(" .")))).getField("col1")["answer"].alias("final"))
+
+
+def distill_buckets(spark, d):
+    blanks, options = F.col("doc_id") % 7, F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 11).otherwise(0)
+    text = F.repeat(F.lit("[ANS] "), blanks.cast("int"))
+    bucket = F.when(options >= 7, "mcq10").when(T.count_blanks(text) >= 5, "table_many").when(T.count_blanks(text) > 1, "multi").when((T.count_blanks(text) == 1) & (options == 0), "single")
+    return _ids(spark, d).groupBy(F.coalesce(bucket, F.lit("dropped")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def shortest_traces(spark, d):
+    word = F.lit("step ")
+    traces = F.array(F.concat(F.repeat(word, 60), F.lit("done.")), F.concat(F.repeat(word, (F.col("doc_id") % 40 + 40).cast("int")), F.lit("so")), F.concat(F.lit("<think>"), F.repeat(word, (F.col("doc_id") % 30 + 45).cast("int")), F.lit("end.</think>")))
+    return _ids(spark, d).select("doc_id", T.word_count(T.shortest_clean(traces, 50)).cast("long").alias("words"))
+
+
+def grade_numeric(spark, d):
+    pred, gold = F.concat((F.col("doc_id") * 2).cast("string"), F.lit("/4")), (F.col("doc_id") / 2).cast("string")
+    near = (F.col("doc_id") + 1.004).cast("string")
+    return _ids(spark, d).select("doc_id", grading.same_udf(pred, gold).alias("same"), grading.same_udf(near, F.col("s")).alias("off"), grading.lenient_number(F.concat(F.lit("1,"), F.lpad("s", 6, "0")), F.concat(F.lit("1"), F.lpad("s", 6, "0"))).alias("lenient"), grading.literal_equal(F.concat(F.lit("X "), "s"), F.concat(F.lit("x"), "s")).alias("literal"))
+
+
+def grade_lists(spark, d):
+    return _ids(spark, d).select("doc_id", grading.same_udf(F.concat(F.lit("3, "), "s"), F.concat("s", F.lit(",3"))).alias("any_order"), grading.same_udf(F.concat("s", F.lit(",4")), F.concat("s", F.lit(",5"))).alias("other"), grading.same_udf(F.concat("s", F.lit("x + x^2")), F.concat(F.lit("x(x+"), "s", F.lit(")"))).alias("expression"))
+
+
+def grade_intervals(spark, d):
+    open_, shut = F.concat(F.lit("(-1, "), "s", F.lit("]")), F.concat(F.lit("(-1,"), "s", F.lit(".0]"))
+    return _ids(spark, d).select("doc_id", grading.same_udf(open_, shut).alias("same"), grading.same_udf(open_, F.concat(F.lit("(-1,"), "s", F.lit(")"))).alias("open_end"))
+
+
+def judged_responses(spark, d):
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>a</think>\\boxed{"), "s", F.lit("}"))).otherwise(F.concat(F.lit("x = "), "s", F.lit(".")))
+    got = grading.score_udf(t, F.array("s"), F.lit(None).cast("array<string>"))
+    return _ids(spark, d).select(got.alias("g")).groupBy("g.mode").agg(F.count("*").alias("n"), F.count_if("g.correct").alias("correct"))
+
+
+def reward_table(spark, d):
+    kind = F.col("doc_id") % 5
+    text = F.when(kind == 0, "t</think>\\boxed{5}").when(kind == 1, "\\boxed{5}").when(kind == 2, "\\boxed{} and \\boxed{5}").when(kind == 3, "\\boxed{}").otherwise("none")
+    rows = _ids(spark, d).select("doc_id", text.alias("completion"), (F.col("doc_id") % 2 == 0).alias("correct"), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("n_gold"), F.lit(False).alias("options"))
+    return reward.reward(rows, "completion", "correct", "n_gold", "options").groupBy("shape", "reward").agg(F.count("*").alias("n"))
+
+
+_S = "doc_id::VARCHAR"
+ORACLES = {
+    "boxed_extract": rf"SELECT doc_id, 2::BIGINT AS n, '\frac{{' || {_S} || '}}{{2}}|a{{b{{c}}}}' AS boxes, 1::BIGINT AS n_shallow FROM documents",
+    "split_commas": rf"""SELECT doc_id, 5::BIGINT AS n, '(1, 2]|{{a, b}}|"x, y"|' || {_S} || '|z\, w' AS parts FROM documents""",
+    "box_repair": rf"SELECT doc_id, 'First x' || {_S} || ' and {{y}}' AS unboxed, 'First \boxed{{x' || {_S} || '}} and' AS without_last, 'x' || {_S} || '|{{y}}' AS last FROM documents",
+    "render_targets": rf"SELECT doc_id, '<think>' || chr(10) || r || chr(10) || '</think>' || chr(10) || chr(10) || '\boxed{{' || {_S} || '}}' AS target, true AS ok, r AS reasoning FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{T.DEFAULT_REASONING}' ELSE 'why ' || {_S} END AS r FROM documents)",
+    "mcq_letters": rf"SELECT doc_id, chr((doc_id % 5 + 65)::INT) AS letter, CASE WHEN doc_id % 2 = 0 THEN 'C' ELSE 'B' END AS choice, 'A. red' || chr(10) || 'B. $blue$.' || chr(10) || 'C. \text{{' || {_S} || '}}' AS block FROM documents",
+    "option_parsing": f"SELECT doc_id, 'ABC' AS labels, 'one ' || {_S} AS first, true AS continuous, true AS mcq, {_S} || '|two' AS labelled FROM documents",
+    "candidates": f"SELECT doc_id, [2, 1, 4][doc_id % 3 + 1]::BIGINT AS n, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id = 7 THEN 'x' ELSE 'prose_fallback=' || {_S} || '|prose_fallback=7' END WHEN 1 THEN 'boxed_last=' || {_S} ELSE 'boxed_last=' || {_S} || '|multi_box_join=1, ' || {_S} || '|boxed_each=1|boxed_each=' || {_S} END AS candidates FROM documents",
+    "repaired_answers": f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_S} WHEN 1 THEN '2, ' || {_S} WHEN 2 THEN '1, 2, ' || {_S} ELSE {_S} END AS answer, doc_id % 4 = 1 AS format_ok, {_S} AS final FROM documents",
+    "distill_buckets": "SELECT CASE WHEN o >= 7 THEN 'mcq10' WHEN b >= 5 THEN 'table_many' WHEN b > 1 THEN 'multi' WHEN b = 1 AND o = 0 THEN 'single' ELSE 'dropped' END AS bucket, count(*) AS n FROM (SELECT doc_id % 7 AS b, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 ELSE 0 END AS o FROM documents) GROUP BY 1",
+    "shortest_traces": "SELECT doc_id, CASE WHEN doc_id % 30 >= 4 THEN least(61, doc_id % 30 + 46) ELSE 61 END AS words FROM documents",
+    "grade_numeric": "SELECT doc_id, true AS same, false AS off, true AS lenient, true AS literal FROM documents",
+    "grade_lists": "SELECT doc_id, true AS any_order, false AS other, true AS expression FROM documents",
+    "grade_intervals": "SELECT doc_id, true AS same, false AS open_end FROM documents",
+    "judged_responses": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'strict_correct' ELSE 'prose_fallback' END AS mode, count(*) AS n, count(*) AS correct FROM documents GROUP BY 1",
+    "reward_table": "SELECT shape, round(greatest(-0.5, least(1.0, CASE WHEN k = 3 THEN least(r, -0.3) ELSE r END + CASE WHEN m AND k IN (0, 1, 2) THEN -0.15 ELSE 0 END)), 6) AS reward, count(*) AS n FROM (SELECT doc_id % 5 AS k, doc_id % 3 = 0 AS m, CASE doc_id % 5 WHEN 0 THEN 'ideal_box' WHEN 1 THEN 'usable_bad_format' WHEN 2 THEN 'scattered_box' ELSE 'no_usable_box' END AS shape, CASE WHEN doc_id % 2 = 0 THEN [1.0, 0.5, 0.7, 0.3, 0.3][doc_id % 5 + 1] ELSE [0.1, 0.0, -0.3, -0.2, -0.2][doc_id % 5 + 1] END::DOUBLE AS r FROM documents) GROUP BY 1, 2",
+}
+QUERIES = {name: globals()[name] for name in ORACLES}
