@@ -45,10 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     The shuffle files of what came before are of no more use then; Spark deletes
     them when the driver has collected its garbage, which this asks for.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
+    del df  # its plan holds on to the shuffles
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,9 @@ LENGTH, GRAM = 100, 24
 BUCKET, FRAGMENT, BLOCK = 8_000_000, 1_500_000, 300_000
 #: An anchor with this many places at least can be a hot one.
 HOT = 2000
-_PLACE = 23
+#: Bytes hashed at a time.
+PIECE = 1 << 15
+_PLACE = 15
 _FIRST = -(1 << 63)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,73 +52,87 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 # ---- anchors -------------------------------------------------------------------------------------
 
 
+_OF_BYTE = C.mix(np.arange(256, dtype=np.uint64) + _SEED)
+
+
 def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
     """Hashes of all n-byte strings, made of those of its binary parts."""
     total = len(data) - n + 1
-    part, size, out, at = C.mix(data.astype(np.uint64) + _SEED), 1, None, 0
+    part, size, out, at = _OF_BYTE[data], 1, None, 0
     while size <= n:
         if n & size:
             x = part[at : at + total]
-            out = x if out is None else out * C.M1 + x
+            out = x.copy() if out is None else out * C.M1 + x
             at += size
         if size * 2 <= n:
             part = part[:-size] * C.M2 + part[size:]
             part ^= part >> np.uint64(29)
         size *= 2
-    return C.mix(out)
+    out *= C.M1
+    out ^= out >> np.uint64(32)
+    out *= C.M2
+    return out
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    n = len(x) - w + 1
-    pad = -len(x) % w
-    blocks = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    """Smallest of each w neighbours, of windows whose lengths double."""
+    size = 1
+    while size * 2 <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first and last start of the windows it stands for) of a text's anchors, the leftmost of equal hashes."""
-    out = []
-    step = (1 << _PLACE) - length
-    for base in range(0, max(0, len(data) - length + 1), step):
-        piece = data[base : base + step + length - 1]
-        if len(piece) < length:
-            break
-        h = gram_hashes(piece, gram)
-        keys = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
-        place = (_sliding_min(keys, length - gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.append(first[1:], len(place)) - 1
-        out.append((h[place[first]], place[first] + base, first + base, last + base))
-    if not out:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The anchors of texts, the leftmost of equal hashes: owner, hash, place, first and last start of the windows it stands for.
 
+    Texts are worked off in pieces that fit a core's cache, short ones together,
+    long ones cut with an overlap.
+    """
+    pieces: list[tuple[np.ndarray, ...]] = []
 
-def _anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """The anchors of many texts: owner, hash, place, first, last (places in the owner). Short texts are hashed together."""
-    size = np.array([len(t) for t in texts], np.int64)
-    if size.sum() > (1 << _PLACE) - LENGTH:
-        found = [anchors(np.frombuffer(t, np.uint8)) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(x[0]) for x in found])
-        return owner, *(np.concatenate(x) for x in zip(*found, strict=True))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < LENGTH:
+    def work(data: np.ndarray, owner: np.ndarray, base: np.ndarray, end: np.ndarray) -> None:
+        """owner, base and end of each window start."""
+        h = gram_hashes(data)
+        keys = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
+        place = (_sliding_min(keys, LENGTH - GRAM + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        starts = np.arange(len(place))
+        inside = np.flatnonzero(starts + LENGTH <= end[: len(place)])
+        if not len(inside):
+            return
+        starts, place, own = starts[inside], place[inside], owner[inside]
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
+        last = np.append(first[1:], len(place)) - 1
+        shift = base[inside[first]]
+        pieces.append((own[first], h[place[first]], place[first] - shift, starts[first] - shift, starts[last] - shift))
+
+    def flush(group: list[int]) -> None:
+        size = np.array([len(texts[i]) for i in group], np.int64)
+        if size.sum() >= LENGTH:
+            base = np.cumsum(size) - size
+            work(np.frombuffer(b"".join(texts[i] for i in group), np.uint8), np.repeat(np.array(group), size), np.repeat(base, size), np.repeat(base + size, size))
+
+    group, held = [], 0
+    for i, t in enumerate(texts):
+        if len(t) < LENGTH:
+            continue
+        if held and held + len(t) > PIECE:
+            flush(group)
+            group, held = [], 0
+        if len(t) <= PIECE:
+            group.append(i)
+            held += len(t)
+            continue
+        step = PIECE - LENGTH + 1
+        for a in range(0, len(t) - LENGTH + 1, step):
+            data = np.frombuffer(t, np.uint8)[a : a + PIECE]
+            n = len(data)
+            work(data, np.full(n, i), np.full(n, -a), np.full(n, n))
+    if group:
+        flush(group)
+    if not pieces:
         return tuple(np.empty(0, np.uint64 if k == 1 else np.int64) for k in range(5))
-    h = gram_hashes(data)
-    keys = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
-    place = (_sliding_min(keys, LENGTH - GRAM + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    base = np.cumsum(size) - size
-    starts = np.arange(len(place))
-    owner = np.repeat(np.arange(len(texts)), size)[: len(place)]
-    inside = starts + LENGTH <= (base + size)[owner]
-    starts, place, owner = starts[inside], place[inside], owner[inside]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]) if len(starts) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1 if len(first) else first
-    o = owner[first]
-    return o, h[place[first]], place[first] - base[o], starts[first] - base[o], starts[last] - base[o]
+    return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
 
 
 # ---- sorting -------------------------------------------------------------------------------------
@@ -175,15 +192,15 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return sa
 
 
-def equal_windows(parts: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Classes of equal windows that begin at the first ``windows[i]`` places of parts[i]: (class, part, place) arrays of each block."""
+def equal_windows(parts: list[bytes], windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of equal windows that begin at the first ``windows[i]`` places of parts[i]: class, part and place of each."""
     # 0 must be free to end strings: bytes 0 and 1 can be told apart by no one-byte symbol, so 0 becomes 0xC0, which UTF-8 never has
     t = np.frombuffer(b"\0".join(p.replace(b"\0", b"\xc0") for p in parts) + b"\0", np.uint8)
     size = np.array([len(p) + 1 for p in parts], np.int64)
     base = np.cumsum(size) - size
     part = np.repeat(np.arange(len(parts)), size)
     place = np.arange(len(t)) - base[part]
-    begins = place < np.array(windows, np.int64)[part]
+    begins = place < windows[part]
     sa = suffix_array(t, length)
     sa = sa[begins[sa]]
     view = np.lib.stride_tricks.sliding_window_view(t, length)
@@ -259,7 +276,7 @@ def _live(docs: DataFrame, fragments: int, hot: int) -> DataFrame:
     return sent.groupBy("fragment").applyInArrow(count, "dk long, places binary, h long, n long")
 
 
-_CONTEXT = "bucket int, h long, did long, dk long, start int, windows int, hot boolean, bytes binary"
+_CONTEXT = "bucket int, h long, did long, dk long, start int, windows int, hot boolean, bytes binary, spans binary"
 
 
 def _contexts(docs: DataFrame, places: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
@@ -280,14 +297,17 @@ def _contexts(docs: DataFrame, places: DataFrame, buckets: int, hot: dict[int, i
                 done.add((did[i], key[i]))
                 s = slice(edge[i], edge[i + 1])
                 live = np.isin(place[s], np.concatenate([np.frombuffer(b, np.int32) for b in lists[i]]))
+                text, gone = data[i], []
                 for g, a, b in zip(h[s][live].view(np.int64).tolist(), first[s][live].tolist(), last[s][live].tolist(), strict=True):
-                    context = data[i][a : b + LENGTH]
+                    context = text[a : b + LENGTH]
                     if context in seen:  # the same windows stand earlier in this chunk
-                        add(xxhash.xxh32_intdigest(str(key[i])) % buckets, g, did[i], key[i], a, b - a + 1, False, None)
+                        gone.append((a, b + LENGTH))
                         continue
                     seen.add(context)
-                    deal = xxhash.xxh64_intdigest(f"{g}:{xxhash.xxh32_intdigest(f'{key[i]}:{a}') % hot[g]}") if g in hot else xxhash.xxh64_intdigest(str(g))
-                    add(deal % buckets, g, did[i], key[i], a, b - a + 1, g in hot, context)
+                    deal = xxhash.xxh64_intdigest(f"{g}:{xxhash.xxh32_intdigest(f'{key[i]}:{a}') % hot[g]}") if g in hot else g
+                    add(deal % buckets, g, did[i], key[i], a, b - a + 1, g in hot, context, None)
+                if gone:
+                    add(key[i] % buckets, None, did[i], key[i], None, None, None, None, merged(np.array(gone, np.int64)).astype(np.int32).tobytes())
             return out
 
         return each
@@ -324,50 +344,59 @@ _FIRSTS = np.dtype([("a", "<u8"), ("b", "<u8"), ("did", "<i8"), ("dk", "<i8"), (
 
 def _resolve(table: pa.Table) -> pa.Table:
     """The removed windows of one bucket, and of hot anchors the first window of each class."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("h", "did", "dk", "start", "windows", "hot", "bytes")), strict=True))
-    gone = [(did, dk, start, start + n - 1 + LENGTH) for _, did, dk, start, n, _, b in rows if b is None]
-    firsts, order = {}, sorted((r for r in rows if r[6] is not None), key=lambda r: (r[0], r[1], r[2], r[3]))
-    alike: dict[int, dict[bytes, tuple]] = {}
-    for r in order:
-        own = alike.setdefault(r[0], {})
-        if r[6] in own:
-            gone.append((r[1], r[2], r[3], r[3] + r[4] - 1 + LENGTH))
-        else:
-            own[r[6]] = r
-    block, held = [], 0
+    known = table.filter(pc.is_valid(table.column("spans")))
+    table = table.filter(pc.is_null(table.column("spans")))
+    h, did, dk, start, windows = (np.asarray(table.column(c)).astype(np.int64) for c in ("h", "did", "dk", "start", "windows"))
+    hot, content = table.column("hot").to_pylist(), table.column("bytes").to_pylist()
+    order = np.lexsort((start, dk, did, h))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    order = order.tolist()
+    copies: list[int] = []  # rows whose whole context stands in an earlier one of the same anchor
+    gone: list[tuple[np.ndarray, ...]] = []
+    firsts: dict[int, list[tuple]] = {}
+    block: list[int] = []
+    held = 0
 
     def flush() -> None:
-        nonlocal block, held
-        cls, part, place = equal_windows([r[6] for r in block], [r[4] for r in block])
-        did, dk, start = (np.array([r[k] for r in block], np.int64)[part] for k in (1, 2, 3))
-        start = start + place
-        o = np.lexsort((start, dk, did, cls))
+        rows = np.array(block)
+        cls, part, place = equal_windows([content[i] for i in block], windows[rows])
+        own = rows[part]
+        at = start[own] + place
+        o = np.lexsort((at, dk[own], did[own], cls))
         later = np.concatenate([[False], cls[o][1:] == cls[o][:-1]])
-        gone.extend(zip(did[o[later]].tolist(), dk[o[later]].tolist(), start[o[later]].tolist(), (start[o[later]] + LENGTH).tolist(), strict=True))
-        for i in o[~later]:
-            r = block[part[i]]
-            if r[5]:
-                w = xxhash.xxh3_128_intdigest(r[6][place[i] : place[i] + LENGTH])
-                firsts.setdefault(r[0], []).append((w >> 64, w & (1 << 64) - 1, int(did[i]), int(dk[i]), int(start[i])))
-        block, held = [], 0
-
-    for own in alike.values():
-        if len(own) > 1 or next(iter(own.values()))[5]:
-            block += own.values()
-            held += sum(map(len, own))
+        gone.append((did[own[o[later]]], dk[own[o[later]]], at[o[later]], at[o[later]] + LENGTH))
+        for i in o[~later].tolist():
+            if hot[r := int(own[i])]:
+                w = xxhash.xxh3_128_intdigest(content[r][place[i] : place[i] + LENGTH])
+                firsts.setdefault(int(h[r]), []).append((w >> 64, w & (1 << 64) - 1, int(did[r]), int(dk[r]), int(at[i])))
+
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a == 1 and not hot[order[a]]:
+            continue
+        different: dict[bytes, int] = {}
+        for r in order[a:b]:
+            if different.setdefault(content[r], r) != r:
+                copies.append(r)
+        if len(different) > 1 or hot[order[a]]:
+            block += different.values()
+            held += sum(map(len, different))
         if held > BLOCK:
             flush()
+            block, held = [], 0
     if block:
         flush()
-    a = np.array(gone, np.int64).reshape(-1, 4)
-    out = _spans(a[:, 0], a[:, 1], a[:, 2], a[:, 3])
-    n, more = len(out["did"]), []
-    for h, xs in firsts.items():
+    c = np.array(copies, np.int64)
+    gone.append((did[c], dk[c], start[c], start[c] + windows[c] - 1 + LENGTH))
+    out = _spans(*(np.concatenate(x) for x in zip(*gone, strict=True)))
+    more = []
+    for key, xs in firsts.items():
         x = np.array(xs, _FIRSTS)
         sub = (x["a"] % np.uint64(64)).astype(int)
-        more += [(h, int(s), x[sub == s].tobytes()) for s in np.unique(sub)]
-    none = [None] * len(more)
-    return pa.table({k: pa.array(x.to_pylist() + none, x.type) for k, x in out.items()} | {name: pa.array([None] * n + [m[k] for m in more], kind) for k, (name, kind) in enumerate((("h", pa.int64()), ("sub", pa.int32()), ("firsts", pa.binary())))})
+        more += [(key, int(s), x[sub == s].tobytes()) for s in np.unique(sub)]
+    n, none = len(out["did"]) + len(known), [None] * len(more)
+    join = lambda k, kind: pa.array(out[k].to_pylist() + known.column(k).to_pylist() + none, kind)
+    columns = {"did": join("did", pa.int64()), "dk": join("dk", pa.int64()), "spans": join("spans", pa.binary())}
+    return pa.table(columns | {name: pa.array([None] * n + [m[k] for m in more], kind) for k, (name, kind) in enumerate((("h", pa.int64()), ("sub", pa.int32()), ("firsts", pa.binary())))})
 
 
 def _meet(table: pa.Table) -> pa.Table:
