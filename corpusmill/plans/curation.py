@@ -141,7 +141,7 @@ def top_reasons(spark, d):
 
 def previous_by_source(spark, d):
     w = Window.partitionBy("source").orderBy("doc_id")
-    return docs(spark, d).select("doc_id", F.lead("doc_id").over(w).alias("next_id"), (F.row_number().over(w) - 1).cast("long").alias("index"))
+    return docs(spark, d).select("doc_id", F.coalesce(F.lead("doc_id").over(w), F.lit(-1)).alias("next_id"), (F.row_number().over(w) - 1).cast("long").alias("index"))
 
 
 _TOP = f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1"
@@ -169,7 +169,7 @@ ORACLES = {
     "union_answers": "SELECT doc_id, [2, 1, 1, 0][doc_id % 4 + 1]::BIGINT AS n, CASE doc_id % 4 WHEN 0 THEN 'a|' || doc_id WHEN 1 THEN '[0, 1)' WHEN 2 THEN lang ELSE '' END AS parts FROM documents",
     "shared_sources": "(SELECT source, 'intersect' AS op FROM (SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de')) UNION ALL (SELECT source, 'except' FROM (SELECT source FROM documents WHERE lang = 'de' EXCEPT SELECT source FROM documents WHERE lang = 'es'))",
     "top_reasons": _TOP + " ORDER BY n DESC, reason LIMIT 3",
-    "previous_by_source": "SELECT doc_id, lead(doc_id) OVER w AS next_id, row_number() OVER w - 1 AS index FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)",
+    "previous_by_source": "SELECT doc_id, coalesce(lead(doc_id) OVER w, -1) AS next_id, row_number() OVER w - 1 AS index FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)",
 }
 ORACLES["word_stats_by_source"] = f"SELECT source, len(l) AS n, l[1] AS min, l[len(l) // 2 + 1] AS median, l[CAST(floor((len(l) - 1) * 0.95) AS BIGINT) + 1] AS p95, l[-1] AS max FROM (SELECT source, list_sort(list({WORDS})) AS l FROM documents GROUP BY source)"
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -12,8 +12,13 @@ from ..sources.sinks import batch_writer
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
-    """A stream of the Parquet files at ``path`` (a file, or a folder of them)."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream of the Parquet files in the folder ``path``, or of that one file."""
+    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def event_windows(events: DataFrame, ts: str, width: str, keys: list[str], aggregates: list[Column], late: str = "1 hour", slide: str | None = None) -> DataFrame:
