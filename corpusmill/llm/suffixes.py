@@ -321,7 +321,8 @@ def _spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray)
     did, dk, start, end = did[order], dk[order], start[order], end[order]
     out = {"did": [], "dk": [], "spans": []}
     first = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (dk[1:] != dk[:-1])])) if len(did) else np.empty(0, np.int64)
-    for a, b in zip(first, np.append(first[1:], len(did)), strict=True):
+    edges = np.append(first, len(did))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         out["did"].append(int(did[a]))
         out["dk"].append(int(dk[a]))
         out["spans"].append(merged(np.stack([start[a:b], end[a:b]], 1)).astype(np.int32).tobytes())
