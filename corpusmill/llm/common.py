@@ -47,11 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    _collect_garbage(spark)
     out = df.checkpoint(eager=True)
     del df  # its plan holds on to the shuffles
+    _collect_garbage(spark)
+    return out
+
+
+def _collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -119,11 +124,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_RNG = np.random.default_rng(20240607)
+_WINDOW = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def windows(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words, by their words' hashes."""
+    """Hashes of all runs of n words (64 at most), by their words' hashes: a product with odd numbers by place, then spread."""
     if len(ids) < n:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        h = mix(h + ids[k : len(ids) - n + 1 + k])
-    return h
+    h = ids[: len(ids) - n + 1] * _WINDOW[0]
+    for k in range(1, n):
+        h += ids[k : len(ids) - n + 1 + k] * _WINDOW[k]
+    return mix(h)
+
+
+#: Random numbers for bytes (white space: 0) and for places in a word.
+_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[list(SPACES.encode())] = 0
+_BYTE_LOWER = _BYTE[np.frombuffer(LOWER, np.uint8)]
+_PLACES = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IN_WORD = _BYTE != 0
+
+
+def word_hashes(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words (runs of bytes that aren't ASCII white space) of a text's bytes; with ``lower``, A-Z count as a-z."""
+    inside = _IN_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    first = starts[0]
+    place = np.arange(first, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    parts = (_BYTE_LOWER if lower else _BYTE)[data[first:]] * _PLACES[place & 0xFFFF]
+    return mix(np.add.reduceat(parts, starts - first)), starts

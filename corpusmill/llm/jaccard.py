@@ -43,6 +43,8 @@ WORDS, PERCENT = 5, 75
 LEAST = 20
 #: Shingles of a group or fragment that one task holds, about.
 GROUP = 1_500_000
+#: Bytes hashed at a time.
+PIECE = 1 << 15
 #: Fragments of a set in verification.
 CUTS = 4
 #: Rounds against central documents.
@@ -50,13 +52,34 @@ STARS = 2
 _SIGN = np.uint64(1 << 63)
 
 
-def shingle_set(text: str, hashes: C.WordHashes, n: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = text.encode("utf-8", "surrogatepass").translate(C.LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = hashes.of(words)
-    return np.unique(C.windows(ids, n)) if len(ids) >= n else C.windows(ids, len(ids)) + np.uint64(len(ids))
+def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; texts are hashed together in pieces that fit a core's cache."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+
+    def flush() -> None:
+        ids, starts = C.word_hashes(np.frombuffer(b" ".join(group), np.uint8), lower=True)
+        begins = np.cumsum([0] + [len(t) + 1 for t in group])
+        edges = np.searchsorted(starts, begins).tolist()
+        all_windows = C.windows(ids, n)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a >= n:
+                x = np.sort(all_windows[a : b - n + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+            else:
+                out.append(C.windows(ids[a:b], b - a) + np.uint64(b - a) if b > a else np.empty(0, np.uint64))
+
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass")
+        if held and held + len(data) > PIECE:
+            flush()
+            group, held = [], 0
+        group.append(data)
+        held += len(data)
+    if group:
+        flush()
+    return out
 
 
 def key_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -80,10 +103,8 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, size of the set and its key."""
 
     def work():
-        hashes = C.WordHashes()
-
         def each(part, texts):
-            sets = [shingle_set(t, hashes) for t in texts]
+            sets = shingle_sets(texts)
             keys = [key_of(s) if len(s) else (None, None) for s in sets]
             return {"doc_id": C.column(part, "doc_id"), "n": [len(s) for s in sets], "hi": [k[0] for k in keys], "lo": [k[1] for k in keys]}
 
@@ -103,12 +124,10 @@ def shared_counts(docs: DataFrame, fragments: int, percent: int) -> DataFrame:
     """hi of each set, and how many of its first shingles (by hash) some other set has among its first."""
 
     def work():
-        hashes = C.WordHashes()
-
         def each(part, texts):
             sets = {}
-            for t in texts:
-                if len(s := shingle_set(t, hashes)):
+            for s in shingle_sets(texts):
+                if len(s):
                     sets[key_of(s)[0]] = _first(s, percent)
             node = np.array(list(sets), np.int64)
             token = np.concatenate(list(sets.values())) if sets else np.empty(0, np.uint64)
@@ -167,13 +186,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
     rows = docs.select("doc_id", "text").join(w, F.col("doc_id") == F.col("_id")).select("text", "hi", "lo", "node")
 
     def work():
-        hashes = C.WordHashes()
-
         def each(part, texts):
             out = {"node": [], "n": [], "tokens": [], "g": []}
             his, los, nodes = (C.column(part, c).to_pylist() for c in ("hi", "lo", "node"))
-            for t, hi, lo, node in zip(texts, his, los, nodes, strict=True):
-                s = shingle_set(t, hashes)
+            for s, hi, lo, node in zip(shingle_sets(texts), his, los, nodes, strict=True):
                 if len(s) and key_of(s) == (hi, lo):  # an id can have several texts
                     for name, x in (("node", node), ("n", len(s)), ("tokens", s.tobytes()), ("g", xxhash.xxh32_intdigest(str(node)) % groups)):
                         out[name].append(x)
@@ -311,7 +327,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = C.cut(known.groupBy("n", "hi", "lo").agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc_id")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     p = C.partitions(spark)
-    shared = shared_counts(docs.filter("doc_id is not null"), max(p, -(-total // (3 * GROUP))), percent)
+    shared = C.cut(shared_counts(docs.filter("doc_id is not null"), max(p, -(-total // (3 * GROUP))), percent))
     # a linked set can be smaller by a quarter, and then shares as many as that one must
     need = F.ceil(F.ceil(F.col("n") * percent / 100) / LEAST)
     wanted = classes.join(shared, "hi").filter(F.col("shared") >= need)
