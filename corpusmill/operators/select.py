@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,11 +60,26 @@ def largest_remainder(counts: DataFrame, group: str, n: int, order: str | None =
     return part.withColumns({"_left": left, "_nth": F.row_number().over(rank)}).select(group, "n", (F.col("_floor") + (F.col("_nth") <= F.col("_left")).cast("int")).cast("long").alias("quota"))
 
 
-def rank_slices(df: DataFrame, order: list[Column | str], cuts: Mapping[str, tuple[float, float]], label: str = "slice") -> DataFrame:
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """The rows with their rank from 0 in a total order, by ranges: no task sees more than its range.
+
+    The sorted ranges are checkpointed, so that ranks stay what they are if an executor is lost.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count("*").alias("_k"))
+    before = sizes.select("_part", (F.sum("_k").over(Window.orderBy("_part")) - F.col("_k")).alias("_before"))  # a row for each range
+    return ranges.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_before")
+
+
+def rank_slices(df: DataFrame, order: list[str], cuts: Mapping[str, tuple[float, float]], label: str = "slice") -> DataFrame:
     """Labels rows by their rank's share of all rows: from int(n * low) up to int(n * high)."""
     n = df.agg(F.count("*").alias("_n"))
-    w = Window.orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))  # n is one row
+    ranked = global_rank(df, order, "_rank").crossJoin(F.broadcast(n))  # n is one row
     of = lambda share: F.floor(F.col("_n") * F.lit(share))
     name = F.coalesce(*[F.when((F.col("_rank") >= of(a)) & (F.col("_rank") < of(b)), F.lit(k)) for k, (a, b) in cuts.items()])
     return ranked.withColumn(label, name).filter(F.col(label).isNotNull()).drop("_rank", "_n")

@@ -1,14 +1,10 @@
-"""Schemas of the records that the engine reads and writes."""
+"""Schemas of the records that the engine reads and writes, as Spark's DDL."""
 
-from pyspark.sql.types import StructType
-
-_OF = StructType.fromDDL
-
-TRAINING = _OF("question string, options array<string>, answer string, reasoning string, source string, n_ans int, is_mcq boolean")
-CLEAN = _OF("question string, options array<string>, answer string, reasoning string, source string, n_ans int, is_mcq boolean, target_answer string, original_source string")
-PUBLIC = _OF("id string, question string, options array<string>, answer string")
-POOL = _OF("problem string, solution string, answer string, level string, source string, stage int")
-RL_PROBLEM = _OF("id string, question string, gold_answer array<string>, options array<string>, pass_count int, difficulty_level int, source string")
-EVAL_RESULT = _OF("id string, eval_source string, is_mcq boolean, is_multi boolean, question string, options array<string>, gold array<string>, response string, correct boolean, format_ok boolean, word_count int")
-EVAL_SUMMARY = _OF("n bigint, accuracy double, correct bigint, mcq_accuracy double, mcq_total bigint, multi_answer_accuracy double, multi_answer_total bigint, avg_response_words double, boxed_compliance_rate double, inference_backend string, partial boolean")
-REJECT = _OF("distill_key string, id string, bucket string, answer string, error string, response string")
+TRAINING = "question string, options array<string>, answer string, reasoning string, source string, n_ans int, is_mcq boolean"
+CLEAN = "question string, options array<string>, answer string, reasoning string, source string, n_ans int, is_mcq boolean, target_answer string, original_source string"
+PUBLIC = "id string, question string, options array<string>, answer string"
+POOL = "problem string, solution string, answer string, level string, source string, stage int"
+RL_PROBLEM = "id string, question string, gold_answer array<string>, options array<string>, pass_count int, difficulty_level int, source string"
+EVAL_RESULT = "id string, eval_source string, is_mcq boolean, is_multi boolean, question string, options array<string>, gold array<string>, response string, correct boolean, format_ok boolean, word_count int"
+EVAL_SUMMARY = "n bigint, accuracy double, correct bigint, mcq_accuracy double, mcq_total bigint, multi_answer_accuracy double, multi_answer_total bigint, avg_response_words double, boxed_compliance_rate double, inference_backend string, partial boolean"
+REJECT = "distill_key string, id string, bucket string, answer string, error string, response string"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.select import global_rank
+
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -17,12 +19,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_indexed(df: DataFrame, path: str, *order: str | Column) -> None:
-    """Rows with their index in a stated order, range by range: no single task sorts all."""
-    ordered = df.orderBy(*order)
-    fields, rows = ordered.schema.fieldNames(), ordered.rdd.zipWithIndex()
-    schema = ordered.schema.add("index", "long", False)
-    df.sparkSession.createDataFrame(rows.map(lambda x: (*[x[0][f] for f in fields], x[1])), schema).write.mode("overwrite").json(path)
+def write_indexed(df: DataFrame, path: str, *order: str) -> None:
+    """Rows with their index in a total order."""
+    global_rank(df, list(order), "index").write.mode("overwrite").json(path)
 
 
 def write_splits(df: DataFrame, path: str, by: str) -> None:
