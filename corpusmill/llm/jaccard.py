@@ -307,7 +307,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame, percent: int, star: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a token of their prefixes; with ``star``, of each node and the most central one at most."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "s", "pos", "comp"), F.struct(F.col("n") - F.col("s"), "node")).alias("p")).filter("lo <> hi")
+    # checkpointed, so that Spark can split a token with very many rows in the joins
+    mixed = C.cut(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "s", "pos", "comp"), F.struct(F.col("n") - F.col("s"), "node")).alias("p")).filter("lo <> hi"))
     if star:
         a, b = rows.alias("a"), mixed.select("token", "p.*").alias("b")
         met = a.join(b, F.col("a.token") == F.col("b.token")).filter((F.col("a.comp") != F.col("b.comp")) & _possible(percent))

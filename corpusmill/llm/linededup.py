@@ -53,8 +53,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows whose key occurs more than once, with the first position of the key as its name."""
-    first = rows.groupBy(*keys).agg(F.min("uid").alias(name), F.count("*").alias("n")).filter("n > 1").drop("n")
+    """rows whose key occurs more than once, with the first position of the key as its name.
+
+    The names are checkpointed, so that both sides of the join are dealt out by it alone: Spark can then split a key with very many rows.
+    """
+    first = C.cut(rows.groupBy(*keys).agg(F.min("uid").alias(name), F.count("*").alias("n")).filter("n > 1").drop("n"))
     return rows.join(first, keys)
 
 
@@ -95,7 +98,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         halves = within.withColumn("base", F.col("uid") - F.col("cline")).join(names.select("uid", "name"), "uid")
         ends = names.select("uid", (F.col("uid") - F.col("cline")).alias("base"), F.col("name").alias("name2"))
         pairs = halves.withColumn("at", F.col("uid") + F.col("m") - k).join(ends.withColumnRenamed("uid", "at"), ["at", "base"]).select("uid", "m", "name", "name2")
-        first = pairs.groupBy("m", "name", "name2").agg(F.min("uid").alias("first"))
+        first = C.cut(pairs.groupBy("m", "name", "name2").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
         found.append(pairs.join(first, ["m", "name", "name2"]).filter("uid > first").select("uid", "m"))
         if 2 * k >= longest:
             break

@@ -414,7 +414,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keys = [F.octet_length(text).alias("n"), F.xxhash64(text).alias("c1"), F.xxhash64(text, F.lit(1)).alias("c2")]
     info = C.cut(docs.select(*[x.alias(k) for k, x in _document().items()], *keys).filter(F.col("n") >= LENGTH))
-    first = info.groupBy("n", "c1", "c2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most")
+    # checkpointed, so that Spark can split a text with very many copies in the join
+    first = C.cut(info.groupBy("n", "c1", "c2").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most"))
     copies = C.cut(info.join(first.drop("most"), ["n", "c1", "c2"]).filter("did > least").select("did", "dk", F.col("n").cast("int").alias("n")).distinct())
     total = info.agg(F.sum("n")).first()[0] or 0
     expected = total // 40
