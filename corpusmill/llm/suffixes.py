@@ -220,8 +220,8 @@ def _document() -> dict[str, Column]:
     return {"did": F.coalesce("doc_id", F.lit(_FIRST)), "dk": F.xxhash64(F.coalesce("doc_id", F.lit(_FIRST)), text)}
 
 
-def _live(docs: DataFrame, fragments: int, hot: int) -> DataFrame:
-    """dk and places (int32) of anchors whose hash occurs again; h and n of those with ``hot`` places or more."""
+def _live(docs: DataFrame, fragments: int, groups: int, hot: int) -> DataFrame:
+    """dks and places (int32) of anchors whose hash occurs again, packed by groups of documents; h and n of those with ``hot`` places or more."""
 
     def work():
         def each(part, texts):
@@ -261,19 +261,30 @@ def _live(docs: DataFrame, fragments: int, hot: int) -> DataFrame:
         n = np.bincount(at, np.where(place < 0, -place, 1), len(uniq)).astype(np.int64)
         again = (n[at] > 1) & (place >= 0)
         dk, place = np.concatenate([dk[again], join("dk", np.int64, known)]), np.concatenate([place[again], join("place", np.int32, known)])
-        order = np.argsort(dk, kind="stable")
+        of = dk % groups
+        order = np.argsort(of, kind="stable")
         dk, place = dk[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], dk[1:] != dk[:-1]])) if len(dk) else np.empty(0, np.int64)
-        cut = np.append(first, len(dk))
+        start = np.searchsorted(of[order], np.arange(groups + 1))
+        full = [(int(g), slice(start[g], start[g + 1])) for g in np.flatnonzero(np.diff(start))]
         often = n >= hot
-        nothing, m = [None] * int(often.sum()), len(first)
+        nothing, m = [None] * int(often.sum()), len(full)
         return pa.table({
-            "dk": pa.array(dk[first].tolist() + nothing, pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] + nothing, pa.binary()),
+            "g": pa.array([g for g, _ in full] + nothing, pa.int32()), "dks": pa.array([dk[x].tobytes() for _, x in full] + nothing, pa.binary()), "places": pa.array([place[x].tobytes() for _, x in full] + nothing, pa.binary()),
             "h": pa.array([None] * m + uniq[often].view(np.int64).tolist(), pa.int64()), "n": pa.array([None] * m + n[often].tolist(), pa.int64()),
         })
 
     sent = C.map_texts(docs.select("text", _document()["dk"].alias("dk")), "fragment int, h binary, dk binary, place binary", work)
-    return sent.groupBy("fragment").applyInArrow(count, "dk long, places binary, h long, n long")
+    return sent.groupBy("fragment").applyInArrow(count, "g int, dks binary, places binary, h long, n long")
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a group: dk and its places."""
+    dk = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("dks").to_pylist()])
+    place = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("places").to_pylist()])
+    order = np.argsort(dk, kind="stable")
+    dk, place = dk[order], place[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(dk)) + 1, [len(dk)]])
+    return pa.table({"dk": pa.array(dk[cut[:-1]], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 _CONTEXT = "bucket int, h long, did long, dk long, start int, windows int, hot boolean, bytes binary, spans binary"
@@ -296,7 +307,7 @@ def _contexts(docs: DataFrame, places: DataFrame, buckets: int, hot: dict[int, i
                     continue
                 done.add((did[i], key[i]))
                 s = slice(edge[i], edge[i + 1])
-                live = np.isin(place[s], np.concatenate([np.frombuffer(b, np.int32) for b in lists[i]]))
+                live = np.isin(place[s], np.frombuffer(lists[i], np.int32))
                 text, gone = data[i], []
                 for g, a, b in zip(h[s][live].view(np.int64).tolist(), first[s][live].tolist(), last[s][live].tolist(), strict=True):
                     context = text[a : b + LENGTH]
@@ -419,13 +430,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = C.cut(info.join(first.drop("most"), ["n", "c1", "c2"]).filter("did > least").select("did", "dk", F.col("n").cast("int").alias("n")).distinct())
     total = info.agg(F.sum("n")).first()[0] or 0
     expected = total // 40
-    found = C.cut(_live(docs, max(p, -(-expected // FRAGMENT)), max(HOT, expected // (4 * p))))
+    found = C.cut(_live(docs, max(p, -(-expected // FRAGMENT)), p, max(HOT, expected // (4 * p))))
     # at most expected / (expected / 4 p) of them
     often = {r.h: -(-r.n // max(HOT, expected // (4 * p))) + 1 for r in found.filter("h is not null").select("h", "n").collect()}
-    places = found.filter("dk is not null").join(copies.select("dk"), "dk", "left_anti")
-    many = places.agg(F.sum(F.length("places"))).first()[0] or 0
+    packed = found.filter("g is not null").select("g", "dks", "places")
+    many = packed.agg(F.sum(F.length("places"))).first()[0] or 0
+    places = packed.groupBy("g").applyInArrow(_gather, "dk long, places binary").join(copies.select("dk").distinct(), "dk", "left_anti")
     buckets = max(p, many // 4 * 150 // BUCKET)
-    contexts = _contexts(docs, places.groupBy("dk").agg(F.collect_list("places").alias("places")), buckets, often)
+    contexts = _contexts(docs, places, buckets, often)
     resolved = C.cut(contexts.groupBy("bucket").applyInArrow(_resolve, _RESOLVED))
     met = resolved.filter("firsts is not null").groupBy("h", "sub").applyInArrow(_meet, "did long, dk long, spans binary")
     whole = copies.select("did", "dk", F.lit(None).cast("binary").alias("spans"))
