@@ -174,10 +174,22 @@ def shared_counts(docs: DataFrame, fragments: int, percent: int) -> DataFrame:
                 found.append(np.frombuffer(r["nodes"], np.int64))
                 amount.append(np.frombuffer(r["counts"], np.int64))
         uniq, at = np.unique(np.concatenate(found), return_inverse=True)
-        return pa.table({"hi": pa.array(uniq, pa.int64()), "shared": pa.array(np.bincount(at, np.concatenate(amount), len(uniq)).astype(np.int64), pa.int64())})
+        n, of = np.bincount(at, np.concatenate(amount), len(uniq)).astype(np.int64), uniq % fragments
+        order = np.argsort(of, kind="stable")
+        uniq, n = uniq[order], n[order]
+        start = np.searchsorted(of[order], np.arange(fragments + 1))
+        full = np.flatnonzero(np.diff(start)).tolist()
+        cut = lambda x: pa.array([x[start[g] : start[g + 1]].tobytes() for g in full], pa.binary())
+        return pa.table({"g": pa.array(full, pa.int32()), "nodes": cut(uniq), "counts": cut(n)})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        node, n = (np.concatenate([np.frombuffer(b, np.int64) for b in table.column(c).to_pylist()]) for c in ("nodes", "counts"))
+        uniq, at = np.unique(node, return_inverse=True)
+        return pa.table({"hi": pa.array(uniq, pa.int64()), "shared": pa.array(np.bincount(at, n, len(uniq)).astype(np.int64), pa.int64())})
 
     sent = C.map_texts(docs.select("text"), "fragment int, tokens binary, nodes binary, counts binary", work)
-    return sent.groupBy("fragment").applyInArrow(count, "hi long, shared long").groupBy("hi").agg(F.sum("shared").alias("shared"))
+    packed = sent.groupBy("fragment").applyInArrow(count, "g int, nodes binary, counts binary")
+    return packed.groupBy("g").applyInArrow(add_up, "hi long, shared long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
