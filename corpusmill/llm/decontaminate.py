@@ -8,9 +8,10 @@ block maxima skips items that cannot reach it: its postings hold an item's
 rarer terms only, the essential ones, as the others together weigh ``LEAVE`` of
 the threshold at most; an item whose essential terms reach what is then missing
 gets its whole score. What is retrieved is verified:
-of the question's and of the answer's word n-grams a share of ``overlap`` each
-must stand in the passage. The answer is what follows an ``Answer:`` line or
-the last question mark, else the last sentence; an item of one part is both.
+of the question's and of the answer's word n-grams (of a part of fewer words, the
+part itself) a share of ``overlap`` each must stand in the passage. The answer is
+what follows an ``Answer:`` line or the last question mark, else the last
+sentence; an item of one part is both.
 
 The index is built and broadcast in shards of ``SHARD_ITEMS`` items, so its size
 is bounded; each shard is one pass over the documents. Null or empty texts and
@@ -74,10 +75,10 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n_items: int = 0, mean: float = 0.0):
         texts = [words_of(t or "") for _, t in items]
         self.ids = [i for i, _ in items]
-        self.parts = []
+        self.parts = []  # of each item the question and the answer: length of the n-grams, n-grams
         for _, t in items:
-            q, a = (grams(words_of(x)) for x in question_and_answer(t or ""))
-            self.parts.append((q or a, a or q))
+            q, a = ((min(GRAM, len(ws)), grams(ws)) for ws in map(words_of, question_and_answer(t or "")))
+            self.parts.append((q if q[1] else a, a if a[1] else q))
         self.longest = max(map(len, texts), default=0)
         df = Counter(w for ws in texts for w in set(ws)) if df is None else df
         n_items, mean = n_items or len(items), mean or sum(map(len, texts)) / max(1, len(texts)) or 1.0
@@ -174,12 +175,15 @@ class Index:
                 continue
             k = int(text[i])
             passage = words[k][start[i] - base[i] : end[i] - base[i]]
-            terms, there = set(passage), grams(passage)
+            terms, there = set(passage), {}
             for item in items:
                 score = sum(x for w, x in self.whole[item].items() if w in terms)
                 if score < self.threshold - 1e-9:
                     continue
-                q, a = (len(x & there) / len(x) for x in self.parts[item])
+                for n_words, _ in self.parts[item]:
+                    if n_words not in there:
+                        there[n_words] = grams(passage, n_words)
+                q, a = (len(x & there[n_words]) / len(x) for n_words, x in self.parts[item])
                 if q >= overlap and a >= overlap:
                     found[k, item] = max(found.get((k, item), (0.0, 0.0, 0.0)), (score, q, a))
         return [(k, item, *x) for (k, item), x in sorted(found.items())]

@@ -153,6 +153,15 @@ def test_decontaminate(spark, docs, empty):
     assert {51, 53, 54, 4, 10} <= left and not {50, 52, 55, 1} & left
 
 
+def test_decontaminate_short_parts(spark):
+    """Verbatim leaks of items whose question or answer has one or two words."""
+    items = [(1, "What is the capital of the old kingdom beyond the western sea?\nAnswer: Paris"), (2, "Who found the lost crown under the mountain of glass? Er."), (3, "Which two colours does the banner of the northern guild bear?\nAnswer: dark blue"), (4, "Why?\nAnswer: because the tide returns to the shore twice in every day"), (5, "Define entropy.\nAnswer: the measure of disorder in a closed system at rest")]
+    noise = " ".join(f"n{i}" for i in range(200))
+    docs = [(10 + i, f"{noise} {t} {noise}") for i, t in items] + [(20 + i, f"{noise} {t.split('?')[0]} {noise}") for i, t in items[:3]]
+    got = {(r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10 + i, i, 1.0, 1.0) for i, _ in items}
+
+
 def test_wand_finds_all():
     """Against scoring every item for every passage."""
     rng = random.Random(1)
