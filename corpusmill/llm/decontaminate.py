@@ -45,6 +45,7 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() el
 _ANSWER = re.compile(r"\n\s*(?:answer|a)\s*:", re.I)
 _SENTENCE = re.compile(r"[.!?]\s+(?=\S)")
 _END = 1 << 62
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -72,14 +73,14 @@ class Index:
     terms of that item must reach, so that 1 is enough for any item.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n_items: int = 0, mean: float = 0.0):
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n_items: int = 0, mean: float = 0.0, longest: int = 0):
         texts = [words_of(t or "") for _, t in items]
         self.ids = [i for i, _ in items]
         self.parts = []  # of each item the question and the answer: length of the n-grams, n-grams
         for _, t in items:
             q, a = ((min(GRAM, len(ws)), grams(ws)) for ws in map(words_of, question_and_answer(t or "")))
             self.parts.append((q if q[1] else a, a if a[1] else q))
-        self.longest = max(map(len, texts), default=0)
+        self.longest = max([longest, *map(len, texts)])
         df = Counter(w for ws in texts for w in set(ws)) if df is None else df
         n_items, mean = n_items or len(items), mean or sum(map(len, texts)) / max(1, len(texts)) or 1.0
         self.threshold, self.term, self.whole = threshold, {}, []
@@ -195,16 +196,17 @@ def _shards(items: DataFrame, threshold: float, shard_items: int) -> list[Index]
     if n <= shard_items:
         return [Index(sorted(map(tuple, items.collect()), key=repr), threshold)] if n else []
     # counts over all items; of these each shard gets its own terms' only
-    word = F.explode(F.array_distinct(F.split(F.btrim(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")))
+    word = F.explode(F.array_distinct(F.split(F.btrim(F.regexp_replace(F.translate("text", _CAPITALS, _CAPITALS.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")))
     terms = C.cut(items.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("df")))
-    mean = items.agg(F.avg(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 1.0
+    size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    mean, longest = items.agg(F.avg(size), F.max(size)).first()
     shards = -(-n // shard_items) * 2
     out = []
     for k in range(shards):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         own = part.select(word.alias("w")).distinct().join(terms, "w").collect()
         df = Counter({r.w.encode(): r.df for r in own})
-        out.append(Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean))
+        out.append(Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean or 1.0, longest))
     return out
 
 

@@ -162,6 +162,16 @@ def test_decontaminate_short_parts(spark):
     assert got == {(10 + i, i, 1.0, 1.0) for i, _ in items}
 
 
+def test_decontaminate_shards_alike(spark):
+    """Shards give what one index gives: same scores with non-ASCII capitals, same passages beside a longer item."""
+    items = [(i, f"École Über x{i} Ñandú y{i}?\nAnswer: Éire z{i} Ångström v{i}") for i in range(8)] + [(8, "where does the heron nest in early spring?\nAnswer: among tall reeds"), (9, " ".join(f"long{i}" for i in range(150)))]
+    noise = " ".join(f"n{i}" for i in range(100))
+    rows = [(20 + i, f"{noise} {t} {noise}") for i, t in items] + [(40, f"École Über x1 Ñandú Éire z1 Ångström {noise}"), (41, f"where does the heron nest in early spring? {noise} among tall reeds")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, bench, shard_items=n).collect()} for n in (20_000, 2))
+    assert one == many and {(40, 1), (41, 8)} <= {x[:2] for x in one}
+
+
 def test_wand_finds_all():
     """Against scoring every item for every passage."""
     rng = random.Random(1)
