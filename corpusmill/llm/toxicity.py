@@ -3,7 +3,9 @@ linear softmax; both layers are trained together, in numpy on the driver.
 
 A word's vector is the mean of those of its own bucket and of its character
 n-grams' buckets, so a misspelt word shares n-gram vectors with the word it
-stands for. The words of each segment of ``SEGMENT`` words are averaged (a short
+stands for. Words of more than ``LONGEST`` bytes are cut into overlapping blocks, so
+that each of their n-grams is in one; in scripts without spaces each character and
+the next one are a word. The words of each segment of ``SEGMENT`` words are averaged (a short
 one is filled up with zeros) and a text scores as its hottest segment, in
 training too: one insult in a long text counts as much as in a short one. Training takes at most
 ``sample`` labelled rows, those of the smallest md5 of their id, and none whose
@@ -19,6 +21,7 @@ table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -43,19 +46,39 @@ SEGMENT, SCALE = 3, 4.0
 FOLDS = 5
 #: A-Z become lower case, all other ASCII characters but letters and digits become spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-#: Longer words (base64, runs of one character) count by their first and last characters only.
-LONGEST = 40
+#: Longer words (hashtags, base64) are cut into blocks of ``BLOCK`` bytes.
+LONGEST, BLOCK = 40, 12
+#: Stands before a part of a run of characters: it has no marks of its own. No other word has this byte.
+_PART = b"="
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+
+
+def _spaced(text: str) -> list[bytes]:
+    words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out, shared = [], max(GRAMS) - 1
+    for w in words:
+        marked = b"<" + w + b">"
+        out += [w] if len(w) <= LONGEST else [_PART + marked[i : i + BLOCK] for i in range(0, len(marked) - shared, BLOCK - shared)]
+    return out
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    if text.isascii():
+        return _spaced(text)
+    out, end = [], 0
+    for m in _UNSPACED.finditer(text):
+        out += _spaced(text[end : m.start()])
+        run, end = m[0], m.end()
+        out += [_PART + run[i : i + 2].encode() for i in range(len(run) - 1)] or [run.encode()]
+    return out + _spaced(text[end:])
 
 
 def features(word: bytes) -> np.ndarray:
     """Buckets of a word and its character n-grams."""
-    if len(word) > LONGEST:
-        word = word[: LONGEST // 2] + word[-LONGEST // 2 :]
-    marked = b"<" + word + b">"
+    marked = word[1:] if word.startswith(_PART) else b"<" + word + b">"
     grams = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
     return np.array(sorted(xxhash.xxh32_intdigest(g) % BUCKETS for g in grams), np.int64)
 

@@ -38,6 +38,32 @@ def test_toxicity(spark, docs, empty):
     assert {r.doc_id for r in toxicity.clean(df, lab).collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_whole_words_are_scored(spark):
+    """Insults in the middle of run-together words and of text without spaces."""
+    rows, labels = corpus()
+    rng = random.Random(5)
+    plain = sorted({w for _, t in rows for w in t.split()} - {"wretchling", "snotwaffle", "crumbhead"})
+    run = lambda middle: "".join(rng.choice(plain) for _ in range(6)) + middle + "".join(rng.choice(plain) for _ in range(6))
+    tags = [(9000 + i, f"some plain words #{run('snotwaffle' if i < 20 else '')} there") for i in range(40)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(rows + tags, "doc_id long, text string"), lab).collect()}
+    assert sum(got[9000 + i] > got[9020 + j] for i in range(20) for j in range(20)) > 0.9 * 400
+    han = [chr(0x4E00 + i) for i in range(300)]
+    labels = [(i, 1, int(rng.random() < 0.3)) for i in range(700)]
+    rows = [(i, "".join(rng.choice(han) for _ in range(30)) + ("\u7b28\u86cb" if t else "") + "".join(rng.choice(han) for _ in range(30))) for i, _, t in labels]
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(i, t) for i, _, t in labels if got[i].held_out]
+    assert sum(got[i].predicted == t for i, t in held) / len(held) > 0.95
+
+
+def test_every_ngram_is_in_a_block():
+    for word in (b"x" * 41, bytes(97 + i * i % 23 for i in range(300)), "\u00fcber\u00e9".encode() * 20):
+        marked = b"<" + word + b">"
+        blocks = [w[1:] for w in toxicity.words_of(word.decode())]
+        assert max(map(len, blocks)) <= toxicity.BLOCK
+        assert all(any(marked[i : i + n] in b for b in blocks) for n in toxicity.GRAMS for i in range(len(marked) - n + 1))
+
+
 def test_odd_tables(spark, docs):
     rows, labels = corpus(60)
     one_class = spark.createDataFrame([(i, 1, 0) for i, _, _ in labels], "doc_id long, quality int, toxic int")
