@@ -11,8 +11,9 @@ which patterns of high confidence stand become further spans.
 Spans count code points, end exclusive. A null or empty text has none. Repeated
 rows get the same row each (and count twice as evidence); rows with a null id
 are scanned and returned too; an empty table gives an empty result; further
-columns of the input are ignored. Identifiers outside the base have up to
-``LONGEST`` characters.
+columns of the input are ignored. Identifiers outside the base are tokens of any
+length and neighbouring groups with digits; what a longer further span covers is
+no span of its own.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: The length of an identifier-like token, and how far a context reaches.
-SHORTEST, LONGEST, REACH = 5, 100, 40
+#: The least length of an identifier-like token or of groups, and how far a context reaches.
+SHORTEST, REACH = 5, 40
+#: Kinds of what is found outside the base: evidence in the graph, or only a possible span.
+UNKNOWN, AROUND = -1, -2
 #: Rounds over the graph; a pattern's seeds at least; what makes a pattern and an instance sure.
 ROUNDS, MIN_SEEDS, SURE_PATTERN, SURE_INSTANCE = 3, 4, 0.5, 0.5
 
@@ -40,6 +43,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IDENTIFYING = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\W\d_]+")
+_REST = re.compile(r"\S*")
+_PART = "[A-Z]{0,4}[0-9][0-9A-Z]*+"
+# groups with digits (an IBAN may have letters second), joined by blanks, hyphens or brackets
+_CLOSED = rf"[(\[]{_PART}[)\]]"
+_GROUPS = re.compile(rf"(?<![0-9A-Za-z_.@])(?:[A-Z]{{2}}[0-9]{{2}}[ -][A-Z]{{4}}|{_PART}|{_CLOSED})(?:[ -](?:{_PART}|{_CLOSED})|{_CLOSED}|(?<=[)\]]){_PART})+(?![0-9A-Za-z_@])")
 _EDGE = "\"'()[]{}<>,;:.!?"
 
 
@@ -84,10 +92,9 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     k = 0
     while m := _IDENTIFYING.search(text, end):
         at = m.start()
-        left = text[max(end, at - LONGEST) : at]
-        start = at - len(left) + (len(left) - len(left.split(" ")[-1].split("\n")[-1].split("\t")[-1]))
-        right = re.split(r"\s", text[at : at + LONGEST + 1], maxsplit=1)[0]
-        end = at + len(right)
+        left = text[end:at]
+        start = at if not left or left[-1].isspace() else at - len(left.rsplit(None, 1)[-1])
+        end = _REST.match(text, at).end()
         token = text[start:end]
         a = start + len(token) - len(token.lstrip(_EDGE))
         b = end - (len(token) - len(token.rstrip(_EDGE)))
@@ -95,11 +102,34 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             k += 1
         if k < len(covered) and covered[k][0] < b:
             end = max(end, covered[k][1])
-        elif SHORTEST <= b - a <= LONGEST:
+        elif SHORTEST <= b - a:
             out.append((a, b))
     return out
 
 
+def groups(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Neighbouring groups with digits, as wholes, between the base spans."""
+    out, start = [], 0
+    for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        for m in _GROUPS.finditer(text, start, a) if start < a else ():
+            if SHORTEST <= m.end() - m.start():
+                out.append(m.span())
+        start = max(start, b)
+    return out
+
+
+def unknown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Candidates and groups; groups around a candidate aren't evidence, or it would count twice."""
+    tokens = candidates(text, spans)
+    out, have, k = [(UNKNOWN, a, b) for a, b in tokens], set(tokens), 0
+    for a, b in groups(text, spans):
+        while k < len(tokens) and tokens[k][1] <= a:
+            k += 1
+        if (a, b) not in have:
+            out.append((AROUND if k < len(tokens) and tokens[k][0] < b else UNKNOWN, a, b))
+    return out
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The contexts of a span: two words to the left, one to each side, and one to the left with its punctuation."""
     left = text[max(0, start - REACH) : start]
@@ -125,7 +155,7 @@ _FOUND = "doc_id long, spans array<struct<kind:int,start:long,end:long>>, base_s
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The base spans of every text, and its seeds (kind 0 to 3) and candidates (kind -1) with their contexts."""
+    """The base spans of every text, and its seeds (kind 0 to 3), candidates (kind -1) and groups around these (kind -2) with their contexts."""
 
     def work():
         def each(part, texts):
@@ -134,7 +164,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 s = base_spans(t)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in s])
                 digests.append(hashlib.sha256(joined(s).encode()).hexdigest())
-                both = s + [(-1, a, b) for a, b in candidates(t, s)]
+                both = s + unknown(t, s)
                 found.append([{"kind": k, "start": a, "end": b, "instance": shape(t[a:b]), "patterns": patterns(t, a, b)} for k, a, b in both])
             return {"doc_id": C.column(part, "doc_id"), "spans": spans, "base_sha256": digests, "found": found}
 
@@ -177,7 +207,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row for each document: its base spans (``spans``), its further spans (``more``) and the digest of the base."""
     found = C.cut(scan(docs).withColumn("row", F.monotonically_increasing_id()))
     each = found.select("row", F.explode("found").alias("f")).select("row", "f.*").select("row", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    edges = C.cut(each.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
+    edges = C.cut(each.filter(F.col("kind") != AROUND).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
     sure = score_graph(edges, rounds)
     votes = each.filter("kind < 0").select("row", "start", "end", "pattern").join(sure, "pattern")
     best = (
@@ -185,6 +215,9 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .filter(F.col("belief") >= SURE_INSTANCE)
         .groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"))
     )
+    # a span inside a longer one goes
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("reach", F.max("end").over(before)).filter(F.col("reach").isNull() | (F.col("end") > F.col("reach")))
     more = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
     empty = F.array().cast("array<struct<kind:int,start:long,end:long>>")
     return found.select("row", "doc_id", "spans", "base_sha256").join(more, "row", "left").select("doc_id", "spans", "base_sha256", F.coalesce("more", empty).alias("more"))

@@ -109,6 +109,20 @@ def test_pii(spark, docs, empty):
     assert pii.digest(pii.extract(docs)).count() == len(ROWS)
 
 
+def test_pii_groups_and_long_tokens(spark):
+    """Identifiers in groups, and tokens of any length, are found whole by a sure context."""
+    token = "eyJ" + "a1B2c3" * 60
+    unseen = ["415 555 0112", "(415) 555-0112", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1112", token]
+    rows = [(i, f"please dial number {x} today") for i, x in enumerate(unseen)] + [(100 + i, f"please dial number +1 415 555 01{i:02} today") for i in range(40)]
+    got = {r.doc_id: r.more for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (i, t), x in zip(rows, unseen):
+        assert [t[s.start : s.end] for s in got[i]] == [x]
+    text = "192.168.0.1 415 555 0112 and 12-34 (77 888 9)"
+    assert [text[a:b] for a, b in pii.groups(text, pii.base_spans(text))] == ["415 555 0112", "12-34", "77 888 9"]
+    for t in ("1 " * 200_000, "A1" * 200_000, "a1" * 200_000, "(1" * 200_000):
+        pii.unknown(t, [])
+
+
 def test_long_runs_are_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a@" * 50_000):
         pii.base_spans(t)
