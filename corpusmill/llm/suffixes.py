@@ -361,6 +361,8 @@ def _resolve(table: pa.Table) -> pa.Table:
     h, did, dk, start, windows = (np.asarray(table.column(c)).astype(np.int64) for c in ("h", "did", "dk", "start", "windows"))
     hot, content = table.column("hot").to_pylist(), table.column("bytes").to_pylist()
     order = np.lexsort((start, dk, did, h))
+    if len(order):  # repeated rows in different chunks send the same contexts
+        order = order[np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (h, did, dk, start)], 0)])]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
     order = order.tolist()
     copies: list[int] = []  # rows whose whole context stands in an earlier one of the same anchor

@@ -94,6 +94,20 @@ def test_suffix_dedup(docs, empty, monkeypatch):
         assert len(got) == len(ROWS)
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    """Equal rows with a text of their own in different Arrow batches are one document."""
+    own = " ".join(f"own{i * i % 97}of{i}" for i in range(80))
+    df = spark.createDataFrame([(1, own), (1, own), (2, own[:300] + "x" * 40)], "doc_id long, text string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1")
+    try:
+        got = sorted((r.doc_id, r.n_removed) for r in suffixes.remove_repeats(df).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert got == [(1, 0), (1, 0), (2, 300)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(5)
     for k in range(40):
