@@ -32,7 +32,8 @@ NOTICES = {
 }
 BASE_WORTH, TAG_WORTH = 0.7, 0.95
 TAG = "spdx license identifier"
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]{0,400})", re.I)
+# the expression ends with the line, or where the next tag begins
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]*?)(?=[\n\r]|\Z|spdx-license-identifier:)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Every ASCII byte that is in no word becomes a space; A-Z are lower-cased.
@@ -93,10 +94,14 @@ def parse(expression: str) -> tuple:
 
 def identifiers(tree: tuple | str) -> list[str]:
     """The licences of a tree; what stands after ``with`` is an exception, not a licence."""
-    if isinstance(tree, str):
-        return [tree]
-    op, left, right = tree
-    return identifiers(left) + ([] if op == "with" else identifiers(right))
+    out, waiting = [], [tree]
+    while waiting:  # long expressions make deep trees
+        if isinstance(top := waiting.pop(), str):
+            out.append(top)
+        else:
+            op, left, right = top
+            waiting += [left] if op == "with" else [right, left]
+    return out
 
 
 def satisfied(tree: tuple | str, allowed: set[str]) -> bool:

@@ -52,6 +52,17 @@ def test_license_scan(spark, docs, empty):
     assert lic.license_scan(docs).count() == len(ROWS)
 
 
+def test_long_expressions():
+    """Every licence of a line counts, however long the line is."""
+    names = [f"{a}{b}{c}-1.0" for a in "qwz" for b in "kvx" for c in "aeioujmnprst"]
+    text = "SPDX-License-Identifier: (" + " AND ".join(names) + ")\nSPDX-License-Identifier: MIT"
+    got = lic.scan(text, lic._automaton())
+    assert set(got[5].split(",")) == {lic.label_of(n) for n in names} | {"mit"}
+    assert got[7] == ["(" + " AND ".join(names) + ")", "MIT"]
+    got = lic.scan("SPDX-License-Identifier: " + " OR ".join(names * 40) + " x " * 500 + "SPDX-License-Identifier: MIT", lic._automaton())
+    assert "mit" in got[5].split(",") and len(got[7]) == 2
+
+
 def test_expressions():
     tree = lic.parse("MIT or Apache-2.0 and GPL-2.0 with X")
     assert tree == ("or", "MIT", ("and", "Apache-2.0", ("with", "GPL-2.0", "X")))
