@@ -366,7 +366,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not twice.isEmpty():
         merged = components(member.join(twice.select("doc_id", "lo"), "doc_id").filter("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")))
         member = C.cut(member.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("uid", "doc_id", "n", F.coalesce("to", "comp").alias("comp")))
-    ids = member.filter("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # checkpointed, so that Spark can split a component with very many documents in the join
+    ids = C.cut(member.filter("comp is not null and doc_id is not null").groupBy("comp").agg(F.min("doc_id").alias("least")))
     return member.join(ids, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
