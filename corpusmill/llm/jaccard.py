@@ -215,41 +215,45 @@ def _sets(docs: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
 def _prefixes(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
     """token, node, n, s (shingles that others have) and pos (from 1) of the shingles of each set's prefix, rarest first."""
 
+    def ordered(tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles of a group in the order of their fragments, in how many of its sets each is, and where each fragment begins."""
+        token, count = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in tables]), return_counts=True)
+        order, start = _by_fragment(token, fragments)
+        return token[order], count[order], start
+
     def distinct(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
-        token, count = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]), return_counts=True)
-        order, start = _by_fragment(token, fragments)
-        token, count = token[order], count[order].astype(np.int64)
+        token, count, start = ordered(table.column("tokens").to_pylist())
         full = [f for f in range(fragments) if start[f] < start[f + 1]]
-        cut = lambda x: [x[start[f] : start[f + 1]].tobytes() for f in full]
-        return pa.table({"fragment": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "tokens": pa.array(cut(token), pa.binary()), "counts": pa.array(cut(count), pa.binary())})
+        # most are in one set of the group: counts go along of the others only, with their places
+        some = [(at := np.flatnonzero(count[start[f] : start[f + 1]] > 1).astype(np.int32), count[start[f] + at].astype(np.int32)) for f in full]
+        binary = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+        return pa.table({"fragment": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "tokens": binary([token[start[f] : start[f + 1]] for f in full]), "places": binary([a for a, _ in some]), "counts": binary([n for _, n in some])})
 
     def frequencies(table: pa.Table) -> pa.Table:
-        gs = table.column("g").to_pylist()
-        tokens = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()])
+        fragment, gs = table.column("fragment")[0].as_py(), table.column("g").to_pylist()
+        tokens, places, counts = ([np.frombuffer(b, kind) for b in table.column(c).to_pylist()] for c, kind in (("tokens", np.uint64), ("places", np.int32), ("counts", np.int32)))
+        n = np.ones(sum(map(len, tokens)), np.int64)
+        base = np.cumsum([0, *map(len, tokens)])
+        for b, at, k in zip(base, places, counts):
+            n[b + at] = k
         uniq, at = np.unique(np.concatenate(tokens), return_inverse=True)
-        df = np.bincount(at, counts, len(uniq)).astype(np.int64)[at]
-        out, i = {"g": [], "tokens": [], "df": []}, 0
-        for g, t in zip(gs, tokens, strict=True):
-            d = df[i : i + len(t)]
-            i += len(t)
-            if (d > 1).any():
-                for name, x in (("g", g), ("tokens", t[d > 1].tobytes()), ("df", d[d > 1].tobytes())):
-                    out[name].append(x)
-        return pa.table({"g": pa.array(out["g"], pa.int32()), "tokens": pa.array(out["tokens"], pa.binary()), "df": pa.array(out["df"], pa.binary())})
+        df = np.bincount(at, n, len(uniq)).astype(np.int32)[at]
+        # in the order in which the group sent them, so that the shingles needn't go back
+        return pa.table({"g": pa.array(gs, pa.int32()), "fragment": pa.array([fragment] * len(gs), pa.int32()), "df": pa.array([df[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)], pa.binary())})
 
     def prefix(sets: pa.Table, known: pa.Table) -> pa.Table:
         out = {k: [] for k in ("token", "node", "n", "s", "pos")}
         if sets.num_rows and known.num_rows:
-            token = np.concatenate([np.frombuffer(b, np.uint64) for b in known.column("tokens").to_pylist()])
-            df = np.concatenate([np.frombuffer(b, np.int64) for b in known.column("df").to_pylist()])
+            token, _, _ = ordered(sets.column("tokens").to_pylist())
+            df = np.concatenate([np.frombuffer(b, np.int32) for _, b in sorted(zip(known.column("fragment").to_pylist(), known.column("df").to_pylist(), strict=True))])
+            token, df = token[df > 1], df[df > 1]
             order = np.argsort(token)
             token, df = token[order], df[order]
             for node, n, b in zip(*(sets.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
                 own = np.frombuffer(b, np.uint64)
-                at = np.minimum(np.searchsorted(token, own), len(token) - 1)
-                common = token[at] == own
+                at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+                common = token[at] == own if len(token) else np.zeros(n, bool)
                 s = int(common.sum())
                 reach = n - int(least(np.int64(n), percent)) + 1 - (n - s)  # shingles of the prefix after those that no other set has
                 if reach <= 0:
@@ -263,8 +267,8 @@ def _prefixes(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({k: pa.array((join(x).view(np.int64) if k == "token" else join(x)), pa.int64()) for k, x in out.items()})
 
-    sent = sets.select("g", "tokens").groupBy("g").applyInArrow(distinct, "fragment int, g int, tokens binary, counts binary")
-    known = sent.groupBy("fragment").applyInArrow(frequencies, "g int, tokens binary, df binary")
+    sent = sets.select("g", "tokens").groupBy("g").applyInArrow(distinct, "fragment int, g int, tokens binary, places binary, counts binary")
+    known = sent.groupBy("fragment").applyInArrow(frequencies, "g int, fragment int, df binary")
     return sets.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(prefix, "token long, node long, n long, s long, pos long")
 
 
