@@ -48,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_suffix_dedup)}

@@ -421,8 +421,8 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table(_spans(later["did"], later["dk"], later["start"].astype(np.int64), later["start"].astype(np.int64) + LENGTH))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary)."""
+def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; what is kept (binary) too if asked for."""
     spark, p = docs.sparkSession, C.partitions(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keys = [F.octet_length(text).alias("n"), F.xxhash64(text).alias("c1"), F.xxhash64(text, F.lit(1)).alias("c2")]
@@ -450,16 +450,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def work():
         def each(part, texts):
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept)}
             for t, spans, all_of_it in zip(texts, C.column(part, "spans").to_pylist(), C.column(part, "whole").to_pylist(), strict=True):
                 data = t.encode("utf-8", "surrogatepass")
                 runs = np.array([[0, len(data)]]) if all_of_it else merged(np.concatenate([np.frombuffer(b, np.int32) for b in spans]).reshape(-1, 2)) if spans else np.empty((0, 2), int)
                 edges = [0, *runs.ravel().tolist(), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(runs) else data
-                for k, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for k, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)):
                     out[k].append(v)
             return {"doc_id": C.column(part, "doc_id")} | out
 
         return each
 
-    return C.map_texts(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", work)
+    return C.map_texts(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept, work)

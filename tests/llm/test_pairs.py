@@ -89,9 +89,11 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     want = sorted((i, *expected[-(1 << 63) if i is None else i, t or ""]) for i, t in ROWS if i is not None)
     for hot in (suffixes.HOT, 3):  # with all anchors of three places dealt out, too
         monkeypatch.setattr(suffixes, "HOT", hot)
-        got = suffixes.remove_repeats(docs).drop("kept").collect()
+        got = suffixes.remove_repeats(docs).collect()
         assert sorted(tuple(r) for r in got if r.doc_id is not None) == want
         assert len(got) == len(ROWS)
+    kept = suffixes.remove_repeats(docs, with_kept=True).collect()
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept)
 
 
 def test_suffix_dedup_repeated_rows(spark):
