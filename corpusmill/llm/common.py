@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = " \t\n\r\x0b\x0c"
 #: Texts are worked off in chunks of about so many characters, whatever an Arrow batch holds.
 CHUNK_CHARS = 4_000_000
+#: Rows of an Arrow batch at most, where the session has Spark's default: texts are long, and both sides hold batches outside of the heap.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, 10_000
 #: Words that a task's memo keeps; beyond it words are worked out anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _UPPER = bytes(range(65, 91))
@@ -63,19 +65,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null: empty), about ``limit`` characters each, one row at least."""
-    column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small; a setting other than the default is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, str(DEFAULT_BATCH_ROWS))) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def sizes_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each text; a null has none."""
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0))
+
+
+def runs_of(sizes: np.ndarray, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of about ``limit`` bytes together, one row at least."""
     start, held = 0, 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:
-            part = batch.slice(start, i - start)
-            yield part, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            yield start, i
             start, held = i, 0
-        held += int(n)
+        held += n
     if start < len(sizes):
-        yield batch.slice(start), [t or "" for t in column.slice(start).to_pylist()]
+        yield start, len(sizes)
+
+
+def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null: empty), about ``limit`` characters each, one row at least."""
+    column = batch.column(batch.schema.get_field_index(text))
+    for a, b in runs_of(sizes_of(column), limit):
+        yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def map_texts(df: DataFrame, schema: str, work: Callable[[], Callable[[pa.RecordBatch, list[str]], dict]], text: str = "text") -> DataFrame:
@@ -87,6 +105,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[], Callable[[pa.Record
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()

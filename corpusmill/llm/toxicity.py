@@ -26,7 +26,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,10 +227,13 @@ def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     weights, bias = model.weights()
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers
 
-    @F.pandas_udf("double")
-    def odds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    C.bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def odds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = _WordScores(shared.value)
         for part in texts:
-            yield pd.Series([log_odds(words_of(t or ""), scores, bias) for t in part], dtype="float64")
+            out = [log_odds(words_of(t or ""), scores, bias) for a, b in C.runs_of(C.sizes_of(part)) for t in part.slice(a, b - a).to_pylist()]
+            yield pa.array(out, pa.float64())
 
     return docs.filter(odds("text") < 0)
