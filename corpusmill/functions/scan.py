@@ -11,23 +11,27 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-_BOX = re.compile(r"\\boxed\s*\{")
+_ANY_BOX = re.compile(r"\\f?box(?:ed)?\s*\{")
+_BOX, _BRACE = re.compile(r"\\boxed\s*\{"), re.compile(r"[{}]")
 _OPEN, _CLOSE = "([{", ")]}"
 
 
-def box_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start of the command, start of the content, end of the content) of each box whose braces close."""
+def box_spans(text: str, command: re.Pattern = _BOX) -> list[tuple[int, int, int]]:
+    """(start of the command, start of the content, end of the content) of each box whose braces close; in one pass over the braces."""
+    heads = [(m.start(), m.end()) for m in command.finditer(text)]
+    if not heads:
+        return []
+    ends, waiting = {}, []
+    for m in _BRACE.finditer(text, heads[0][1] - 1):
+        if m[0] == "{":
+            waiting.append(m.start())
+        elif waiting:
+            ends[waiting.pop()] = m.start()
     out, at = [], 0
-    while m := _BOX.search(text, at):
-        depth, i = 1, m.end()
-        while i < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[i], 0)
-            i += 1
-        if depth:
-            at = m.end()
-            continue
-        out.append((m.start(), m.end(), i - 1))
-        at = i
+    for start, a in heads:
+        if start >= at and (b := ends.get(a - 1)) is not None:
+            out.append((start, a, b))
+            at = b + 1
     return out
 
 
@@ -48,6 +52,19 @@ def last_boxes(text: str | None) -> list[str]:
     return [text[a:b].strip() for _, a, b in reversed(group)]
 
 
+def last_command(text: str | None) -> str | None:
+    """The last ``\\boxed`` or ``\\fbox`` with its braces, if there is one that closes."""
+    text = text or ""
+    spans = box_spans(text, _ANY_BOX)
+    return text[spans[-1][0] : spans[-1][2] + 1] if spans else None
+
+
+def last_content(text: str | None) -> str | None:
+    text = text or ""
+    spans = box_spans(text, _ANY_BOX)
+    return text[spans[-1][1] : spans[-1][2]] if spans else None
+
+
 def unbox(text: str | None) -> str:
     """Each box is replaced by its content; one that doesn't close stays."""
     text, out, at = text or "", [], 0

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import global_rank
+
+#: Hashes that are broadcast at most: 8 bytes each.
+BROADCAST_ROWS = 1_000_000
+
 
 def lookup(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return df.join(side, key, "left")
@@ -57,12 +62,47 @@ def overlay_compare(base: DataFrame, other: DataFrame, key: str, value: str) ->
 
 
 def overlap(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """doc_id and item_id of documents that have a run of ``words`` words of an item, by an equi-join on the runs."""
+    """doc_id and item_id of documents that have a run of ``words`` words of an item.
+
+    Runs are compared by a 64-bit hash first: where the items' runs are few enough, their
+    hashes are broadcast and only the documents' runs that are among them leave the scan;
+    else both sides are joined by hash. What meets is compared as text.
+    """
 
     def runs(df: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != "")
         each = df.select(key, w.alias("w")).filter(F.size("w") >= words)
         at = F.sequence(F.lit(1), F.size("w") - (words - 1))
-        return each.select(key, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("run"))
-
-    return runs(docs, "doc_id").join(runs(items, "item_id"), "run").select("doc_id", "item_id").distinct()
+        texts = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, words), " ")))
+        return each.select(key, F.explode(texts).alias("run")).select(key, "run", F.xxhash64("run").alias("hash"))
+
+    wanted = runs(items, "item_id")
+    hashes = wanted.select("hash").distinct()
+    few = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    seen = runs(docs, "doc_id")
+    seen = seen.join(F.broadcast(hashes), "hash", "left_semi") if few else seen  # BROADCAST_ROWS hashes at most
+    return seen.join(wanted, ["hash", "run"]).select("doc_id", "item_id").distinct()
+
+
+def zip_by_position(df: DataFrame, other: DataFrame, order: str, other_order: str) -> DataFrame:
+    """Rows of both tables at the same rank of their own total orders; other lengths fail the query."""
+    a, b = df.count(), other.count()
+    if a != b:
+        raise ValueError(f"{a} rows and {b} rows can't be zipped")
+    return global_rank(df, [order], "_at").join(global_rank(other, [other_order], "_at"), "_at").drop("_at")
+
+
+def latest_counts(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """Of parts in the order of their priority the first row of each key; and one row: rows without a key, and rows that an earlier one hides."""
+    every = parts[0].withColumn("_part", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("_part", F.lit(k)), allowMissingColumns=True)
+    known = first_by(every.filter(F.col(key).isNotNull()), [key], "_part").drop("_part")
+    counts = every.agg(F.count_if(F.col(key).isNull()).alias("bad"), (F.count(key) - F.count_distinct(key)).alias("hidden"))
+    return known, counts
+
+
+def with_group(df: DataFrame, by: list[str], value: str, name: str = "group") -> DataFrame:
+    """Each row with its group's values, in order: for groups of a bounded size, as the samples of one prompt are."""
+    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return df.join(groups, by)

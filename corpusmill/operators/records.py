@@ -89,7 +89,7 @@ def answer_type(options: Column, n_answers: Column) -> Column:
 def distill_bucket(question: Column, options: Column) -> Column:
     """mcq10, table_many, multi or single; null is dropped."""
     n, k = T.count_blanks(question), F.coalesce(F.size(options), F.lit(0))
-    return F.when(k >= 7, "mcq10").when((n >= 5) | T.contains_any(F.lower(question), TABLE_WORDS), "table_many").when(n > 1, "multi").when((n == 1) & (k == 0), "single")
+    return F.when(k >= 7, "mcq10").when((n >= 5) | F.coalesce(T.contains_any(F.lower(question), TABLE_WORDS), F.lit(False)), "table_many").when(n > 1, "multi").when((n == 1) & (k == 0), "single")
 
 
 def answer_rules(answer: Column, longest: int = 50) -> list[Rule]:
@@ -133,3 +133,104 @@ def graded_trace(df: DataFrame) -> Column:
 def required(df: DataFrame, names: list[str]) -> Column:
     """The required fields that a row lacks."""
     return F.array_compact(F.array(*[F.when(field(df, n).isNull(), F.lit(n)) for n in names]))
+
+
+def first_known(df: DataFrame, names: list[str]) -> Column:
+    """The first of the named fields that is there and not null; empty strings count."""
+    return F.coalesce(*[field(df, n) for n in names])
+
+
+def zipped(a: str, b: str) -> Column:
+    """array of struct(x, y) of two arrays' elements, as far as both reach; null arrays are empty."""
+    empty = lambda c: F.coalesce(F.col(c), F.array())
+    n = F.least(F.size(empty(a)), F.size(empty(b)))
+    return F.transform(F.slice(empty(a), F.lit(1), n), lambda x, i: F.struct(x.alias("x"), F.get(F.col(b), i).alias("y")))
+
+
+def verified(generations: str, complete: str, correct: str) -> Column:
+    """The generations that are complete and verified; one beyond either list is neither."""
+    holds = lambda flags, i: F.coalesce(F.get(F.coalesce(F.col(flags), F.array().cast("array<boolean>")), i), F.lit(False))
+    return F.filter(F.coalesce(F.col(generations), F.array().cast("array<string>")), lambda g, i: holds(complete, i) & holds(correct, i))
+
+
+def response_content(doc: str) -> Column:
+    """The first choice's message in a stored response; null if there is none."""
+    return F.get_json_object(F.col(doc), "$.choices[0].message.content")
+
+
+# What each kind of question asks a teacher for.
+TEACHER_HINTS = {
+    "mcq10": "Give the letter of one option in the box.", "multi": "Give all values in the box, in order, with commas between them.", "table_many": "Fill every blank of the table, in order, with commas between them.",
+    "single": "Give one value in the box.",
+}
+
+
+def teacher_prompt(bucket: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in TEACHER_HINTS.items() for x in kv]), bucket)
+
+
+# Parts of sub-source names and the stage that they stand for, in the order in which they are tried; word counts from which the next stage begins.
+SUB_SOURCES = (("cn_k12", 1), ("synthetic_math", 1), ("orca_math", 1), ("gsm8k", 1), ("synthetic_amc", 2), ("math", 2), ("aops_forum", 3), ("olympiads", 4), ("amc_aime", 4))
+STAGE_WORDS = (150, 400, 800)
+
+
+def stage(source: str, level: str, words: str) -> Column:
+    """The curriculum's stage, 1 to 5, by source, level or sub-source (both in ``level``), and length."""
+    n, number, sub = F.col(words), T.level_number(F.col(level)), F.lower(F.coalesce(F.col(level), F.lit("")))
+    by_level = F.when(number <= 2, 1).when(number == 3, 2).when(number == 4, 3).otherwise(4)
+    by_words = F.when(n < STAGE_WORDS[0], 1).when(n < STAGE_WORDS[1], 2).when(n < STAGE_WORDS[2], 3).otherwise(4)
+    by_name = F.coalesce(*[F.when(F.contains(sub, F.lit(part)), F.lit(k)) for part, k in SUB_SOURCES], by_words)
+    s = F.col(source)
+    return F.when(s == "math", by_level).when(s == "s1k", 4).when(s == "numina", by_name).when(s == "stratos", 5).when(s == "openr1", F.when(n > 1000, 4).otherwise(3)).otherwise(2)
+
+
+def label_mask(ids: str, prompt: str, width: str) -> Column:
+    """Labels of a training row: the prompt's ids masked, then the rest, padded with masks to the width."""
+    mask = lambda n: F.array_repeat(F.lit(-100), F.greatest(n, F.lit(0)))
+    p = F.least(F.col(prompt), F.size(ids))
+    return F.concat(mask(p), F.slice(F.col(ids), p + 1, F.size(ids)), mask(F.col(width) - F.size(ids)))
+
+
+def prompt_is_prefix(prompt: str, full: str) -> Column:
+    """True, or the query fails: a prompt must begin the text that it is masked in."""
+    return F.when(F.startswith(F.col(full), F.col(prompt)), True).otherwise(F.raise_error(F.lit("the prompt doesn't begin the text")).cast("boolean"))
+
+
+def audit(df: DataFrame, bands: dict[str, tuple[int, int]], other: tuple[int, int] = (100, 2000)) -> DataFrame:
+    """For each source of a pool: rows, and how many have a problem, an answer and a length strictly within the source's band, in percent too."""
+    n, low, high = T.word_count("solution"), F.lit(other[0]), F.lit(other[1])
+    for name, (a, b) in bands.items():
+        low, high = F.when(F.col("source") == name, a).otherwise(low), F.when(F.col("source") == name, b).otherwise(high)
+    tests = {"has_problem": F.length("problem") > 10, "has_boxed": F.col("answer") != "", "in_word_range": (n > low) & (n < high)}
+    counts = [F.count_if(t).alias(k) for k, t in tests.items()]
+    shares = [F.round(100 * F.count_if(t) / F.count("*"), 1).alias(f"{k}_percent") for k, t in tests.items()]
+    return df.groupBy("source").agg(F.count("*").alias("n"), *counts, *shares)
+
+
+def projected(df: DataFrame, kind: str) -> DataFrame:
+    """question, options, answer, reasoning, source, n_ans and is_mcq of one of the builds' sources.
+
+    ``verified``: problem, answer, generations with their flags; ``instruct``: instruction
+    with inline options, output with a letter; ``difficulty``: question, final_answer and
+    three solutions; ``graded``: question and two graded teachers; ``clean``: a record as it
+    is, with target_answer and original_source. Reasoning is the shortest clean trace; rows
+    without one have a null reasoning.
+    """
+    none = F.lit(None).cast("array<string>")
+    if kind == "verified":
+        parts = F.col("problem"), none, T.final_answer("answer")["answer"], T.shortest_clean(verified("generations", "is_reasoning_complete", "correctness_math_verify"))
+    elif kind == "instruct":
+        options = T.inline_options("instruction")
+        ordered = T.labels_continuous(F.transform(options, lambda o: o["label"]))
+        parts = F.col("instruction"), F.when(ordered, F.transform(options, lambda o: o["text"])), T.mcq_letter("output"), T.clean_trace(T.drop_letter_sentence("output"), 1)["text"]
+    elif kind == "difficulty":
+        parts = F.col("question"), none, T.final_answer("final_answer")["answer"], T.shortest_clean(F.array_compact(F.array("r1_solution_1", "r1_solution_2", "r1_solution_3")))
+    elif kind == "graded":
+        chosen = graded_trace(df)
+        parts = F.col("question"), none, T.solution_answer(chosen["attempt"]), T.clean_trace(chosen["trace"])["text"]
+    elif kind == "clean":
+        return df.select("question", field(df, "options", "array<string>").alias("options"), "answer", "reasoning", "source", F.greatest(T.count_blanks("question"), F.lit(1)).alias("n_ans"), (F.coalesce(F.size(field(df, "options", "array<string>")), F.lit(0)) > 0).alias("is_mcq"), F.coalesce(field(df, "target_answer"), F.col("answer")).alias("target_answer"), F.coalesce(field(df, "original_source"), F.col("source")).alias("original_source"))
+    else:
+        raise ValueError(f"no such projection: {kind}")
+    question, options, answer, reasoning = parts
+    return df.select(question.alias("question"), options.alias("options"), answer.alias("answer"), reasoning.alias("reasoning"), F.lit(kind).alias("source"), F.greatest(T.count_blanks(question), F.lit(1)).alias("n_ans"), (F.coalesce(F.size(options), F.lit(0)) > 0).alias("is_mcq"))

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .select import hash_order
+from .select import hash_order, running
 
 
 class Rule(NamedTuple):
@@ -65,7 +65,40 @@ def gate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def capped(df: DataFrame, reason: str, by: str, key: str, cap: int, seed: str, label: str = "cap_reached") -> DataFrame:
-    """Rows in hash order by group: after the cap-th one without a reason, all get ``label``."""
-    w = Window.partitionBy(by).orderBy(*hash_order(seed, key))
-    before = F.coalesce(F.sum(F.col(reason).isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn(reason, F.when(before >= cap, F.lit(label)).otherwise(F.col(reason)))
+    """Rows in hash order by group: after the cap-th one without a reason, all get ``label``. Groups spread over ranges."""
+    taken = running(df.withColumn("_hash", hash_order(seed, key)[0]), [by], ["_hash", key], {"_before": F.col(reason).isNull().cast("long")})
+    return taken.withColumn(reason, F.when(F.col("_before") >= cap, F.lit(label)).otherwise(F.col(reason))).drop("_hash", "_before")
+
+
+def threshold(x: Column, least: float, bad: str = "bad_value", below: str = "below_threshold") -> list[Rule]:
+    """A value that is no number has a reason of its own."""
+    number = F.trim(x).try_cast("double")
+    return [Rule(bad, number.isNull()), Rule(below, number < least)]
+
+
+def source_rules(source: str, allowed: Sequence[str], blocked: Sequence[str] = ()) -> list[Rule]:
+    """Blocked sources have a reason of their own, whether allowed or not; a null source is allowed nowhere."""
+    return [Rule("blocked_source", F.col(source).isin(*blocked)), Rule("disallowed_source", ~F.coalesce(F.col(source).isin(*allowed), F.lit(False)))]
+
+
+def like_any(x: str, parts: Sequence[str]) -> Column:
+    """Whether a text has one of the parts, in any case."""
+    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(F.col(x)), F.lower(p)))
+
+
+def within(df: DataFrame, low: int, high: int, blocked: Column) -> DataFrame:
+    """One row: the number of rows, that of blocked ones, and whether the first is in range and the second 0."""
+    return df.agg(F.count("*").alias("rows"), F.count_if(blocked).alias("blocked")).withColumn("passed", F.col("rows").between(low, high) & (F.col("blocked") == 0))
+
+
+def length_cap(df: DataFrame, tokens: str, most: int, key: str, by: str, k: int = 5) -> DataFrame:
+    """For each group: rows, kept ones, the longest and mean length, and the first k keys that are too long."""
+    over = F.col(tokens) > most
+    counts = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~over).alias("kept"), F.max(tokens).alias("longest"), F.round(F.avg(tokens), 4).alias("mean"))
+    first = examples(df.filter(over).withColumn("_reason", F.col(by)), key, k, "_reason").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias("examples"))
+    return counts.join(first, by, "left").withColumn("examples", F.coalesce("examples", F.lit("")))
+
+
+def prefix_count(df: DataFrame, prefix: str, reason: str = "reason") -> DataFrame:
+    """One row: rejected rows, and those whose reason begins with ``prefix``."""
+    return df.agg(F.count(reason).alias("rejected"), F.count_if(F.startswith(F.col(reason), F.lit(prefix))).alias("with_prefix"))

@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def hash_key(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -44,6 +45,13 @@ def quotas(df: DataFrame, by: str, want: Mapping[str, int], seed: str, key: str)
     return ranked.filter(F.col("_nth") <= F.element_at(n, F.col(by))).drop("_nth")
 
 
+def shortages(df: DataFrame, by: str, want: Mapping[str, int]) -> DataFrame:
+    """The groups of ``want`` that have fewer rows than wanted: wanted, have and short."""
+    asked = df.sparkSession.createDataFrame(sorted(want.items()), f"{by} string, wanted long")
+    have = df.filter(F.col(by).isin(*want)).groupBy(by).agg(F.count("*").alias("have"))
+    return asked.join(have, by, "left").select(by, "wanted", F.coalesce("have", F.lit(0)).alias("have")).filter("have < wanted").withColumn("short", F.col("wanted") - F.col("have"))
+
+
 def fraction(df: DataFrame, by: str, share: float, seed: str, key: str) -> DataFrame:
     """A share of each group, rounded down, one row at least."""
     w = Window.partitionBy(by)
@@ -60,14 +68,13 @@ def largest_remainder(counts: DataFrame, group: str, n: int, order: str | None =
     return part.withColumns({"_left": left, "_nth": F.row_number().over(rank)}).select(group, "n", (F.col("_floor") + (F.col("_nth") <= F.col("_left")).cast("int")).cast("long").alias("quota"))
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") -> DataFrame:
     """The rows with their rank from 0 in a total order, by ranges: no task sees more than its range.
 
     The sorted ranges are checkpointed, so that ranks stay what they are if an executor is lost.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+    shared_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_id", 33)
@@ -87,14 +94,40 @@ def rank_slices(df: DataFrame, order: list[str], cuts: Mapping[str, tuple[float,
 
 def repeat_cyclic(df: DataFrame, order: str, n: int, index: str = "anchor_index") -> DataFrame:
     """n rows by going round the table in order."""
-    w = Window.orderBy(order)
-    pos = df.withColumn("_pos", F.row_number().over(w) - 1)
     size = df.agg(F.count("*").alias("_size"))
-    times = pos.crossJoin(F.broadcast(size))  # size is one row
+    times = global_rank(df, [order], "_pos").crossJoin(F.broadcast(size))  # size is one row
     copies = F.floor((F.lit(n) - 1 - F.col("_pos")) / F.col("_size"))
     return times.filter(F.col("_pos") < n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), copies))).withColumn(index, (F.col("_pos") + F.col("_k") * F.col("_size")).cast("long")).drop("_pos", "_k", "_size")
 
 
+def next_rows(df: DataFrame, order: list[str], low: float, n: int) -> DataFrame:
+    """n rows from the rank at which the share ``low`` of all rows is reached."""
+    size = df.agg(F.count("*").alias("_n"))
+    start = F.floor(F.col("_n") * F.lit(low))
+    return global_rank(df, order, "_rank").crossJoin(F.broadcast(size)).filter((F.col("_rank") >= start) & (F.col("_rank") < start + n)).drop("_rank", "_n")  # size is one row
+
+
+def running(df: DataFrame, group: list[str], order: list[str | Column], sums: Mapping[str, Column]) -> DataFrame:
+    """The rows with running sums of each group before this row, by ranges of the order: a hot group spreads over many tasks.
+
+    Rows are ordered by group, then order; a range knows its own sums, and a table of
+    one row for each range and group adds those of the ranges before.
+    """
+    ranked = global_rank(df.withColumns({f"_x_{k}": c for k, c in sums.items()}), [*group, *order], "_rank")
+    part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = max(1, -(-ranked.count() // part))
+    placed = ranked.withColumn("_range", F.floor(F.col("_rank") / size))
+    own = Window.partitionBy("_range", *group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range", *group).agg(*[F.sum(f"_x_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges that the group reaches
+    before = totals.select("_range", *[F.col(g).alias(f"_g_{i}") for i, g in enumerate(group)], *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    match = F.col("p._range") == F.col("b._range")
+    for i, g in enumerate(group):
+        match = match & F.col(f"p.{g}").eqNullSafe(F.col(f"b._g_{i}"))
+    both = placed.withColumns({f"_o_{k}": F.coalesce(F.sum(f"_x_{k}").over(own), F.lit(0)) for k in sums}).alias("p").join(before.alias("b"), match)
+    return both.select(*[F.col(f"p.{c}") for c in df.columns], *[(F.col(f"p._o_{k}") + F.col(f"b._b_{k}")).alias(k) for k in sums])
+
+
 def expand(df: DataFrame, k: int, name: str = "candidate") -> DataFrame:
     """Each row k times, numbered from 1."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(k))))
@@ -133,3 +166,21 @@ def mix_streams(steps: DataFrame, step: str, warm_up: int, low: float, high: flo
     t = F.least(F.col(step) / F.lit(float(max(warm_up, 1))), F.lit(1.0))
     share = F.lit(low) + (F.lit(high) - F.lit(low)) * t
     return steps.withColumn("stream", F.when(uniform(F.concat(F.lit(f"{seed}:"), F.col(step).cast("string"))) < share, 2).otherwise(1))
+
+
+def cyclic_items(mixed: DataFrame, step: str, items: DataFrame, key: str, seed: str) -> DataFrame:
+    """The steps of stream 2 with an item each: the items in hash order, again from the first when all have been taken."""
+    size = items.agg(F.count("*").alias("_size"))
+    second = global_rank(mixed.filter("stream = 2"), [step], "_nth").crossJoin(F.broadcast(size))  # size is one row
+    order = global_rank(items.select(key).withColumn("_hash", hash_key(seed, key)), ["_hash", key], "_at")
+    return second.withColumn("_at", F.col("_nth") % F.col("_size")).join(order.select("_at", key), "_at").drop("_at", "_nth", "_size")
+
+
+def shortfall(accepted: Column, cap: Column) -> Column:
+    """How many rows are missing to the cap."""
+    return F.greatest(cap - accepted, F.lit(0))
+
+
+def mix_target(cap: Column, anchors: Column, other: Column, preferred: int = 8000, least: int = 1000) -> Column:
+    """How many rows a second source may give: what is missing to the preferred size, ``least`` at least, ``cap`` at most."""
+    return F.least(cap, F.greatest(F.lit(least), F.lit(preferred) - anchors - other))

@@ -72,8 +72,32 @@ def two_arms(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"), F.round(x, 6).alias("base"), F.round(y, 6).alias("other"), F.round(y - x, 6).alias("delta"), F.count_if(F.col(b) & ~F.col(a)).alias("gained"), F.count_if(F.col(a) & ~F.col(b)).alias("lost"))
 
 
-def shortfall(accepted: Column, cap: int) -> Column:
-    return F.greatest(F.lit(cap) - accepted, F.lit(0))
+def failure_modes(scored: DataFrame, strict: str, ok: str, mode: str) -> DataFrame:
+    """Counts by mode of rescued rows, and of rows that failed or ran out of time."""
+    broken = F.startswith(F.col(mode), F.lit("error:")) | (F.col(mode) == "timeout")
+    return scored.filter((F.col(ok) & ~F.col(strict)) | broken).groupBy(mode).agg(F.count("*").alias("n"))
+
+
+def file_reports(scored: DataFrame, path: str, strict: str, ok: str) -> DataFrame:
+    """One report for each file, and one of all with a null path unless there is only one file."""
+    s, k = F.col(strict).cast("double"), F.col(ok).cast("double")
+    cells = [F.count("*").alias("n"), F.count_if(strict).alias("strict_correct"), F.count_if(ok).alias("capability_correct"), F.count_if(F.col(ok) & ~F.col(strict)).alias("rescued"), F.round(F.coalesce(F.avg(s), F.lit(0.0)), 6).alias("strict_accuracy"), F.round(F.coalesce(F.avg(k), F.lit(0.0)), 6).alias("capability_accuracy")]
+    rolled = scored.rollup(path).agg(F.grouping(path).alias("_all"), F.count_distinct(path).alias("_files"), *cells)
+    return rolled.filter("_all = 0 or _files <> 1").drop("_all", "_files")
+
+
+def merge_counts(reports: DataFrame, counts: str) -> DataFrame:
+    """The sums of all reports' counters (maps from a label to a number)."""
+    return reports.select(F.explode(counts).alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+def interpolated_weights(base: DataFrame, tuned: DataFrame, layers: int, low: float, high: float, other: float) -> DataFrame:
+    """name and values of ``base`` moved towards ``tuned`` (name, values), by ``high`` in the first layer falling to ``low`` in the last, by ``other`` outside of layers; tensors that ``tuned`` lacks stay."""
+    layer = F.nullif(F.regexp_extract("name", r"\.layers\.(\d+)\.", 1), F.lit("")).cast("int")
+    part = F.when(layer.isNotNull(), F.lit(high) + layer / F.lit(float(max(layers - 1, 1))) * F.lit(low - high)).otherwise(F.lit(other))
+    both = base.join(tuned.select("name", F.col("values").alias("_to")), "name", "left").withColumn("_by", part)
+    moved = F.transform("values", lambda x, i: x + F.col("_by") * (F.get("_to", i) - x))
+    return both.select("name", F.when(F.col("_to").isNull(), F.col("values")).otherwise(moved).alias("values"))
 
 
 def pass_band(attempts: DataFrame, key: str, correct: str) -> DataFrame:

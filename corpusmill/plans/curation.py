@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import link, rules, select, stats
+from ..operators import link, records, rules, select, stats
 from ..sources import readers, sinks
 
 WORDS = r"len(regexp_extract_all(text, '\S+'))"
@@ -139,6 +139,93 @@ def top_reasons(spark, d):
     return first_reason_counts(spark, d).orderBy(F.col("n").desc(), "reason").limit(3)
 
 
+def source_gate(spark, d):
+    rows = rules.apply(docs(spark, d), rules.source_rules("source", [f"src{i}" for i in range(15)], ["src3", "src17"]))
+    return rules.histogram(rows.withColumn("reason", F.coalesce("reason", F.lit("kept"))))
+
+
+def source_like(spark, d):
+    return docs(spark, d).filter(rules.like_any("source", ["C1", "src7"]) | rules.like_any("lang", ["e"])).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+def numeric_gate(spark, d):
+    size = F.col("p_size").cast("string")
+    value = F.when(F.col("p_size") % 7 == 0, F.concat(size, F.lit("_0"))).when(F.col("p_size") % 7 != 1, size)
+    rows = rules.apply(spark.read.parquet(f"{d}/part.parquet"), rules.threshold(value, 20))
+    return rules.histogram(rows.withColumn("reason", F.coalesce("reason", F.lit("kept"))))
+
+
+def range_gate(spark, d):
+    rows = docs(spark, d).select("source")
+    gates = [rules.within(rows, low, high, F.col("source").isin(*blocked)).withColumn("gate", F.lit(name)) for name, low, high, blocked in (("ok", 1, 10**9, ["none"]), ("size", 10**8, 10**9, ["none"]), ("blocked", 1, 10**9, ["src3"]))]
+    return gates[0].unionByName(gates[1]).unionByName(gates[2])
+
+
+def prefix_counts(spark, d):
+    return rules.prefix_count(rules.apply(docs(spark, d), document_rules()), "too_")
+
+
+def token_caps(spark, d):
+    rows = docs(spark, d).select("doc_id", "lang", F.floor(T.token_proxy("text")).cast("long").alias("tokens"))
+    return rules.length_cap(rows, "tokens", 1500, "doc_id", "lang")
+
+
+def _pool(spark, d):
+    return docs(spark, d).select(F.left("text", F.lit(30)).alias("problem"), F.col("text").alias("solution"), F.when(F.contains("text", F.lit("!!")), "").otherwise("x").alias("answer"), F.lit("unknown").alias("level"), F.regexp_replace("source", r"^src(\d)\d*$", "s$1").alias("source"))
+
+
+BANDS = {"s1": (50, 400), "s2": (500, 8000)}
+
+
+def dataset_audit(spark, d):
+    return records.audit(_pool(spark, d), BANDS)
+
+
+def pool_validity(spark, d):
+    pool = _pool(spark, d)
+    return pool.groupBy("source").agg(F.count("*").alias("n"), F.count_if(records.pool_is_valid(pool)).alias("valid"))
+
+
+def extended_stages(spark, d):
+    level = F.when(F.col("doc_id") % 3 == 0, "olympiads").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Level "), F.col("doc_id") % 6)).otherwise("x")
+    kind = F.element_at(F.array(*map(F.lit, ("math", "s1k", "numina", "stratos", "openr1", "other"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = docs(spark, d).select(kind.alias("source"), level.alias("level"), _words().alias("words"))
+    return rows.groupBy("source", records.stage("source", "level", "words").cast("long").alias("stage")).agg(F.count("*").alias("n"))
+
+
+def allowed_labels(spark, d):
+    """Of the union of two lists those that occur, and those that are missing."""
+    allowed = spark.createDataFrame([(f"src{i}",) for i in (1, 2, 99)], "source string").union(spark.createDataFrame([("src2",), ("src5",), ("nowhere",)], "source string")).distinct()
+    seen = docs(spark, d).select("source").distinct()
+    return allowed.join(seen, "source", "left_semi").withColumn("state", F.lit("present")).unionByName(allowed.join(seen, "source", "left_anti").withColumn("state", F.lit("missing")))
+
+
+def missing_fields(spark, d):
+    rows = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("source"))
+    return rows.groupBy(F.array_join(records.required(rows, ["doc_id", "lang", "source", "title"]), ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+def flagged_first(spark, d):
+    """Rows by a composite of flags, then id: the first 20."""
+    both = F.contains("text", F.lit("\n")) & (F.col("lang") == "en")
+    return docs(spark, d).orderBy(F.when(both, 0).when(F.col("lang") == "fr", 1).otherwise(2), "doc_id").limit(20).select("doc_id", "lang")
+
+
+def next_slice(spark, d):
+    return select.next_rows(docs(spark, d).select("doc_id", "n_chars"), ["n_chars", "doc_id"], 0.9, 7)
+
+
+def quota_shortage(spark, d):
+    return select.shortages(docs(spark, d), "lang", {"en": 30, "fr": 20, "xx": 5, "es": 100000})
+
+
+def running_acceptance(spark, d):
+    """For each source the number of accepted rows so far, at every 10th row."""
+    rows = rules.apply(docs(spark, d), document_rules())
+    out = select.running(rows.select("source", "doc_id", "reason"), ["source"], ["doc_id"], {"seen": F.lit(1).cast("long"), "accepted": F.col("reason").isNull().cast("long")})
+    return out.filter(F.col("seen") % 10 == 0).select("source", "doc_id", "seen", "accepted")
+
+
 def previous_by_source(spark, d):
     w = Window.partitionBy("source").orderBy("doc_id")
     return docs(spark, d).select("doc_id", F.coalesce(F.lead("doc_id").over(w), F.lit(-1)).alias("next_id"), (F.row_number().over(w) - 1).cast("long").alias("index"))
@@ -172,4 +259,24 @@ ORACLES = {
     "previous_by_source": "SELECT doc_id, coalesce(lead(doc_id) OVER w, -1) AS next_id, row_number() OVER w - 1 AS index FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)",
 }
 ORACLES["word_stats_by_source"] = f"SELECT source, len(l) AS n, l[1] AS min, l[len(l) // 2 + 1] AS median, l[CAST(floor((len(l) - 1) * 0.95) AS BIGINT) + 1] AS p95, l[-1] AS max FROM (SELECT source, list_sort(list({WORDS})) AS l FROM documents GROUP BY source)"
+_KIND = "['math', 's1k', 'numina', 'stratos', 'openr1', 'other'][doc_id % 6 + 1]"
+_AUDIT = "CASE source WHEN 's1' THEN n > 50 AND n < 400 WHEN 's2' THEN n > 500 AND n < 8000 ELSE n > 100 AND n < 2000 END"
+_POOL = rf"(SELECT regexp_replace(source, '^src(\d)\d*$', 's\1') AS source, length(left(text, 30)) > 10 AS p, NOT contains(text, '!!') AS b, {WORDS} AS n FROM documents)"
+ORACLES |= {
+    "source_gate": "SELECT CASE WHEN source IN ('src3', 'src17') THEN 'blocked_source' WHEN source NOT IN (SELECT 'src' || i FROM range(15) AS t(i)) THEN 'disallowed_source' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
+    "source_like": "SELECT lang, source, count(*) AS n FROM documents WHERE source LIKE '%c1%' OR source LIKE '%src7%' OR lang LIKE '%e%' GROUP BY 1, 2",
+    "numeric_gate": "SELECT CASE WHEN p_size % 7 IN (0, 1) THEN 'bad_value' WHEN p_size < 20 THEN 'below_threshold' ELSE 'kept' END AS reason, count(*) AS n FROM part GROUP BY 1",
+    "range_gate": "SELECT gate, n AS rows, CASE gate WHEN 'blocked' THEN b ELSE 0 END AS blocked, gate = 'ok' AS passed FROM (SELECT count(*) AS n, count(*) FILTER (source = 'src3') AS b FROM documents), (VALUES ('ok'), ('size'), ('blocked')) AS t(gate)",
+    "prefix_counts": f"SELECT count(r) AS rejected, count(*) FILTER (starts_with(r, 'too_')) AS with_prefix FROM (SELECT {_REASON} AS r FROM documents)",
+    "token_caps": "SELECT lang, count(*) AS n, count(*) FILTER (t <= 1500) AS kept, max(t) AS longest, round(avg(t), 4) AS mean, coalesce(array_to_string((list(doc_id ORDER BY doc_id) FILTER (t > 1500))[1:5], ','), '') AS examples FROM (SELECT doc_id, lang, CAST(floor(greatest(1, length(text) / 4)) AS BIGINT) AS t FROM documents) GROUP BY lang",
+    "dataset_audit": f"SELECT source, count(*) AS n, count(*) FILTER (p) AS has_problem, count(*) FILTER (b) AS has_boxed, count(*) FILTER ({_AUDIT}) AS in_word_range, round(100 * count(*) FILTER (p) / count(*), 1) AS has_problem_percent, round(100 * count(*) FILTER (b) / count(*), 1) AS has_boxed_percent, round(100 * count(*) FILTER ({_AUDIT}) / count(*), 1) AS in_word_range_percent FROM {_POOL} GROUP BY source",
+    "pool_validity": f"SELECT source, count(*) AS n, count(*) FILTER (p AND b AND n > 100 AND n < 2000) AS valid FROM {_POOL} GROUP BY source",
+    "extended_stages": f"SELECT source, CASE source WHEN 'math' THEN CASE WHEN l <= 2 THEN 1 WHEN l = 3 THEN 2 WHEN l = 4 THEN 3 ELSE 4 END WHEN 's1k' THEN 4 WHEN 'numina' THEN CASE WHEN k = 0 THEN 4 WHEN n < 150 THEN 1 WHEN n < 400 THEN 2 WHEN n < 800 THEN 3 ELSE 4 END WHEN 'stratos' THEN 5 WHEN 'openr1' THEN CASE WHEN n > 1000 THEN 4 ELSE 3 END ELSE 2 END::BIGINT AS stage, count(*) AS n FROM (SELECT {_KIND} AS source, doc_id % 3 AS k, CASE WHEN doc_id % 3 = 1 THEN doc_id % 6 ELSE 0 END AS l, {WORDS} AS n FROM documents) GROUP BY 1, 2",
+    "allowed_labels": "SELECT source, CASE WHEN source IN (SELECT source FROM documents) THEN 'present' ELSE 'missing' END AS state FROM (VALUES ('src1'), ('src2'), ('src99'), ('src5'), ('nowhere')) AS t(source)",
+    "missing_fields": "SELECT array_to_string(list_filter([CASE WHEN doc_id % 2 = 1 THEN 'lang' END, CASE WHEN doc_id % 3 <> 0 THEN 'source' END, 'title'], lambda x: x IS NOT NULL), ',') AS missing, count(*) AS n FROM documents GROUP BY 1",
+    "flagged_first": "SELECT doc_id, lang FROM documents ORDER BY CASE WHEN contains(text, chr(10)) AND lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END, doc_id LIMIT 20",
+    "next_slice": "SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r, floor(count(*) OVER () * 0.9::DOUBLE) AS s FROM documents) WHERE r >= s AND r < s + 7",
+    "quota_shortage": "SELECT lang, w AS wanted, n AS have, w - n AS short FROM (SELECT lang, w, (SELECT count(*) FROM documents WHERE documents.lang = q.lang) AS n FROM (VALUES ('en', 30::BIGINT), ('fr', 20), ('xx', 5), ('es', 100000)) AS q(lang, w)) WHERE n < w",
+    "running_acceptance": f"SELECT source, doc_id, seen, accepted FROM (SELECT source, doc_id, row_number() OVER w - 1 AS seen, CAST(coalesce(sum(CAST({_REASON} IS NULL AS INT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS accepted FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE seen % 10 = 0",
+}
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -146,9 +146,122 @@ def label_mask(spark, d):
 
 
 def first_messages(spark, d):
-    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    first = lambda role: F.get(F.filter("m", lambda x: x["role"] == role), F.lit(0))["text"]
-    return rows.select("conv_id", F.md5(F.coalesce(first("user"), F.lit(""))).alias("asked"), F.md5(F.coalesce(first("assistant"), F.lit(""))).alias("answered"))
+    first = lambda role: F.md5(F.coalesce(F.min_by("text", F.when(F.col("role") == role, F.col("turn"))), F.lit("")))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(first("user").alias("asked"), first("assistant").alias("answered"))
+
+
+def looked_up(spark, d):
+    """Lookups that keep, must have and drop misses."""
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    side = read(spark, d, "customer").select("c_custkey", "c_nationkey")
+    some = side.filter("c_nationkey < 10")
+    parts = {"left": link.lookup(orders, some, "c_custkey"), "all": link.lookup_all(orders, side, "c_custkey"), "inner": orders.join(some, "c_custkey")}
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count("*").alias("n"), F.count("c_nationkey").alias("found")).withColumn("kind", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def zipped_rows(spark, d):
+    a = read(spark, d, "nation").select("n_nationkey", "n_name")
+    b = read(spark, d, "nation").select(F.col("n_name").alias("other"), (-F.col("n_nationkey")).alias("back"))
+    return link.zip_by_position(a, b, "n_nationkey", "back").select("n_nationkey", "n_name", "other")
+
+
+def grouped_members(spark, d):
+    """Each line of an order with all line numbers of the order."""
+    rows = read(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber")
+    out = link.with_group(rows, ["l_orderkey"], "l_linenumber", "numbers")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+def latest_parts(spark, d):
+    """Final rows before partial ones; rows without a key are counted."""
+    e = read(spark, d, "events").select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("key"), "event_type", "event_id")
+    one = lambda kind: e.filter(F.col("event_type") == kind).groupBy("key").agg(F.min("event_id").alias("event_id"))
+    known, counts = link.latest_counts([one("purchase"), one("click"), one("view")], "key")
+    return known.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).crossJoin(counts)  # one row each
+
+
+def anti_by_key(spark, d):
+    done = read(spark, d, "events").filter("event_type = 'purchase'").select(link.done_key(F.lit("public"), F.col("user_id"), F.lit("view")).alias("key"))
+    todo = read(spark, d, "events").filter("event_type = 'view'").withColumn("key", link.done_key(F.lit("public"), F.col("user_id"), F.col("event_type")))
+    return link.held_out(todo, done, "key").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _scored(spark, d):
+    mode = F.when(F.col("words") % 11 == 0, "timeout").when(F.col("words") % 13 == 0, "error:ValueError").when(F.col("rule") & ~F.col("correct"), "prose_fallback").when(F.col("correct"), "strict_correct").otherwise("unrescued")
+    return graded(spark, d).withColumn("mode", mode).withColumn("ok", F.col("correct") | (F.col("mode") == "prose_fallback"))
+
+
+def failure_breakdown(spark, d):
+    return stats.failure_modes(_scored(spark, d), "correct", "ok", "mode")
+
+
+def file_reports(spark, d):
+    out = stats.file_reports(_scored(spark, d), "lang", "correct", "ok")
+    return out.withColumn("lang", F.coalesce("lang", F.lit("all")))
+
+
+def merged_counts(spark, d):
+    per = _scored(spark, d).groupBy("source", "mode").agg(F.count("*").alias("n")).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("mode", "n"))).alias("counts"))
+    return stats.merge_counts(per, "counts")
+
+
+def format_crosstab(spark, d):
+    """Lengths by format and grade."""
+    bucket = F.when(F.col("words") < 100, "short").when(F.col("words") < 400, "middle").otherwise("long")
+    return graded(spark, d).groupBy(bucket.alias("bucket"), "format_ok", "correct").agg(F.count("*").alias("n"))
+
+
+def option_histogram(spark, d):
+    """How many rows have 0, 1, ... 6 lines or commas, 7 standing for more."""
+    count = lambda mark: F.least(F.regexp_count("text", F.lit(mark)), F.lit(7)).cast("long")
+    marks = docs(spark, d).select(F.explode(F.array(F.struct(F.lit("commas").alias("kind"), count(",").alias("k")), F.struct(F.lit("questions").alias("kind"), count(r"\?").alias("k")))).alias("x"))
+    return marks.groupBy("x.kind", "x.k").agg(F.count("*").alias("n"))
+
+
+def eval_rows(spark, d):
+    """Type tags of evaluation rows, and the accuracy of each with the total."""
+    rows = graded(spark, d).select("correct", F.when(F.col("is_mcq"), "mcq").when(F.col("is_multi"), "multi").otherwise("single").alias("kind"))
+    return stats.rolled_up(rows, ["kind"], "correct").withColumn("kind", F.coalesce("kind", F.lit("all")))
+
+
+def accepted_per_batch(spark, d):
+    """The first accepted candidate of each row in each batch."""
+    rows = select.expand(read(spark, d, "part").select("p_partkey", "p_size"), 6).withColumn("batch", F.floor((F.col("candidate") - 1) / 2))
+    good = rows.filter((F.col("p_size") + F.col("candidate") * 5 + F.col("p_partkey")) % 3 == 0)
+    return link.first_by(good, ["batch", "p_partkey"], "candidate").groupBy("batch").agg(F.count("*").alias("n"), F.sum("candidate").alias("candidates"))
+
+
+def tag_rates(spark, d):
+    """Shares of tags by windows of 1000 steps."""
+    e = read(spark, d, "events")
+    flag = lambda k, t: F.when(F.col("event_id") % k == 0, t)
+    tags = F.array_compact(F.array(flag(2, "correct"), flag(3, "ideal_box"), flag(5, "clipped"), flag(7, "mcq_letter"), F.when(F.col("event_id") % 2 == 1, "wrong")))
+    kind = F.when(F.col("event_type") == "view", "mcq").when(F.col("event_type") == "click", "multi").otherwise("single")
+    out = reward.tag_rates(e.select("event_id", F.round("value", 2).alias("value"), tags.alias("tags"), kind.alias("kind")), "event_id", "value", "tags", "kind", 1000)
+    return out.select("window", "completions", F.round("mean", 4).alias("mean"), "correct_rate", "wrong_rate", "clipped_rate", "scattered_box_rate", "mcq_count", "mcq_correct_rate", "multi_count", "multi_ideal_box_rate", "single_clipped_rate", "mcq_letter_among_mcq_rate")
+
+
+def cumulative_rewards(spark, d):
+    out = reward.cumulative(read(spark, d, "events").select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents")), "event_id", "cents", 200)
+    return out.select("n", F.floor("mean").alias("mean"))
+
+
+def cyclic_stream(spark, d):
+    mixed = select.mix_streams(read(spark, d, "events").filter("event_id < 2000").select("event_id"), "event_id", 500, 0.1, 0.5, "mix")
+    return select.cyclic_items(mixed, "event_id", read(spark, d, "nation"), "n_nationkey", "13").select("event_id", "n_nationkey")
+
+
+def layer_weights(spark, d):
+    """Vectors as the tensors of layers and others, moved towards their doubles."""
+    name = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("model.layers."), F.col("vec_id") % 8, F.lit(".w"), F.col("vec_id"))).otherwise(F.concat(F.lit("head.w"), F.col("vec_id")))
+    base = read(spark, d, "embeddings").select(name.alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"), "vec_id")
+    tuned = base.filter("vec_id % 5 <> 0").select("name", F.transform("values", lambda x: x * 2).alias("values"))
+    out = stats.interpolated_weights(base.select("name", "values"), tuned, 8, 0.2, 0.9, 0.5)
+    return out.select("name", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 def reward_windows(spark, d):
@@ -202,4 +315,25 @@ ORACLES = {
     "flat_stop": "SELECT step, mean, count(mean) OVER w >= 9 AND max(mean) OVER w - min(mean) OVER w < 20.0 AS flat FROM (SELECT event_id // 25 AS step, round(avg(value), 4) AS mean FROM events GROUP BY 1) WINDOW w AS (ORDER BY step ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)",
     "stop_rules": "SELECT CASE WHEN event_id % 9000 > 7000 THEN 'length' WHEN value / 5 > 10 THEN 'kl' WHEN event_id % 4 = 0 THEN 'flat' ELSE 'none' END AS reason, count(*) AS n FROM events GROUP BY 1",
 }
+_MODES = f"(SELECT *, correct OR mode = 'prose_fallback' AS ok FROM (SELECT *, CASE WHEN words % 11 = 0 THEN 'timeout' WHEN words % 13 = 0 THEN 'error:ValueError' WHEN rule AND NOT correct THEN 'prose_fallback' WHEN correct THEN 'strict_correct' ELSE 'unrescued' END AS mode FROM {_G}))"
+_REPORT = "count(*) AS n, count(*) FILTER (correct) AS strict_correct, count(*) FILTER (ok) AS capability_correct, count(*) FILTER (ok AND NOT correct) AS rescued, round(avg(correct::INT), 6) AS strict_accuracy, round(avg(ok::INT), 6) AS capability_accuracy"
+_RATE = lambda c, of="true": f"round(count(*) FILTER (({c}) AND ({of})) / greatest(count(*) FILTER ({of}), 1), 6)"
+ORACLES |= {
+    "looked_up": "SELECT kind, CASE kind WHEN 'inner' THEN f ELSE n END AS n, CASE kind WHEN 'all' THEN n ELSE f END AS found FROM (SELECT count(*) AS n, count(*) FILTER (c_nationkey < 10) AS f FROM orders JOIN customer ON o_custkey = c_custkey), (VALUES ('left'), ('all'), ('inner')) AS t(kind)",
+    "zipped_rows": "SELECT a.n_nationkey, a.n_name, b.n_name AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY -n_nationkey) AS r FROM nation) b USING (r)",
+    "grouped_members": "SELECT l_orderkey, l_linenumber, string_agg(l_linenumber, ',' ORDER BY l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS numbers FROM lineitem WHERE l_orderkey < 2000",
+    "latest_parts": "WITH e AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS key, event_type, event_id FROM events), p AS (SELECT key, min(event_id) AS id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS part FROM e WHERE event_type IN ('purchase', 'click', 'view') GROUP BY key, event_type) SELECT (SELECT count(DISTINCT key) FROM p) AS n, (SELECT CAST(sum(id) AS BIGINT) FROM (SELECT arg_min(id, part) AS id FROM p WHERE key IS NOT NULL GROUP BY key)) AS ids, (SELECT count(*) FROM p WHERE key IS NULL) AS bad, (SELECT count(key) - count(DISTINCT key) FROM p) AS hidden",
+    "anti_by_key": "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "failure_breakdown": f"SELECT mode, count(*) AS n FROM {_MODES} WHERE (ok AND NOT correct) OR starts_with(mode, 'error:') OR mode = 'timeout' GROUP BY mode",
+    "file_reports": f"SELECT lang, {_REPORT} FROM {_MODES} GROUP BY lang UNION ALL SELECT 'all', {_REPORT} FROM {_MODES}",
+    "merged_counts": f"SELECT mode AS label, count(*) AS n FROM {_MODES} GROUP BY mode",
+    "format_crosstab": f"SELECT CASE WHEN words < 100 THEN 'short' WHEN words < 400 THEN 'middle' ELSE 'long' END AS bucket, format_ok, correct, count(*) AS n FROM {_G} GROUP BY ALL",
+    "option_histogram": "SELECT kind, k, count(*) AS n FROM (SELECT 'commas' AS kind, least(length(text) - length(replace(text, ',', '')), 7) AS k FROM documents UNION ALL SELECT 'questions', least(length(text) - length(replace(text, '?', '')), 7) FROM documents) GROUP BY kind, k",
+    "eval_rows": f"SELECT coalesce(kind, 'all') AS kind, count(*) AS n, count(*) FILTER (correct) AS correct, round(avg(correct::INT), 6) AS accuracy FROM (SELECT correct, CASE WHEN is_mcq THEN 'mcq' WHEN is_multi THEN 'multi' ELSE 'single' END AS kind FROM {_G}) GROUP BY ROLLUP (kind)",
+    "accepted_per_batch": "SELECT b AS batch, count(*) AS n, CAST(sum(c) AS BIGINT) AS candidates FROM (SELECT (c - 1) // 2 AS b, p_partkey, min(c) AS c FROM part, range(1, 7) AS t(c) WHERE (p_size + c * 5 + p_partkey) % 3 = 0 GROUP BY 1, 2) GROUP BY 1",
+    "tag_rates": "SELECT w AS \"window\", count(*) AS completions, round(avg(value), 4) AS mean, " + ", ".join(f"{_RATE(c)} AS {k}_rate" for k, c in {"correct": "i % 2 = 0", "wrong": "i % 2 = 1", "clipped": "i % 5 = 0", "scattered_box": "false"}.items()) + f", count(*) FILTER (k = 'view') AS mcq_count, {_RATE('i % 2 = 0', 'k = ' + chr(39) + 'view' + chr(39))} AS mcq_correct_rate, count(*) FILTER (k = 'click') AS multi_count, {_RATE('i % 3 = 0', 'k = ' + chr(39) + 'click' + chr(39))} AS multi_ideal_box_rate, {_RATE('i % 5 = 0', 'k NOT IN (' + chr(39) + 'view' + chr(39) + ', ' + chr(39) + 'click' + chr(39) + ')')} AS single_clipped_rate, {_RATE('i % 7 = 0', 'k = ' + chr(39) + 'view' + chr(39))} AS mcq_letter_among_mcq_rate FROM (SELECT event_id // 1000 AS w, event_id AS i, event_type AS k, round(value, 2) AS value FROM events) GROUP BY w",
+    "cumulative_rewards": "SELECT n, CAST(floor(s / n) AS BIGINT) AS mean FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, sum(round(value * 100)::BIGINT) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE n % 200 = 0",
+    "cyclic_stream": f"WITH s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events WHERE event_id < 2000 AND {_U(chr(39) + 'mix:' + chr(39) + ' || event_id')} < 0.1::DOUBLE + (0.5::DOUBLE - 0.1::DOUBLE) * least(event_id / 500.0::DOUBLE, 1.0)) SELECT event_id, n_nationkey FROM s JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY {_H('13', 'n_nationkey')}, n_nationkey) - 1 AS p, count(*) OVER () AS c FROM nation) ON r % c = p",
+    "layer_weights": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'model.layers.' || (vec_id % 8) || '.w' || vec_id ELSE 'head.w' || vec_id END AS name, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * (1 + CASE WHEN vec_id % 5 = 0 THEN 0 WHEN vec_id % 3 = 0 THEN 0.9::DOUBLE + (vec_id % 8) / 7.0::DOUBLE * (0.2::DOUBLE - 0.9::DOUBLE) ELSE 0.5::DOUBLE END))), 4) AS total FROM embeddings",
+}
 QUERIES = {name: globals()[name] for name in ORACLES}

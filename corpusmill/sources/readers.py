@@ -5,8 +5,12 @@ All readers take paths that Spark can open; none opens a file itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import io
+import json
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +82,34 @@ def cache_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
+def read_mirror(spark: SparkSession, root: str, name: str, config: str = "default", split: str = "train") -> DataFrame:
+    """A split of a dataset in a local mirror laid out as root/name/config/split*.parquet."""
+    return spark.read.parquet(f"{root}/{name}/{config}/{split}*.parquet")
+
+
+def read_split_dirs(spark: SparkSession, path: str, split: str, by: str = "split") -> DataFrame:
+    """One split of a dataset that was saved with a folder for each."""
+    return spark.read.parquet(path).filter(F.col(by) == split).drop(by)
+
+
+def read_zip_json(spark: SparkSession, paths: str | list[str], member: str, schema: StructType | str) -> DataFrame:
+    """The records of a member (a JSON array, or JSON lines) of zip archives, an archive to a task."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    text = archive.read(member).decode()
+                if text.lstrip().startswith("["):
+                    records = [json.dumps(r, ensure_ascii=False) for r in json.loads(text)]
+                else:
+                    records = [line for line in text.split("\n") if line.strip()]
+                yield pd.DataFrame({"line": records}, dtype="object")
+
+    lines = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(members, "line string")
+    return lines.select(F.from_json("line", schema if isinstance(schema, str) else schema.json(), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def first_readable(reads: Iterable[Callable[[], DataFrame]]) -> DataFrame:
     """The first reader that finds its path."""
     last: AnalysisException | None = None

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.functions import grading, scan
+from corpusmill.functions import grading, scan, tokens
 from corpusmill.functions import text as T
 
 
@@ -45,8 +47,10 @@ def test_judge():
     assert not grading.judge(r"\boxed{2}", ["2", "3"]) and not grading.judge(r"\boxed{2}", [])
     assert grading.judge(r"\boxed{(B)}", ["B"], ["x", "y"]) and not grading.judge(r"\boxed{A}", ["B"], ["x", "y"])
     assert grading.judge("work\n#### 42", ["42"]) and grading.judge("The answer is 7.", ["7"])
-    assert grading.score("thus x = 7.", ["7"]) == (True, "prose_fallback")
-    assert grading.score("It must be B", ["B"], ["p", "q"]) == (True, "mcq_letter_recovered")
+    assert grading.score("thus x = 7.", ["7"]) == (True, "strict_correct")  # the last number is the answer where nothing else is
+    assert grading.score("thus x = 7.\nNext 9", ["7"]) == (True, "prose_fallback")
+    assert grading.score("It must be option B", ["B"], ["p", "q"]) == (True, "prose_fallback")
+    assert grading.score("It must be B", ["B"], ["p", "q"]) == (False, "unrescued")  # a sentence is no label
     assert grading.score(r"\boxed{3.142}", [r"\pi"]) == (True, "exact_decimal_numeric")
     assert grading.score("no idea", ["7"]) == (False, "unrescued")
 
@@ -74,3 +78,25 @@ def test_text_columns(spark):
     assert [tuple(r) for r in one(spark, T.answer_candidates("x"), r"\boxed{1} \boxed{2}")][:2] == [("boxed_last", "2"), ("multi_box_join", "1, 2")]
     assert one(spark, T.format_ok("x", F.lit(2), F.lit(None).cast("array<string>")), r"</think>\boxed{1,2}") and not one(spark, T.format_ok("x", F.lit(1), F.lit(None).cast("array<string>")), r"\boxed{1}\boxed{2}")
     assert one(spark, T.user_problem("x", F.lit(None).cast("array<string>")), " q ") == "q"
+
+
+def test_rows_end_in_time():
+    """A row that takes too long keeps its strict verdict; boxes that never close take linear time."""
+    assert grading.score(r"\boxed{x}", ["x+1"], seconds=-1.0) == (False, "timeout")
+    assert grading.score(r"\boxed{x}", ["x"], correct=True) == (True, "strict_correct")
+    assert scan.box_spans(r"\boxed{" * 100_000) == []
+    assert len(scan.box_spans(r"\boxed{x}" * 50_000)) == 50_000
+
+
+def test_token_counts(spark):
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    tokenizers = pytest.importorskip("tokenizers")
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    texts = ["plain words here", "", None, "naïve 12345"]
+    with open(path) as f:
+        content = f.read()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(tokens.token_count_udf(content)("t")).collect()]
+    own = tokenizers.Tokenizer.from_str(content)
+    assert got == [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import records
@@ -36,3 +37,26 @@ def test_shapes(spark):
     assert df.select(records.required(df, ["id", "reasoning"])).first()[0] == ["reasoning"]
     g = spark.createDataFrame([("Yes", "no", "t1", "t2"), ("no", " yes", "t1", "t2"), ("", "yes", "t1", "t2")], "deepseek_grade string, gemini_grade string, deepseek_thinking_trajectory string, gemini_thinking_trajectory string")
     assert [(r.t.trace, r.t.origin) for r in g.select(records.graded_trace(g).alias("t")).collect()] == [("t1", "deepseek"), ("t2", "gemini"), (None, "unverified")]
+
+
+def test_projections(spark):
+    step = "step " * 55 + "end."
+    verified = spark.createDataFrame([("p", "5", [step, step], [True, True], [True, False])], "problem string, answer string, generations array<string>, is_reasoning_complete array<boolean>, correctness_math_verify array<boolean>")
+    instruct = spark.createDataFrame([("Pick (A) one (B) two", "We add. The answer is B.")], "instruction string, output string")
+    difficulty = spark.createDataFrame([("q [ANS] [ANS]", "5, 6", step + " more.", None, step)], "question string, final_answer string, r1_solution_1 string, r1_solution_2 string, r1_solution_3 string")
+    graded = spark.createDataFrame([("q", "no", "Yes", "t", step, "a", r"\boxed{7}")], "question string, deepseek_grade string, gemini_grade string, deepseek_thinking_trajectory string, gemini_thinking_trajectory string, deepseek_attempt string, gemini_attempt string")
+    got = {k: records.projected(df, k).first() for k, df in (("verified", verified), ("instruct", instruct), ("difficulty", difficulty), ("graded", graded))}
+    assert (got["verified"].answer, got["verified"].reasoning, got["verified"].is_mcq) == ("5", step, False)
+    assert (got["instruct"].options, got["instruct"].answer, got["instruct"].reasoning, got["instruct"].is_mcq) == (["one", "two"], "B", "We add.", True)
+    assert (got["difficulty"].n_ans, got["difficulty"].reasoning) == (2, step)
+    assert (got["graded"].answer, got["graded"].reasoning) == ("7", step)
+    clean = records.projected(spark.createDataFrame([("q", "5", "r", "s")], "question string, answer string, reasoning string, source string"), "clean").first()
+    assert (clean.target_answer, clean.original_source, clean.n_ans, clean.is_mcq) == ("5", "s", 1, False)
+
+
+def test_prompt_prefix(spark):
+    df = spark.createDataFrame([("ab", "abc"), ("x", "abc")], "p string, t string")
+    assert df.filter("p = 'ab'").select(records.prompt_is_prefix("p", "t")).collect()[0][0] is True
+    with pytest.raises(Exception, match="doesn't begin"):
+        df.select(records.prompt_is_prefix("p", "t")).collect()
+    assert records.anchors(spark.createDataFrame([("s", "b")], "source string, bucket string")).first().asDict() == {"source": "anchor", "bucket": "b", "original_source": "s", "original_bucket": "b"}

@@ -3,7 +3,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
-from corpusmill.sources import readers, sinks
+from corpusmill.sources import inference, readers, sinks
 
 
 def rows(df):
@@ -77,3 +77,40 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.batch_writer(f"{tmp_path}/batches")(df, 7)
     assert spark.read.parquet(f"{tmp_path}/batches").count() == 3
+
+
+def test_inference(spark):
+    """Calls are tried again with growing pauses; a prompt whose calls all fail has the error."""
+    waits, calls = [], []
+
+    def flaky(prompts, n):
+        calls.append(len(prompts))
+        if len(calls) < 4:
+            raise OSError("busy")
+        return [[p.upper()] * n for p in prompts]
+
+    assert inference.call(flaky, ["a", "b"], 2, 5, waits.append) == ([["A", "A"], ["B", "B"]], None)
+    assert waits == [1.0, 2.0, 4.0] and inference.backoff(9) == 30.0
+
+    def make():
+        def client(prompts, n):
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [[f"{p}{k}" for k in range(n)] for p in prompts]
+
+        return client
+
+    df = spark.createDataFrame([(1, "x"), (2, "bad"), (3, "y")], "id long, prompt string")
+    got = sorted(map(tuple, inference.respond(df, "id", "prompt", make, n=2, batch=1, tries=1).collect()))
+    assert got == [(1, 1, "x0", None), (1, 2, "x1", None), (2, 0, None, "ValueError: no"), (3, 1, "y0", None), (3, 2, "y1", None)]
+
+
+def test_replaced_files(spark, tmp_path):
+    path = f"{tmp_path}/p.json"
+    assert sinks.read_bytes(spark, path) is None
+    for k in (b"1", b"22"):
+        sinks.write_bytes(spark, path, k)
+    assert sinks.read_bytes(spark, path) == b"22"
+    assert sinks.sidecar_path("a/b.jsonl") == "a/b_capability_rescues.jsonl"
+    with pytest.raises(Exception):
+        sinks.copy_tree(spark, f"{tmp_path}/none", f"{tmp_path}/x")
