@@ -1,23 +1,28 @@
 """Line dedup in DataFrame operations only: a suffix array over line ids by prefix doubling.
 
 Every line with a word gets an id, every position (document, line) a number in
-the order of doc_id and line. Prefix doubling names the runs of 1, 2, 4, ...
-lines at each position: the name of a run of 2k lines is the first position
-that has the same two names of its halves, so positions that share a name lie
-in one interval of the suffix array whose common prefix is as long as the run.
-A position whose run occurs nowhere else leaves the rounds.
-
-A run counts if it has ``MIN_WORDS`` words or more. From each line the shortest
-such run forwards and backwards is looked up by the names of its two (possibly
-overlapping) halves; together these cover every longer repeated run, so what
-they cover is exactly the maximal repeated runs. All copies of a run but the
-first are deleted; copies are judged on the input, not on what is left.
+the order of doc_id and line. Prefix doubling ranks the runs of 1, 2, 4, ... lines
+at each position: the rank of a run of 2k lines is the place of the pair of its
+halves' ranks in their sorted order, found by sorting the distinct pairs by ranges.
+So ranks order positions as a suffix array does, and positions of one rank are an
+interval of it whose longest common prefix is as long as the run. A position whose
+run occurs nowhere else is an interval of its own and leaves the rounds.
+
+A run counts if it has ``MIN_WORDS`` words or more. The common prefix of two
+neighbours in the array has enough words if it is as long as the shortest run from
+there that has; that run's interval is found by the ranks of its two (possibly
+overlapping) halves, forwards from its first line and backwards from its last.
+Every longer repeated run is the union of such ones, so what they cover together
+are the maximal repeated runs. Of an interval all positions but the first are
+copies, and are deleted; copies are judged on the input, not on what is left.
+With ``min_words`` 1 every later copy of a line goes.
 
 Lines without a word are neither compared nor deleted. A null text stays null,
 an empty one empty. Rows with a null id come first in the order. Rows that are
 repeated (same id, same text) are one document and all get its result; rows of
-one id with different texts are different documents. An empty table gives an
-empty result.
+one id with different texts are different documents. Columns of the input keep
+their names, whatever these are; only n_lines and n_removed are replaced. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,18 +57,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return C.cut(ordered.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows whose key occurs more than once, with the first position of the key as its name.
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose key occurs more than once, with the key's place in the order of all such keys (``rank``) and its first position (``first``).
 
-    The names are checkpointed, so that both sides of the join are dealt out by it alone: Spark can then split a key with very many rows.
+    The ranks are checkpointed, so that they stay what they are, and both sides of the join are dealt out by it alone: Spark can then split a key with very many rows.
     """
-    first = C.cut(rows.groupBy(*keys).agg(F.min("uid").alias(name), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return rows.join(first, keys)
-
-
-def _shifted(names: DataFrame, by: int | Column) -> DataFrame:
-    """The same names, to be found from the position ``by`` lines before; a document's base is uid - cline."""
-    return names.select((F.col("uid") - by).alias("uid"), (F.col("uid") - F.col("cline")).alias("base"), F.col("name").alias("name2"))
+    several = rows.groupBy(*keys).agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    ordered = several.repartitionByRange(C.partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    return rows.join(C.cut(ordered.withColumn("rank", F.monotonically_increasing_id())), keys)
 
 
 def _runs(live: DataFrame, min_words: int) -> DataFrame:
@@ -76,37 +77,38 @@ def _runs(live: DataFrame, min_words: int) -> DataFrame:
         grow = lambda a, x: F.when((a["sum"] < min_words) & (x["cline"] == F.col("cline") + step * a["n"]), F.struct((a["n"] + 1).alias("n"), (a["sum"] + x["words"]).alias("sum"))).otherwise(a)
         return F.aggregate(ahead, zero, grow, lambda a: F.when(a["sum"] >= min_words, a["n"]))
 
-    w = Window.partitionBy("base").orderBy("cline")
+    w = Window.partitionBy("base").orderBy("cline")  # at most a document's lines
     reach = min_words - 1  # each line has a word
-    both = live.withColumn("base", F.col("uid") - F.col("cline")).select("uid", "cline", shortest(w.rowsBetween(0, reach), 1).alias("f"), shortest(w.rowsBetween(-reach, 0), -1).alias("b"))
-    forward = both.filter("f is not null").select("uid", "cline", F.col("f").alias("m"))
-    backward = both.filter("b is not null").select((F.col("uid") - F.col("b") + 1).alias("uid"), (F.col("cline") - F.col("b") + 1).alias("cline"), F.col("b").alias("m"))
+    both = live.select("uid", "cline", shortest(w.rowsBetween(0, reach), 1).alias("f"), shortest(w.rowsBetween(-reach, 0), -1).alias("b"))
+    forward = both.filter("f is not null").select("uid", F.col("f").alias("m"))
+    backward = both.filter("b is not null").select((F.col("uid") - F.col("b") + 1).alias("uid"), F.col("b").alias("m"))
     return forward.union(backward).distinct()
 
 
 def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """uids of the lines to delete."""
     words = F.least(F.col("words"), F.lit(min_words)).cast("int").alias("words")
-    names = C.cut(_named(lines.select("uid", "cline", words, "h1", "h2"), ["h1", "h2"], "name").select("uid", "cline", "words", "name"))
-    runs = C.cut(_runs(names, min_words))
+    base = (F.col("uid") - F.col("cline")).alias("base")  # of the document
+    ranks = C.cut(_ranked(lines.select("uid", base, "cline", words, "h1", "h2"), ["h1", "h2"]).select("uid", "base", "cline", "words", "rank", "first"))
+    runs = C.cut(_runs(ranks, min_words))
     longest = runs.agg(F.max("m")).first()[0] or 0
-    # names of the runs of one line are at hand; each round doubles the length
-    found, k = [runs.filter("m = 1").join(names.select("uid", "name"), "uid").filter("uid > name").select("uid", "m")], 1
+    # intervals of runs of one line are at hand; each round doubles the length
+    copies, k = [runs.filter("m = 1").join(ranks.filter("uid > first").select("uid"), "uid").select("uid", "m")], 1
     while k < longest:
-        within = runs.filter((F.col("m") > k) & (F.col("m") <= 2 * k))
-        # a run of k < m <= 2k lines is two runs of k lines that may overlap
-        halves = within.withColumn("base", F.col("uid") - F.col("cline")).join(names.select("uid", "name"), "uid")
-        ends = names.select("uid", (F.col("uid") - F.col("cline")).alias("base"), F.col("name").alias("name2"))
-        pairs = halves.withColumn("at", F.col("uid") + F.col("m") - k).join(ends.withColumnRenamed("uid", "at"), ["at", "base"]).select("uid", "m", "name", "name2")
-        first = C.cut(pairs.groupBy("m", "name", "name2").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-        found.append(pairs.join(first, ["m", "name", "name2"]).filter("uid > first").select("uid", "m"))
+        # a run of k < m <= 2k lines is two runs of k lines that may overlap; its document has both
+        at = ranks.select("uid", "rank")
+        head = runs.filter((F.col("m") > k) & (F.col("m") <= 2 * k)).join(at, "uid").withColumn("end", F.col("uid") + F.col("m") - k)
+        pairs = C.cut(head.join(at.withColumnsRenamed({"uid": "end", "rank": "rank2"}), "end").select("uid", "m", "rank", "rank2"))
+        interval = C.cut(pairs.groupBy("m", "rank", "rank2").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+        copies.append(pairs.join(interval, ["m", "rank", "rank2"]).filter("uid > first").select("uid", "m"))
         if 2 * k >= longest:
             break
-        doubled = names.withColumn("base", F.col("uid") - F.col("cline")).join(_shifted(names, k), ["uid", "base"])
-        names = C.cut(_named(doubled.select("uid", "cline", "name", "name2").withColumnRenamed("name", "name1"), ["name1", "name2"], "name").select("uid", "cline", "name"))
+        ahead = Window.partitionBy("base").orderBy("cline").rangeBetween(k, k)
+        doubled = ranks.select("uid", "base", "cline", F.col("rank").alias("rank1"), F.max("rank").over(ahead).alias("rank2")).filter("rank2 is not null")
+        ranks = C.cut(_ranked(doubled, ["rank1", "rank2"]).select("uid", "base", "cline", "rank"))
         k *= 2
-    hits = found[0]
-    for more in found[1:]:
+    hits = copies[0]
+    for more in copies[1:]:
         hits = hits.union(more)
     return hits.select(F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), "uid").select((F.col("uid") + F.col("i")).alias("uid")).distinct()
 
@@ -119,14 +121,19 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # one byte for each line up to the last that goes: 1 where it goes
     back = F.col("gone")
     mask = F.array_join(F.transform(back, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get(back, i - 1) + 1).otherwise(0)), F.lit("1"))), "")
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.size("gone").cast("long").alias("_n"), F.encode(mask, "utf-8").alias("_mask"))
-    both = docs.withColumn("_h", _text_hash()).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    every = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(every, lambda x, i: F.coalesce(F.substring(F.col("_mask"), i + 1, F.lit(1)) != F.encode(F.lit("1"), "utf-8"), F.lit(True))), "\n")
-    n_lines = F.coalesce(F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(C.SPACES))) > 0)), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines)
-    out = {"n_lines": n_lines.cast("long"), "n_removed": F.coalesce("_n", F.lit(0)).cast("long"), "text": F.when(F.col("_n").isNull(), F.col("text")).otherwise(kept)}
-    return both.select(*[F.col(c) for c in docs.columns if c not in out], *[x.alias(c) for c, x in out.items()])
+    # the documents' own columns are numbered here, so that no name clashes
+    own, out = {c: f"c{i}" for i, c in enumerate(docs.columns)}, {"n_lines", "n_removed", "text"}
+    named = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], _text_hash().alias("th"))
+    d = lambda c: F.col(own[c])
+    removed = removed.select(F.col("doc_id").alias("id"), F.col("th").alias("h"), F.size("gone").cast("long").alias("n"), F.encode(mask, "utf-8").alias("mask"))
+    both = named.join(removed, d("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left")
+    every = F.split(d("text"), "\n", -1)
+    kept = F.array_join(F.filter(every, lambda x, i: F.coalesce(F.substring(F.col("mask"), i + 1, F.lit(1)) != F.encode(F.lit("1"), "utf-8"), F.lit(True))), "\n")
+    n_lines = F.when(d("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(C.SPACES))) > 0)))
+    made = {"n_lines": n_lines.cast("long"), "n_removed": F.coalesce("n", F.lit(0)).cast("long"), "text": F.when(F.col("n").isNull(), d("text")).otherwise(kept)}
+    # in two steps, as a name that a select gives could be taken for one that it uses
+    both = both.select(*[d(c) for c in docs.columns if c not in out], *[x.alias(f"made_{k}") for k, x in made.items()])
+    return both.select(*[d(c).alias(c) for c in docs.columns if c not in out], *[F.col(f"made_{k}").alias(k) for k in made])
 
 
 def digest(deduped: DataFrame) -> DataFrame:

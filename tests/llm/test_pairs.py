@@ -153,6 +153,32 @@ def test_line_dedup(spark, docs, empty):
             assert r.text == expected[r.doc_id, source[0]], r.doc_id
 
 
+def test_line_dedup_every_line(spark):
+    """With one word as the least every later copy of a line goes, and clashing names of columns stay what they are."""
+    rows = [(1, "a b\nc\na b\n\nd e f"), (2, "c\nx\nd e f\ny"), (2, "c\nx\nd e f\ny"), (3, "x\ny\nz"), (None, "d e f")]
+    names = ["_h", "_id", "_n", "_mask", "_th", "uid", "base", "rank", "first", "d.x", "m", "h", "id", "n", "mask", "th", "n_lines"]
+    df = spark.createDataFrame([(i, t, *[f"own {k}" for k in range(len(names))]) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = linededup.line_dedup(df, 1)
+    assert got.columns == ["doc_id", *names[:-1], "n_lines", "n_removed", "text"]
+    expected = brute_lines([(-1 if i is None else i, t) for i, t in rows], 1)
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        source = next(t for i, t in rows if i == r.doc_id)
+        assert r.text == expected[-1 if r.doc_id is None else r.doc_id, source]
+        assert [r[n] for n in names[:-1]] == [f"own {k}" for k in range(len(names) - 1)]
+
+
+def test_line_dedup_long_runs(spark):
+    """Runs of many short lines, over several rounds of doubling."""
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"l{rng.randrange(3)}" if rng.random() < 0.9 else f"own{i}" for _ in range(rng.randrange(5, 60)))) for i in range(14)]
+    for least in (3, 17, 40):
+        expected = brute_lines(rows, least)
+        got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+        assert {(r.doc_id, r.text) for r in got} == {(i, t) for (i, _), t in expected.items()}
+
+
 def test_decontaminate(spark, docs, empty):
     items = [(1, "What is the colour of the sky at noon in summer over the hills? It is a deep and cloudless blue"), (2, "Name the river.\nAnswer: the long winding Danube of old songs"), (3, None), (4, ""), (5, PASSAGE), (5, PASSAGE)]
     bench = spark.createDataFrame(items, "item_id long, text string")
