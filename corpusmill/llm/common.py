@@ -147,6 +147,12 @@ _RNG = np.random.default_rng(20240607)
 _WINDOW = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def longer(rolled: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Sums for all runs of n words from those for runs of n - 1 (of the first length: nothing): one product more for each."""
+    last = ids[n - 1 :] * _WINDOW[n - 1]
+    return last if n == 1 else rolled[: len(last)] + last
+
+
 def windows(ids: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words (64 at most), by their words' hashes: a product with odd numbers by place, then spread."""
     if len(ids) < n:

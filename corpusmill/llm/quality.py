@@ -1,6 +1,6 @@
 """Quality rules on repetition, by rolling hashes of several n-gram lengths in numpy.
 
-For each length the share of a text's word bytes inside duplicated n-grams is
+For each length the share of a text's word characters inside duplicated n-grams is
 measured (the first copy not counted), as well as the share in the most
 frequent short n-gram and in repeated lines. A text is kept if its base rules
 hold and no share passes its limit.
@@ -34,45 +34,63 @@ def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Places of the keys that occur more than once, by key, then place. Most occur once, so plain sorting finds the others' values first."""
+    ranked = np.sort(key)
+    values = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(values):
+        return np.empty(0, np.int64)
+    hit = np.flatnonzero(values[np.minimum(np.searchsorted(values, key), len(values) - 1)] == key)
+    return hit[np.argsort(key[hit], kind="stable")]
+
+
 def repetition(texts: list[str], hashes: C.WordHashes, top: dict[int, float] = TOP, duplicated: dict[int, float] = DUPLICATED) -> dict[str, np.ndarray]:
-    """The measures of all texts at once: windows of all of them are sorted together, with their text mixed into the hash."""
+    """The measures of all texts at once: windows of all of them are sorted together.
+
+    A window's hash rolls from length to length: each adds one word's hash times the
+    weight of its place; it is spread, and its text mixed in, before it is compared. Two
+    windows of one text are taken for equal if their 64 bits are.
+    """
     k = len(texts)
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     n = np.fromiter(map(len, words), np.int64, k)
     flat = [w for ws in words for w in ws]
     total = len(flat)
-    ids, size, doc = hashes.of(flat), np.fromiter(map(len, flat), np.int64, total), np.repeat(np.arange(k), n)
+    ids, doc = hashes.of(flat), np.repeat(np.arange(k), n)
+    # characters: bytes that don't go on with one
+    ends = np.cumsum(np.fromiter(map(len, flat), np.int64, total))
+    begun = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(flat), np.uint8) & 0xC0 != 0x80)])
+    reach = np.concatenate([[0], begun[ends]])
+    size = np.diff(reach)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=k)
-    bytes_of = np.maximum(per_doc(size), 1)
+    chars = np.maximum(per_doc(size), 1)
     salt = C.mix(doc.astype(np.uint64) + np.uint64(1))
-    out = {"n": n, "bytes": bytes_of, "top": np.zeros(k), "dup": np.zeros(k), "repeat": np.zeros(k, np.int64)}
-    reach = np.concatenate([[0], np.cumsum(size)])
-    for length in sorted({WINDOW, *top, *duplicated}):
+    out = {"n": n, "chars": chars, "top": np.zeros(k), "dup": np.zeros(k), "repeat": np.zeros(k, np.int64)}
+    rolled = np.empty(0, np.uint64)
+    for length in range(1, max({WINDOW, *top, *duplicated}) + 1):
         if total < length:
+            break
+        rolled = C.longer(rolled, ids, length)
+        if length != WINDOW and length not in top and length not in duplicated:
+            continue
+        inside = np.flatnonzero(doc[: len(rolled)] == doc[length - 1 :])
+        key = C.mix(rolled[inside]) ^ salt[inside]
+        order = _repeated(key)
+        if not len(order):
             continue
-        h = C.windows(ids, length)
-        inside = np.flatnonzero(doc[: len(h)] == doc[length - 1 :])
-        key = h[inside] ^ salt[inside]
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(key), bool)
-        ranked = key[order]
-        same[1:] = ranked[1:] == ranked[:-1]
-        later = inside[order[same]]
+        first = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+        at = inside[order]
         if length == WINDOW:
-            either = same.copy()
-            either[:-1] |= same[1:]
-            out["repeat"] = per_doc(_covered(inside[order[either]], length, total)).astype(np.int64)
+            out["repeat"] = per_doc(_covered(at, length, total)).astype(np.int64)
         if length in duplicated:
-            share = per_doc(size * _covered(later, length, total)) / bytes_of
+            share = per_doc(size * _covered(np.delete(at, first), length, total)) / chars
             out["dup"] = np.maximum(out["dup"], share / duplicated[length])
-        if length in top and len(key):
-            first = np.flatnonzero(~same)
-            runs = np.diff(np.append(first, len(key)))
-            at = inside[order[first]]
-            weight = np.where(runs > 1, runs * (reach[at + length] - reach[at]), 0)
+        if length in top:
+            runs = np.diff(np.append(first, len(at)))
+            at = at[first]
             most = np.zeros(k)
-            np.maximum.at(most, doc[at], weight)
-            out["top"] = np.maximum(out["top"], most / bytes_of / top[length])
+            np.maximum.at(most, doc[at], runs * (reach[at + length] - reach[at]))
+            out["top"] = np.maximum(out["top"], most / chars / top[length])
     return out
 
 

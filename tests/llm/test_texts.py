@@ -1,7 +1,9 @@
 """The operators that judge each text by itself, against plain versions."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -39,6 +41,55 @@ def test_quality_rules(docs, empty):
     assert got.filter("doc_id = 1 and kept").count() == 1
 
 
+def plain_shares(t):
+    """What the limits on repetition measure, worked out window by window."""
+    w = words(t)
+    chars = max(1, sum(map(len, w)))
+    top = dup = 0.0
+    for n in range(2, 11):
+        grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        counts = Counter(grams)
+        if n in quality.TOP:
+            most = max((c * sum(map(len, g)) for g, c in counts.items() if c > 1), default=0)
+            top = max(top, most / chars / quality.TOP[n])
+        if n in quality.DUPLICATED:
+            seen, inside = set(), set()
+            for k, g in enumerate(grams):
+                if g in seen:
+                    inside.update(range(k, k + n))
+                seen.add(g)
+            dup = max(dup, sum(len(w[j]) for j in inside) / chars / quality.DUPLICATED[n])
+    seen, again = set(), 0
+    for line in (t or "").split("\n"):
+        if line.strip(WS):
+            again += len(line) if line in seen else 0
+            seen.add(line)
+    return top, dup, again / max(1, len(t or ""))
+
+
+def test_quality_shares(spark):
+    """All measures of the method against plain ones; texts that only the method rejects, one for each limit."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("né ö abc d ef gh ij kl mn op".split()) for _ in range(rng.randrange(0, 90))) for _ in range(60)]
+    own = lambda n: " ".join(f"w{i}é{i * i}" for i in range(n))
+    rejected = {
+        100: " ".join(f"extraordinary circumstances w{i}" for i in range(20)),  # one pair of words everywhere
+        101: own(60) + " " + " ".join(f"w{i}é{i * i}" for i in range(11)),  # a run of eleven words again, 22 of 71 words in repeated windows
+        102: "\n".join(["short line", *[f"l{i}" for i in range(8)]] + ["short line"] * 6),
+    }
+    rows = [*enumerate(texts), *rejected.items(), (103, own(80))]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        top, dup, lines = plain_shares(t)
+        r = got[i]
+        assert abs(r.top_share - top) < 1e-9 and abs(r.dup_share - dup) < 1e-9 and abs(r.dup_line_share - lines) < 1e-9, i
+        assert r.kept == (not r.base_failed and top <= 1 and dup <= 1 and lines <= quality.DUP_LINES)
+    assert not got[100].base_failed and not got[100].kept and got[103].kept
+    # accented letters are one character, as plain ones are
+    a, b = (quality.repetition([x], common.WordHashes()) for x in ("ééé b c ééé b d " * 3, "eee b c eee b d " * 3))
+    assert a["top"] == b["top"] and a["dup"] == b["dup"]
+
+
 def test_license_scan(spark, docs, empty):
     assert lic.license_scan(empty).count() == 0
     rows = [(1, "Released under the MIT License."), (2, "x SPDX-License-Identifier: (Apache-2.0 OR MIT) AND GPL-2.0-only WITH Classpath-exception-2.0\nend"), (3, None), (4, "cc-by, CC BY; mit\nlicense"), (5, "SPDX-License-Identifier: MIT OR")]
