@@ -26,10 +26,13 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import common as C
 
@@ -190,24 +193,25 @@ class Index:
         return [(k, item, *x) for (k, item), x in sorted(found.items())]
 
 
-def _shards(items: DataFrame, threshold: float, shard_items: int) -> list[Index]:
+def _shards(items: DataFrame, threshold: float, shard_items: int) -> Iterator[Index]:
+    """One index after the other; the driver holds one at a time, besides what it has broadcast."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = items.count()
     if n <= shard_items:
-        return [Index(sorted(map(tuple, items.collect()), key=repr), threshold)] if n else []
+        if n:
+            yield Index(sorted(map(tuple, items.collect()), key=repr), threshold)
+        return
     # counts over all items; of these each shard gets its own terms' only
     word = F.explode(F.array_distinct(F.split(F.btrim(F.regexp_replace(F.translate("text", _CAPITALS, _CAPITALS.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")))
     terms = C.cut(items.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("df")))
     size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     mean, longest = items.agg(F.avg(size), F.max(size)).first()
     shards = -(-n // shard_items) * 2
-    out = []
     for k in range(shards):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         own = part.select(word.alias("w")).distinct().join(terms, "w").collect()
         df = Counter({r.w.encode(): r.df for r in own})
-        out.append(Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean or 1.0, longest))
-    return out
+        yield Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean or 1.0, longest)
 
 
 class _AtLeastOne(dict):
@@ -222,6 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     for index in _shards(items, threshold, shard_items):
         shared = spark.sparkContext.broadcast(index)  # of at most about shard_items items
+        del index
 
         def work(shared=shared):
             def each(part, texts):
@@ -235,7 +240,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that leak no item."""
-    bad = leaks(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The rows whose text leaks no item; each row is judged by its own text, whatever its id."""
+    C.bound_batches(docs.sparkSession)
+    out = docs
+    for index in _shards(items, threshold, shard_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most about shard_items items
+        del index
+
+        def clean(texts: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
+            for part in texts:
+                good = np.ones(len(part), bool)
+                for a, b in C.runs_of(C.sizes_of(part)):
+                    found = shared.value.matches([t or "" for t in part.slice(a, b - a).to_pylist()], overlap)
+                    good[[a + k for k, *_ in found]] = False
+                yield pa.array(good)
+
+        out = out.filter(F.arrow_udf(clean, "boolean", ArrowUDFType.SCALAR_ITER)("text"))
+    return out
