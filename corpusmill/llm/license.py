@@ -5,7 +5,10 @@ Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and
 non-ASCII characters; a phrase counts where its words stand one after the
 other. An expression after ``SPDX-License-Identifier:`` is parsed with
 ``with`` above ``and`` above ``or``; its identifiers become labels, and if it
-cannot be parsed, the identifiers that stand before the fault still count.
+cannot be parsed, the identifiers that stand before the fault still count. Each
+expression is evaluated: ``permitted`` says whether the licences of an allow list
+are enough for all of a text's expressions (one that cannot be parsed isn't
+permitted), and is null for a text without one.
 
 A null or empty text has no words, labels or places and the score 0. Repeated
 rows get the same row each; an empty table gives an empty result; further
@@ -30,6 +33,8 @@ NOTICES = {
     "redistribution and use in source and binary forms": ("bsd", 0.9), "creative commons attribution": ("cc-by", 0.8), "creative commons zero": ("cc0", 0.8), "isc license": ("isc", 0.8),
     "eclipse public license": ("epl", 0.8), "released into the public domain": ("public-domain", 0.8), "all rights reserved": ("proprietary", 0.5), "cc by nc": ("cc-by-nc", 0.8), "cc by sa": ("cc-by-sa", 0.8),
 }
+#: Families of licences that ``permitted`` allows, unless others are named.
+PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib", "0bsd"})
 BASE_WORTH, TAG_WORTH = 0.7, 0.95
 TAG = "spdx license identifier"
 # the expression ends with the line, or where the next tag begins
@@ -38,7 +43,7 @@ _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Every ASCII byte that is in no word becomes a space; A-Z are lower-cased.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, permitted boolean"
 
 
 class BadExpression(ValueError):
@@ -104,14 +109,21 @@ def identifiers(tree: tuple | str) -> list[str]:
     return out
 
 
-def satisfied(tree: tuple | str, allowed: set[str]) -> bool:
-    """Whether the licences of ``allowed`` (lower case) are enough for an expression."""
-    if isinstance(tree, str):
-        return tree.lower() in allowed
-    op, left, right = tree
-    if op == "with":
-        return satisfied(left, allowed)
-    return (any if op == "or" else all)(satisfied(x, allowed) for x in (left, right))
+def satisfied(tree: tuple | str, allowed: set[str] | frozenset[str]) -> bool:
+    """Whether the licences of ``allowed`` (identifiers or families, in lower case) are enough for an expression."""
+    values, waiting = [], [(tree, False)]
+    while waiting:  # long expressions make deep trees
+        top, ready = waiting.pop()
+        if isinstance(top, str):
+            values.append(top.lower() in allowed or label_of(top) in allowed)
+        elif top[0] == "with":  # an exception only permits more
+            waiting.append((top[1], False))
+        elif not ready:
+            waiting += [(top, True), (top[1], False), (top[2], False)]
+        else:
+            a, b = values.pop(), values.pop()
+            values.append(a or b if top[0] == "or" else a and b)
+    return values[0]
 
 
 def label_of(identifier: str) -> str:
@@ -127,7 +139,7 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-def scan(text: str, phrases: ahocorasick.Automaton) -> tuple:
+def scan(text: str, phrases: ahocorasick.Automaton, allowed: set[str] | frozenset[str] = PERMISSIVE) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
     # every byte is one character, so that offsets count bytes
     flat = f" {b' '.join(words).decode('latin-1')} "
@@ -141,12 +153,14 @@ def scan(text: str, phrases: ahocorasick.Automaton) -> tuple:
             labels.add(NOTICES[phrase][0])
             doubt *= 1 - NOTICES[phrase][1]
         tagged |= phrase == TAG
-    expressions = []
+    expressions, permitted = [], None
     for m in _TAG.finditer(text) if tagged else ():
         try:
-            ids = identifiers(parse(m[1]))
+            tree = parse(m[1])
+            ids, good = identifiers(tree), satisfied(tree, allowed)
         except BadExpression as e:
-            ids = e.ids
+            ids, good = e.ids, False
+        permitted = good and permitted is not False if ids else permitted
         if ids:
             expressions.append(m[1].strip())
             labels.update(map(label_of, ids))
@@ -154,18 +168,18 @@ def scan(text: str, phrases: ahocorasick.Automaton) -> tuple:
     first = last = None
     if places:
         first, last = (flat.count(" ", 0, p) - 1 for p in (min(places), max(places)))
-    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, expressions
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - doubt, expressions, permitted
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """One row for each document: its base places and labels, all labels, and how sure they are (0 to 1)."""
+def license_scan(docs: DataFrame, allowed: set[str] | frozenset[str] = PERMISSIVE) -> DataFrame:
+    """One row for each document: its base places and labels, all labels, how sure they are (0 to 1), its expressions and whether ``allowed`` is enough for them."""
     names = [f.split()[0] for f in SCHEMA.split(", ")][1:]
 
     def work():
         phrases = _automaton()
 
         def each(part, texts):
-            return {"doc_id": C.column(part, "doc_id")} | dict(zip(names, map(list, zip(*(scan(t, phrases) for t in texts), strict=True)), strict=True))
+            return {"doc_id": C.column(part, "doc_id")} | dict(zip(names, map(list, zip(*(scan(t, phrases, allowed) for t in texts), strict=True)), strict=True))
 
         return each
 

@@ -124,6 +124,48 @@ def test_expressions():
             lic.parse(bad)
 
 
+def plain_scan(t):
+    """Words, base places and labels by looking at every place."""
+    w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    hits = [(k, phrase) for k in range(len(w)) for phrase in [*lic.BASE, *lic.NOTICES] if w[k : k + len(phrase.split())] == phrase.split()]
+    base = [(k, p) for k, p in hits if p in lic.BASE]
+    labels = {lic.BASE[p] for _, p in base} | {lic.NOTICES[p][0] for _, p in hits if p in lic.NOTICES}
+    return len(w), len(base), min((k for k, _ in base), default=None), max((k for k, _ in base), default=None), ",".join(sorted({lic.BASE[p] for _, p in base})), ",".join(sorted(labels))
+
+
+def test_license_places():
+    """Against plain matching, on texts of phrases that touch, overlap and break off."""
+    rng, automaton = random.Random(2), lic._automaton()
+    pieces = [*lic.BASE, *lic.NOTICES, "gnu general", "apache", "CC-BY", "Mit\nLicense", "é", "public license", "cc by cc by", "x.y", "LICENSE"]
+    for _ in range(400):
+        t = rng.choice(" \n-,").join(rng.choice(pieces) for _ in range(rng.randrange(0, 9)))
+        assert lic.scan(t, automaton)[:6] == plain_scan(t), t
+
+
+def test_expressions_evaluated():
+    """Random expressions against Python's own evaluation of the same logic."""
+    rng, names = random.Random(6), ["MIT", "GPL-3.0-only", "Apache-2.0", "MPL-2.0", "ISC"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(names) + rng.choice(["", "", " WITH Some-exception"])
+        return f"({make(depth - 1)} {rng.choice(['AND', 'or', 'Or'])} {make(depth - 1)})" if rng.random() < 0.5 else f"{make(depth - 1)} {rng.choice(['and', 'OR'])} {make(depth - 1)}"
+
+    automaton, seen = lic._automaton(), set()
+    for _ in range(300):
+        e = make(4)
+        plain = re.sub(r" WITH Some-exception", "", e)
+        plain = re.sub(r"[A-Za-z0-9.+-]+", lambda m: m[0].lower() if m[0].lower() in ("and", "or") else str(lic.label_of(m[0]) in lic.PERMISSIVE), plain)
+        want = eval(plain)  # of True, False, and, or and brackets only
+        assert lic.satisfied(lic.parse(e), lic.PERMISSIVE) is want
+        assert lic.scan(f"x\nSPDX-License-Identifier: {e}\ny", automaton)[8] is want
+        seen.add(want)
+    assert seen == {True, False}
+    assert lic.scan("no tag", automaton)[8] is None and lic.scan("SPDX-License-Identifier: MIT OR", automaton)[8] is False
+    assert lic.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0", automaton)[8] is False
+    assert lic.satisfied(lic.parse(" OR ".join(["GPL-2.0"] * 5000 + ["MIT"])), lic.PERMISSIVE)
+
+
 def test_url_filter(spark):
     rows = [
         (1, "https://www.Example.com/en/1"), (2, "http://x.example.com/en/?a#b"), (3, "http://a.net/es/"), (4, "http://anet/es/"), (5, None), (6, "no scheme"), (7, "https://casino.example.org/x"), (8, "https://mycasino.example.org/x"), (9, "http://cheap-pills.org"),
