@@ -1,7 +1,10 @@
 """PII: personal data by fixed shapes, and by contexts that are bootstrapped from them.
 
 The base finds e-mail addresses, IPv4 addresses, card and phone numbers. These
-are seeds. The words to the left and right of a seed are patterns; a pattern is
+are seeds, and so are tokens of the shape of a secret: long runs of hexadecimal
+digits, the prefixes of well-known keys, signed tokens. A secret's shape alone is
+no span (a checksum has it too); where its context is one of secrets, it is. The
+words to the left and right of a seed are patterns; a pattern is
 scored by how much of what it surrounds is known personal data of one kind, an
 instance (an identifier-like token that no base span covers) by the patterns
 around it; both scores are worked out in turn over the graph of patterns and
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+#: The base's kinds, and the one that only the method adds.
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
+BASE_KINDS = KINDS[:4]
 #: The least length of an identifier-like token or of groups, and how far a context reaches.
 SHORTEST, REACH = 5, 40
 #: Kinds of what is found outside the base: evidence in the graph, or only a possible span.
@@ -43,12 +48,18 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IDENTIFYING = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\W\d_]+")
-_REST = re.compile(r"\S*")
+# what ends a token besides white space: quotes and angle brackets, which stand around identifiers and in none
+_REST = re.compile(r"[^\s\"'`<>]*")
+_BEFORE = re.compile(r"[\s\"'`<>]")
+# Shapes of secrets.
+_SECRET = re.compile(
+    r"[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|sk-[0-9A-Za-z_-]{20,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]*"
+)
 _PART = "[A-Z]{0,4}[0-9][0-9A-Z]*+"
 # groups with digits (an IBAN may have letters second), joined by blanks, hyphens or brackets
 _CLOSED = rf"[(\[]{_PART}[)\]]"
 _GROUPS = re.compile(rf"(?<![0-9A-Za-z_.@])(?:[A-Z]{{2}}[0-9]{{2}}[ -][A-Z]{{4}}|{_PART}|{_CLOSED})(?:[ -](?:{_PART}|{_CLOSED})|{_CLOSED}|(?<=[)\]]){_PART})+(?![0-9A-Za-z_@])")
-_EDGE = "\"'()[]{}<>,;:.!?"
+_EDGE = "\"'`()[]{}<>,;:.!?#&*%$|"
 
 
 def luhn(digits: str) -> bool:
@@ -87,13 +98,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit or an @ that no base span touches, without punctuation at their edges."""
+    """Tokens with a digit or an @ that no base span touches, without punctuation at their edges; white space, quotes and angle brackets end a token on both sides."""
     out, end, covered = [], 0, sorted((a, b) for _, a, b in spans)
     k = 0
     while m := _IDENTIFYING.search(text, end):
-        at = m.start()
-        left = text[end:at]
-        start = at if not left or left[-1].isspace() else at - len(left.rsplit(None, 1)[-1])
+        start = at = m.start()
+        while start > end and not _BEFORE.match(text, start - 1):
+            start -= 1
         end = _REST.match(text, at).end()
         token = text[start:end]
         a = start + len(token) - len(token.lstrip(_EDGE))
@@ -119,9 +130,9 @@ def groups(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]
 
 
 def unknown(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates and groups; groups around a candidate aren't evidence, or it would count twice."""
+    """Candidates, of which those that look like secrets are seeds, and groups; groups around a candidate aren't evidence, or it would count twice."""
     tokens = candidates(text, spans)
-    out, have, k = [(UNKNOWN, a, b) for a, b in tokens], set(tokens), 0
+    out, have, k = [(SECRET if _SECRET.fullmatch(text, a, b) else UNKNOWN, a, b) for a, b in tokens], set(tokens), 0
     for a, b in groups(text, spans):
         while k < len(tokens) and tokens[k][1] <= a:
             k += 1
@@ -209,7 +220,8 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     each = found.select("row", F.explode("found").alias("f")).select("row", "f.*").select("row", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = C.cut(each.filter(F.col("kind") != AROUND).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
     sure = score_graph(edges, rounds)
-    votes = each.filter("kind < 0").select("row", "start", "end", "pattern").join(sure, "pattern")
+    # a secret's shape is evidence, but only a sure context makes it a span
+    votes = each.filter((F.col("kind") < 0) | (F.col("kind") == SECRET)).select("row", "start", "end", "pattern").join(sure, "pattern")
     best = (
         votes.groupBy("row", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))))).alias("belief"))
         .filter(F.col("belief") >= SURE_INSTANCE)
@@ -228,4 +240,4 @@ def digest(found: DataFrame) -> DataFrame:
     text = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     every = F.array_join(F.transform(F.array_sort(F.concat("spans", "more")), text), ",")
-    return found.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], "base_sha256", every.alias("spans"), F.size("more").cast("long").alias("n_more"))
+    return found.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(BASE_KINDS)], "base_sha256", every.alias("spans"), F.size("more").cast("long").alias("n_more"))

@@ -1,6 +1,7 @@
 """The operators that judge each text by itself, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -213,6 +214,62 @@ def test_pii(spark, docs, empty):
     assert pii.digest(pii.extract(docs)).count() == len(ROWS)
 
 
+def plain_graph(edges, rounds=pii.ROUNDS):
+    """The scores of the pattern-instance graph by dictionaries."""
+    n, seeds = Counter(), {}
+    for p, i, kind, k in edges:
+        n[p, i] += k
+        if kind >= 0:
+            seeds.setdefault(i, {})[kind] = 1.0
+    total, belief, sure = Counter(), dict(seeds), {}
+    for (p, _), k in n.items():
+        total[p] += k
+    for _ in range(rounds):
+        mass, support = Counter(), Counter()
+        for (p, i), k in n.items():
+            for kind, b in belief.get(i, {}).items():
+                mass[p, kind] += b * k
+                support[p, kind] += b
+        sure = {pk: x for pk in mass if support[pk] >= pii.MIN_SEEDS and (x := mass[pk] / total[pk[0]] * (1 - 1 / (1 + support[pk]))) >= pii.SURE_PATTERN}
+        gained = {}
+        for (p, i), _ in n.items():
+            for (q, kind), x in sure.items():
+                if q == p:
+                    gained.setdefault(i, {}).setdefault(kind, []).append(x)
+        belief = {i: {kind: 1 - math.prod(max(1 - x, 1e-9) for x in xs) for kind, xs in kinds.items()} for i, kinds in gained.items() if i not in seeds} | seeds
+    return sure
+
+
+def test_pii_graph(spark):
+    """Spark's scores against plain ones, over chains that need several rounds."""
+    rng = random.Random(3)
+    edges = [(f"p{rng.randrange(12)}", f"i{rng.randrange(40)}", rng.choice([-1, -1, 0, 1, 4]), rng.randint(1, 3)) for _ in range(400)]
+    edges += [("q0", f"s{k}", 2, 1) for k in range(30)] + [("q0", f"a{k}", -1, 1) for k in range(6)] + [("q1", f"a{k}", -1, 1) for k in range(6)] + [("q1", "b", -1, 1)]
+    kinds = {}
+    edges = [(p, i, kinds.setdefault(i, k), n) for p, i, k, n in edges]
+    df = spark.createDataFrame(edges, "pattern string, instance string, kind int, n long")
+    for rounds in (1, 2, 3):
+        got = {(r.pattern, r.kind): r.sure for r in pii.score_graph(df, rounds).collect()}
+        want = plain_graph(edges, rounds)
+        assert set(got) == set(want) and all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+    assert ("q1", 2) not in plain_graph(edges, 1) and ("q1", 2) in plain_graph(edges, 2)
+
+
+def test_pii_secrets(spark):
+    """Keys of known shapes teach a context; in it unseen ones are found, elsewhere neither they nor checksums are."""
+    rng = random.Random(9)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(8))
+    seeds = [(i, f'{filler()} token = "{key()}"### {filler()}') for i in range(30)]
+    unseen = [(100 + i, f'{filler()} token = "{x}" {filler()}') for i, x in enumerate(["hunter2-x", "Zx9_Qp77_Lm", "12345-abc"])]
+    clean = [(200 + i, f"{filler()} {'checksum'[:i % 9]} {key()} {filler()}") for i in range(8)] + [(300, "room 12345b and box 99-abc"), (301, f"{filler()} 2024-01-05 {filler()}")]
+    got = {r.doc_id: r.more for r in pii.extract(spark.createDataFrame(seeds + unseen + clean, "doc_id long, text string")).collect()}
+    for i, t in seeds + unseen:
+        assert [t[x.start : x.end] for x in got[i]] == [re.search('"(.*?)"', t)[1]] and got[i][0].kind == pii.SECRET
+    assert not any(got[i] for i, _ in clean)
+    assert pii.candidates('x="ab12cd"## foo\r12345ab \u00a067890 <k9k9k>', []) == [(3, 9), (17, 24), (26, 31), (33, 38)]
+
+
 def test_pii_groups_and_long_tokens(spark):
     """Identifiers in groups, and tokens of any length, are found whole by a sure context."""
     token = "eyJ" + "a1B2c3" * 60
