@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_dir
+
 #: ASCII white space, the only separator of words here.
 SPACES = " \t\n\r\x0b\x0c"
 #: Texts are worked off in chunks of about so many characters, whatever an Arrow batch holds.
@@ -30,17 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder.
 
@@ -48,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     them when the driver has collected its garbage, which this asks for.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     _collect_garbage(spark)
     out = df.checkpoint(eager=True)
     del df  # its plan holds on to the shuffles

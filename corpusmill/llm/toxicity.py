@@ -8,7 +8,7 @@ that each of their n-grams is in one; in scripts without spaces each character a
 the next one are a word. The words of each segment of ``SEGMENT`` words are averaged (a short
 one is filled up with zeros) and a text scores as its hottest segment, in
 training too: one insult in a long text counts as much as in a short one. Training takes at most
-``sample`` labelled rows, those of the smallest md5 of their id, and none whose
+``sample`` labelled rows of ``chars`` characters, those of the smallest md5 of their id, and none whose
 crc32(id as text) mod 5 is 0; the model has ``BUCKETS`` x ``DIM`` numbers,
 whatever the corpus. As both layers are linear, a word adds one number to its
 segment's score, which tasks memoise.
@@ -21,6 +21,7 @@ table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
-#: The largest number of labelled rows to train on.
-SAMPLE = 4000
+#: The largest numbers of labelled rows to train on, and of their texts' characters.
+SAMPLE, SAMPLE_CHARS = 4000, 30_000_000
 #: Steps of training at least.
 STEPS = 280
 EPOCHS, WARM_UP, BATCH, RATE, DECAY, SEED = 14, 2, 200, 0.03, 0.1, 7
@@ -189,11 +190,19 @@ def _held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on at most ``sample`` labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fits on at most ``sample`` labelled rows that aren't held out, in the order of their hashes as long as their texts have ``chars`` characters together; a text that is too long is passed over."""
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)  # at most ``sample`` rows: small enough to broadcast
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["doc_id"])
+    sizes = {r.doc_id: r.n for r in found.select("doc_id", F.length("text").alias("n")).collect()}  # ``sample`` numbers
+    if sum(sizes.values()) > chars:
+        held, fitting = 0, []
+        for i in sorted(sizes, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+            if held + sizes[i] <= chars:
+                held += sizes[i]
+                fitting.append(i)
+        found = found.filter(F.col("doc_id").isin(fitting))
     got = sorted(found.collect())
     if len({r.toxic for r in got}) < 2:
         return None
