@@ -8,13 +8,12 @@ repeated rows go through as the operators say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard, linededup, sentencepiece, toxicity
-from corpusmill.llm.common import SPACES, ensure_checkpoint_dir, table
+from corpusmill.llm.common import SPACES, table
+from corpusmill.shared import new_dir, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, place = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``. What one stage has written goes when the next has read it; the last one's table stays for the caller."""
+    docs, place, before = table(spark, sf_dir, "documents"), new_dir(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, f"{place}/{before}")
+        before = name
     return docs
