@@ -606,11 +606,6 @@ def score(response: str | None, gold: list[str] | None, options: list[str] | Non
         _Clock.ends = math.inf
 
 
-@F.pandas_udf(T.BooleanType())
-def judge_udf(response: pd.Series, gold: pd.Series, options: pd.Series) -> pd.Series:
-    return pd.Series([strictly(*x) for x in zip(response, gold, options, strict=True)], dtype="boolean")
-
-
 @F.pandas_udf(T.BooleanType())
 def same_udf(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([same(p, g) for p, g in zip(pred, gold, strict=True)], dtype="boolean")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rules import Rule, reasons_for
+from .rules import Rule, first_reason, reasons_for
 
+# The source of anchors, words that mark a table, and (below) the reasons that validators give.
 ANCHOR = "anchor"
 TABLE_WORDS = ("table", "complete the table", "select the most appropriate")
 
@@ -121,6 +122,22 @@ def record_reason(min_words: int = 50, longest: int = 80) -> Column:
     return reasons_for(F.col("source") == ANCHOR, special, ordinary)
 
 
+def target_reason(min_words: int = 50) -> Column:
+    """The first reason against a row of question, reasoning and answer whose target is rendered from the last two; null if it is sound."""
+    question, reasoning, answer = (F.coalesce(c, F.lit("")) for c in ("question", "reasoning", "answer"))
+    target = T.render_target(reasoning, answer)
+    tags = (F.regexp_count(target, F.lit("<think>")) != 1) | (F.regexp_count(target, F.lit("</think>")) != 1)
+    box = (T.count_boxes(target) != 1) | ~F.endswith(F.rtrim(target), F.concat(F.lit("\\boxed{"), answer, F.lit("}")))
+    return first_reason([
+        Rule("empty_question", T.trim(question) == ""), Rule("chinese_question", T.has_cjk(question)), Rule("mcq_like", T.looks_like_mcq(question, answer)), Rule("chinese_rendered_target", T.has_cjk(target)), Rule("bad_think_tag_count", tags), Rule("bad_boxed_structure", box),
+        Rule("reasoning_too_short", T.word_count(reasoning) < min_words), Rule("boxed_in_reasoning", F.contains(reasoning, F.lit("\\boxed"))),
+    ])
+
+
+def length_bucket(words: Column, limits: tuple[int, int] = (500, 1500)) -> Column:
+    return F.when(words < limits[0], "easy").when(words < limits[1], "medium").otherwise("hard")
+
+
 def graded_trace(df: DataFrame) -> Column:
     """struct(trace, attempt, origin): the first teacher's if graded yes, else the second's if graded yes and the first no."""
     grade = lambda c: F.lower(T.trim(F.coalesce(field(df, c), F.lit(""))))

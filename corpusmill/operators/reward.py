@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,15 @@ def reward_of(completion: str, correct: str, n_gold: str, has_options: str) -> C
     return F.round(clamp(base_reward(F.col(correct), kind, flags["unusable_box"], flags["clipped"]) + more), 6)
 
 
+def reward_udf(fn: Callable[..., list[float]]):
+    """A function of lists (prompts, completions, further columns) that gives a list of rewards, as a column function over Arrow batches."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series(fn(*[c.tolist() for c in columns]), dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
 def windows(df: DataFrame, step: str, reward: str, tag: str, every: int = 25) -> DataFrame:
     """Mean reward and tag shares of each window of steps."""
     per = df.groupBy(F.floor(F.col(step) / every).alias("window"), tag).agg(F.count("*").alias("n"), F.sum(reward).alias("r"))

@@ -184,6 +184,12 @@ TABLES: dict[str, Cases] = {
         ("[ANS]", 0, "single", "single", "Give one value in the box."), ("[ANS] [ANS]", 0, "multi", "multi", "Give all values in the box, in order, with commas between them."), ("[ANS] " * 5, 0, "table_many", "multi", "Fill every blank of the table, in order, with commas between them."), ("pick one", 8, "mcq10", "mcq", "Give the letter of one option in the box."), ("pick one", 4, None, "mcq", None), ("Complete the table below", 0, "table_many", "single", "Fill every blank of the table, in order, with commas between them."), ("no blank", 0, None, "single", None),
     ], lambda df: {"bucket": records.distill_bucket(F.col("question"), _some("n_options")), "kind": records.answer_type(_some("n_options"), T.count_blanks("question")), "teacher": records.teacher_prompt(records.distill_bucket(F.col("question"), _some("n_options")))}),
     "answer_rules": Cases("answer string", "reasons string, letter_fault string", [("5", "", "not_a_letter"), ("", "empty_answer", "not_a_letter"), (None, "empty_answer", "not_a_letter"), ("y" * 50, "answer_too_long", "not_a_letter"), ("y" * 49, "", "not_a_letter"), ("a\nb", "answer_has_newline", "not_a_letter"), ("B", "", None)], lambda df: {"reasons": F.array_join(rules.all_reasons(records.answer_rules(F.col("answer"))), ","), "letter_fault": F.when(~F.coalesce(F.rlike(F.col("answer"), F.lit("^[A-J]$")), F.lit(False)), F.lit("not_a_letter"))}),
+    "target_reasons": Cases("question string, reasoning string, answer string", "reason string", [
+        ("What is it?", _STEP * 50, "5", None), (" ", _STEP * 50, "5", "empty_question"), ("什么", _STEP * 50, "5", "chinese_question"), ("Pick one", _STEP * 50, "(B)", "mcq_like"), ("What?", _STEP * 50 + "步", "5", "chinese_rendered_target"), ("What?", _STEP * 50 + "<think>", "5", "bad_think_tag_count"),
+        ("What?", _STEP * 50 + r"\boxed{5}", "5", "bad_boxed_structure"), ("What?", _STEP * 49, "5", "reasoning_too_short"), ("What?", _STEP * 50 + r"\boxed", "5", "boxed_in_reasoning"), (None, None, None, "empty_question"),
+    ], lambda df: {"reason": records.target_reason()}),
+    "length_classes": Cases("words int", "bucket string", [(0, "easy"), (499, "easy"), (500, "medium"), (1499, "medium"), (1500, "hard")], lambda df: {"bucket": records.length_bucket(F.col("words"))}),
+    "reward_contract": Cases("prompt string, completion string, gold string", "reward double", [("2+2?", "4", "4", 1.0), ("2+2?", "5", "4", 0.0), ("x", "", "", 1.0), ("x", "y", None, 0.0)], lambda df: {"reward": reward.reward_udf(_exact)("prompt", "completion", "gold")}),
     "verified_generations": Cases("generations array<string>, complete array<boolean>, verified array<boolean>", "n long, best string", [
         ([_STEP * 60 + "a.", _STEP * 55 + "b."], [_T, _T], [_T, _T], 2, _STEP * 55 + "b."), ([_STEP * 60 + "a.", _STEP * 55 + "b."], [_T, _N], [_T, _T], 1, _STEP * 60 + "a."), ([_STEP * 60 + "a.", _STEP * 55 + "b."], [_T], [_T, _T], 1, _STEP * 60 + "a."), (["short"], [_T], [_T], 1, None), ([], [], [], 0, None), ([_STEP * 60 + "a."], None, [_T], 0, None),
     ], lambda df: {"n": F.size(records.verified("generations", "complete", "verified")).cast("long"), "best": T.shortest_clean(records.verified("generations", "complete", "verified"))}),
@@ -219,6 +225,11 @@ def _parts():
     return run
 
 
+def _exact(prompts: list, completions: list, gold: list) -> list[float]:
+    """A reward function of the contract: lists in, a list of numbers out."""
+    return [1.0 if c == g else 0.0 for c, g in zip(completions, gold, strict=True)]
+
+
 def _options() -> Column:
     return F.array(*map(F.lit, _THREE))
 

@@ -132,6 +132,7 @@ def json_props(spark, d):
 
 
 def chat_render(spark, d):
+    """A conversation as one text; it must fit a row, as the text does."""
     turn = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n"))
     rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
     return rows.select("conv_id", F.size("ts").cast("long").alias("turns"), F.md5(F.array_join(F.transform("ts", lambda x: x["t"]), "")).alias("digest"))
