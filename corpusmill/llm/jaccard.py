@@ -49,6 +49,8 @@ PIECE = 1 << 15
 CUTS = 4
 #: Rounds against central documents.
 STARS = 2
+#: Ids that are broadcast at most, to keep sets that are in no pair out of a join: 8 bytes each.
+BROADCAST_IDS = 1_000_000
 _SIGN = np.uint64(1 << 63)
 
 
@@ -280,8 +282,14 @@ def _possible(percent: int) -> F.Column:
     return (F.least("a.s", "b.s") >= need) & (rest >= need) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
 
 
+def _in_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose node is among the ids, where these are few enough to be sent to every task; else all, which the join sorts out."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids), "node", "left_semi") if few else sets  # BROADCAST_IDS numbers at most
+
+
 def overlaps(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link: each fragment's partial overlap, summed per pair."""
+    """The pairs (a, b), a checkpointed table, that link: each fragment's partial overlap, summed per pair."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, CUTS, dtype=np.float64) * (2.0**64 / CUTS)).astype(np.uint64)
@@ -298,9 +306,12 @@ def overlaps(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    parts = sets.select("node", "n", "tokens").mapInArrow(split, "node long, n long, cut int, part binary")
-    left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa"))
-    right = parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb"))
+    def parts(side: str) -> DataFrame:
+        own = _in_pairs(sets.select("node", "n", "tokens"), pairs.select(F.col(side).alias("node")).distinct())
+        return own.mapInArrow(split, "node long, n long, cut int, part binary")
+
+    left = parts("a").select(F.col("node").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa"))
+    right = parts("b").select(F.col("node").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb"))
     both = pairs.join(left, "a").join(right, ["b", "cut"])
     total = both.select("a", "b", "na", "nb", common("pa", "pb").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return total.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
@@ -354,7 +365,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges, labels = None, None
     for k in range(STARS + 1):
         now = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        found = C.cut(overlaps(sets, _candidates(now, percent, k < STARS), percent).select("a", "b"))
+        found = C.cut(overlaps(sets, C.cut(_candidates(now, percent, k < STARS)), percent).select("a", "b"))
         if found.isEmpty():
             if k < STARS:
                 continue
