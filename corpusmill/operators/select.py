@@ -161,6 +161,13 @@ def curriculum(items: DataFrame, key: str, level: str, steps: int, per_step: int
     return drawn.withColumn("_rank", F.floor(F.col("_v") * F.col("_size")).cast("int")).join(ranked, ["_level", "_rank"]).select("step", "slot", key, F.col("_level").alias(level))
 
 
+def with_next(df: DataFrame, group: str, order: str, name: str, none: Column, index: str = "index") -> DataFrame:
+    """The rows with their index in their group and the next row's ``order``: an equi-join on group and index, so that a hot group spreads over many tasks."""
+    numbered = running(df, [group], [order], {index: F.lit(1).cast("long")})
+    after = numbered.select(F.col(group).alias("_group"), (F.col(index) - 1).alias("_index"), F.col(order).alias("_next"))
+    return numbered.join(after, F.col(group).eqNullSafe(F.col("_group")) & (F.col(index) == F.col("_index")), "left").withColumn(name, F.coalesce("_next", none)).drop("_group", "_index", "_next")
+
+
 def mix_streams(steps: DataFrame, step: str, warm_up: int, low: float, high: float, seed: str) -> DataFrame:
     """Tags each step with stream 1 or 2; the share of 2 rises from low to high over the warm-up."""
     t = F.least(F.col(step) / F.lit(float(max(warm_up, 1))), F.lit(1.0))

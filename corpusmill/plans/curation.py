@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,11 +20,17 @@ def _words() -> Column:
     return T.word_count("text").cast("long")
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with their number of words, which is worked out once."""
+    return docs(spark, d).withColumn("words", _words())
+
+
 def document_rules() -> list[rules.Rule]:
+    """Rules on rows with ``text`` and ``words``."""
     t = F.col("text")
     return [
         rules.Rule("empty", F.coalesce(T.trim(t), F.lit("")) == ""), rules.Rule("chinese", T.has_cjk(t)), rules.Rule("contact", F.rlike(t, F.lit(r"@[a-z0-9.-]+\.[a-z]+"))), rules.Rule("license", F.contains(F.lower(t), F.lit("license"))),
-        rules.Rule("symbols", F.rlike(t, F.lit(r"[#$%&]{3}"))), rules.Rule("too_short", T.word_count(t) < 50), rules.Rule("too_long", T.word_count(t) > 2000), rules.Rule("abrupt", F.rlike(t, F.lit(r"[a-z]$"))),
+        rules.Rule("symbols", F.rlike(t, F.lit(r"[#$%&]{3}"))), rules.Rule("too_short", F.col("words") < 50), rules.Rule("too_long", F.col("words") > 2000), rules.Rule("abrupt", F.rlike(t, F.lit(r"[a-z]$"))),
     ]
 
 
@@ -43,34 +49,34 @@ def interpolated_stats(spark, d):
 
 
 def first_reason_counts(spark, d):
-    return rules.histogram(rules.apply(docs(spark, d), document_rules()).withColumn("reason", F.coalesce("reason", F.lit("kept"))))
+    return rules.histogram(rules.apply(counted(spark, d), document_rules()).withColumn("reason", F.coalesce("reason", F.lit("kept"))))
 
 
 def all_reasons_audit(spark, d):
-    return rules.audit(docs(spark, d), document_rules(), "doc_id")
+    return rules.audit(counted(spark, d), document_rules(), "doc_id")
 
 
 def reason_gate(spark, d):
-    return rules.gate(docs(spark, d).filter("lang = 'en'"), document_rules())
+    return rules.gate(counted(spark, d).filter("lang = 'en'"), document_rules())
 
 
 def rule_examples(spark, d):
-    return rules.examples(rules.apply(docs(spark, d), document_rules()), "doc_id", 20).select("reason", "doc_id", F.col("nth").cast("long").alias("nth"))
+    return rules.examples(rules.apply(counted(spark, d), document_rules()), "doc_id", 20).select("reason", "doc_id", F.col("nth").cast("long").alias("nth"))
 
 
 def clean_text(spark, d):
     t = F.regexp_replace(F.regexp_replace("text", r"(?i)\bthe answer is\b", ""), r"[#$%&]+", " ")
-    t = T.trim(T.collapse_space(t))
-    return docs(spark, d).select("doc_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("chars"), T.preview(t, 40).alias("preview"), F.md5(T.noise_key(t)).alias("noise_key"))
+    rows = docs(spark, d).select("doc_id", T.trim(T.collapse_space(t)).alias("t"))  # used four times, worked out once
+    return rows.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"), T.preview("t", 40).alias("preview"), F.md5(T.noise_key("t")).alias("noise_key"))
 
 
 def capped_reasons(spark, d):
-    tagged = rules.apply(docs(spark, d), document_rules())
+    tagged = rules.apply(counted(spark, d), document_rules())
     return rules.histogram(rules.capped(tagged, "reason", "source", "doc_id", 20, "42").withColumn("reason", F.coalesce("reason", F.lit("kept"))))
 
 
 def capped_mix(spark, d):
-    kept = rules.kept(rules.apply(docs(spark, d), document_rules()))
+    kept = rules.kept(rules.apply(counted(spark, d), document_rules()))
     main = select.cap_per_group(kept, ["source"], 10, "7", "doc_id").select("doc_id", "source", F.lit("main").alias("part"))
     anchors = select.sample(docs(spark, d).filter("lang <> 'en'"), 25, "anchor", "doc_id").select("doc_id", "source", F.lit("anchor").alias("part"))
     return main.unionByName(anchors)
@@ -162,7 +168,7 @@ def range_gate(spark, d):
 
 
 def prefix_counts(spark, d):
-    return rules.prefix_count(rules.apply(docs(spark, d), document_rules()), "too_")
+    return rules.prefix_count(rules.apply(counted(spark, d), document_rules()), "too_")
 
 
 def token_caps(spark, d):
@@ -221,14 +227,13 @@ def quota_shortage(spark, d):
 
 def running_acceptance(spark, d):
     """For each source the number of accepted rows so far, at every 10th row."""
-    rows = rules.apply(docs(spark, d), document_rules())
+    rows = rules.apply(counted(spark, d), document_rules())
     out = select.running(rows.select("source", "doc_id", "reason"), ["source"], ["doc_id"], {"seen": F.lit(1).cast("long"), "accepted": F.col("reason").isNull().cast("long")})
     return out.filter(F.col("seen") % 10 == 0).select("source", "doc_id", "seen", "accepted")
 
 
 def previous_by_source(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs(spark, d).select("doc_id", F.coalesce(F.lead("doc_id").over(w), F.lit(-1)).alias("next_id"), (F.row_number().over(w) - 1).cast("long").alias("index"))
+    return select.with_next(docs(spark, d).select("source", "doc_id"), "source", "doc_id", "next_id", F.lit(-1)).select("doc_id", "next_id", "index")
 
 
 _TOP = f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1"
