@@ -387,7 +387,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the first of their component (and those with a null id)."""
+    """The documents that are the first of their component. All rows of a kept id stay, as they are one document; a row with a null id has no links and stays."""
     found = jaccard_components(docs, percent)
     later = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
