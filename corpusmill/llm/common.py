@@ -31,24 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """From now on Spark deletes a query's shuffle files when the query has ended; one that runs again makes them anew."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder.
 
-    The shuffle files of what came before are of no more use then; Spark deletes
-    them when the driver has collected its garbage, which this asks for.
+    Checkpoints that no table needs any more go when the driver has collected its
+    garbage, if the session says so (spark.cleaner.referenceTracking.cleanCheckpoints);
+    this asks for it.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    _collect_garbage(spark)
     out = df.checkpoint(eager=True)
-    del df  # its plan holds on to the shuffles
-    _collect_garbage(spark)
-    return out
-
-
-def _collect_garbage(spark: SparkSession) -> None:
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

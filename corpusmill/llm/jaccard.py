@@ -350,6 +350,7 @@ def _candidates(rows: DataFrame, percent: int, star: bool) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles and component_id, the smallest doc_id that it reaches."""
     spark = docs.sparkSession
+    C.free_shuffles(spark)
     info = C.cut(describe(docs).withColumn("uid", F.monotonically_increasing_id()))
     known = info.filter("doc_id is not null and n > 0")
     classes = C.cut(known.groupBy("n", "hi", "lo").agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc_id")))

@@ -115,6 +115,7 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their repeated runs deleted from ``text``, and n_lines, n_removed (lines with words)."""
+    C.free_shuffles(docs.sparkSession)
     lines = _lines(docs)
     gone = repeated_lines(lines, min_words)
     removed = lines.join(gone, "uid").groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))

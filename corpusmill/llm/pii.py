@@ -216,6 +216,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row for each document: its base spans (``spans``), its further spans (``more``) and the digest of the base."""
+    C.free_shuffles(docs.sparkSession)
     found = C.cut(scan(docs).withColumn("row", F.monotonically_increasing_id()))
     each = found.select("row", F.explode("found").alias("f")).select("row", "f.*").select("row", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = C.cut(each.filter(F.col("kind") != AROUND).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))

@@ -424,6 +424,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; what is kept (binary) too if asked for."""
     spark, p = docs.sparkSession, C.partitions(docs.sparkSession)
+    C.free_shuffles(spark)
     text = F.coalesce("text", F.lit(""))
     keys = [F.octet_length(text).alias("n"), F.xxhash64(text).alias("c1"), F.xxhash64(text, F.lit(1)).alias("c2")]
     info = C.cut(docs.select(*[x.alias(k) for k, x in _document().items()], *keys).filter(F.col("n") >= LENGTH))
