@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ SPACES = " \t\n\r\x0b\x0c"
 CHUNK_CHARS = 4_000_000
 #: Rows of an Arrow batch at most, where the session has Spark's default: texts are long, and both sides hold batches outside of the heap.
 BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, 10_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words that a task's memo keeps; beyond it words are worked out anew.
 MEMO_WORDS = 150_000
 
@@ -36,6 +38,31 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str | None) -> Iterator[None]:
+    """Settings of the session (dots as double underscores) that hold for a while; None leaves one alone."""
+    values = {k.replace("__", "."): v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Within it, Spark deletes a query's shuffle files when the query has ended."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def bounded_batches(spark: SparkSession):
+    """Within it, Arrow batches of texts are small; a setting other than the default is left alone."""
+    default = spark.conf.get(_BATCH, str(DEFAULT_BATCH_ROWS)) == str(DEFAULT_BATCH_ROWS)
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS) if default else None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder.
 
@@ -58,9 +85,8 @@ def partitions(spark: SparkSession) -> int:
 
 def bound_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of texts small; a setting other than the default is left alone."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, str(DEFAULT_BATCH_ROWS))) == DEFAULT_BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if int(spark.conf.get(_BATCH, str(DEFAULT_BATCH_ROWS))) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def sizes_of(column: pa.Array) -> np.ndarray:

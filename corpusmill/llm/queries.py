@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import new_dir
 from . import license as licenses
-from . import decontaminate, jaccard, linededup, pii, quality, sentencepiece, suffixes, toxicity, urlfilter
+from . import conversations, decontaminate, jaccard, linededup, pii, prefixtrie, quality, sentencepiece, suffixes, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -51,5 +52,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle()}
+def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files stay in the shared folder, since the rows are read from them."""
+    import public_tokenizers
+
+    path = new_dir(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return tokenfile.read(spark, path)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.structure_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_suffix_dedup, op11_token_blocks, op12_structure_repair, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle(), "op13_prefix_trie": prefixtrie.oracle()}
