@@ -31,6 +31,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ LOW = np.uint64(1 << LOW_BITS)
 LEAST_BITS, MOST_BITS = 12, 28
 MAGIC = b"RANS"
 _HEAD = struct.Struct("<4s8q")
-#: Parts of texts that a task remembers, and how long they are at most.
+#: Parts of texts that a Python worker remembers, and how long they are at most.
 MEMO, MEMO_CHARS = 400_000, 48
 _CUT = re.compile(r" (?=\S)")
 #: Parts that are encoded together.
@@ -233,6 +234,12 @@ class Encoder:
         return [head + b"".join(map(get, parts[1:])) + self.end for head, parts in zip(heads, cut, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whose next tasks find what it remembers."""
+    return Encoder(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, shard, seq (number in the shard), start (ids before it in the shard), n_tokens, width (bytes of an id) and ids, in the order of doc_id by shards."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -240,7 +247,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     order = ["doc_id", "_tie", "_uid"]
 
     def work():
-        encode, at = Encoder(tokenizer), [0, 0]
+        encode, at = encoder(tokenizer), [0, 0]
         shard, size = TaskContext.get().partitionId(), encode.kind.itemsize
 
         def each(batch: pa.RecordBatch, texts: list[str]) -> dict:
