@@ -32,6 +32,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ LEAST_BITS, MOST_BITS = 12, 28
 MAGIC = b"RANS"
 _HEAD = struct.Struct("<4s8q")
 #: Parts of texts that a Python worker remembers, and how long they are at most.
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 600_000, 48
 _CUT = re.compile(r" (?=\S)")
 #: Parts that are encoded together.
 TOGETHER = 4000
@@ -222,16 +223,15 @@ class Encoder:
         if not self.cuts:
             return [x + self.end for x in self._encode(texts)]
         cut = [_CUT.split(t) for t in texts]
-        need = {p for parts in cut for p in parts[1:]}.difference(self.memo)
-        if len(self.memo) + len(need) > MEMO:
-            self.memo = {}
-            need = {p for parts in cut for p in parts[1:]}
-        found = self._learn(sorted(need))
-        known = {p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS}
-        self.memo.update(known)
-        get = (self.memo if len(known) == len(found) else self.memo | found).__getitem__
+        found = self._learn(sorted(set().union(*cut).difference(self.memo)))
+        self.memo.update(found)
+        get = self.memo.__getitem__
         heads = self._encode([parts[0] for parts in cut])
-        return [head + b"".join(map(get, parts[1:])) + self.end for head, parts in zip(heads, cut, strict=True)]
+        out = [head + b"".join(map(get, parts[1:])) + self.end for head, parts in zip(heads, cut, strict=True)]
+        room = MEMO - len(self.memo) + len(found)  # what came first stays: frequent parts come early
+        for p in chain(filter(lambda p: len(p) > MEMO_CHARS, found), islice(filter(lambda p: len(p) <= MEMO_CHARS, found), max(0, room), None)):
+            del self.memo[p]
+        return out
 
 
 @lru_cache(maxsize=1)
