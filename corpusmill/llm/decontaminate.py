@@ -69,23 +69,24 @@ def grams(words: list[bytes], n: int = GRAM) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-class Index:
-    """Postings of the items' essential terms, and block maxima.
+def width_of(words: int) -> int:
+    """Words of the passages in which an item of so many words is looked for: twice its length, rounded up to a power of two."""
+    return max(SHORTEST, 2 << max(0, words - 1).bit_length())
+
+
+class Postings:
+    """Postings of the essential terms of the items of one passage width, and block maxima.
 
     An impact is the term's share of its item's weight over what the essential
     terms of that item must reach, so that 1 is enough for any item.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n_items: int = 0, mean: float = 0.0, longest: int = 0):
-        texts = [words_of(t or "") for _, t in items]
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int | None, str]], texts: list[list[bytes]], width: int, threshold: float, df: dict[bytes, int], n_items: int, mean: float):
+        self.ids, self.width = [i for i, _ in items], width
         self.parts = []  # of each item the question and the answer: length of the n-grams, n-grams
         for _, t in items:
             q, a = ((min(GRAM, len(ws)), grams(ws)) for ws in map(words_of, question_and_answer(t or "")))
             self.parts.append((q if q[1] else a, a if a[1] else q))
-        self.longest = max([longest, *map(len, texts)])
-        df = Counter(w for ws in texts for w in set(ws)) if df is None else df
-        n_items, mean = n_items or len(items), mean or sum(map(len, texts)) / max(1, len(texts)) or 1.0
         self.threshold, self.term, self.whole = threshold, {}, []
         postings: list[list[tuple[int, float]]] = []
         for k, ws in enumerate(texts):
@@ -156,11 +157,9 @@ class Index:
         x[1] = bisect_left(docs, to, x[1])
         x[0] = docs[x[1]] if x[1] < len(docs) else _END
 
-    def matches(self, texts: list[str], overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
+    def matches(self, words: list[list[bytes]], overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
         """(text's place, item's place, score, question's overlap, answer's overlap) of all verified pairs."""
-        width = max(SHORTEST, 2 * self.longest)
-        step = width // 2
-        words = [words_of(t) for t in texts]
+        width, step = self.width, self.width // 2
         n = np.fromiter(map(len, words), np.int64, len(words))
         get, none = self.term.get, len(self.term)
         ids = np.fromiter((get(w, none) for ws in words for w in ws), np.int64, int(n.sum()))
@@ -193,6 +192,24 @@ class Index:
         return [(k, item, *x) for (k, item), x in sorted(found.items())]
 
 
+class Index:
+    """The items by the width of their passages, which an item's own length alone decides; counts of terms are those of all items."""
+
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, df: dict[bytes, int] | None = None, n_items: int = 0, mean: float = 0.0):
+        texts = [words_of(t or "") for _, t in items]
+        df = Counter(w for ws in texts for w in set(ws)) if df is None else df
+        n_items, mean = n_items or len(items), mean or sum(map(len, texts)) / max(1, len(texts)) or 1.0
+        by: dict[int, list[int]] = {}
+        for k, ws in enumerate(texts):
+            by.setdefault(width_of(len(ws)), []).append(k)
+        self.groups = [Postings([items[k] for k in own], [texts[k] for k in own], width, threshold, df, n_items, mean) for width, own in sorted(by.items())]
+
+    def matches(self, texts: list[str], overlap: float = OVERLAP) -> list[tuple[int, int | None, float, float, float]]:
+        """(text's place, item_id, score, question's overlap, answer's overlap) of all verified pairs."""
+        words = [words_of(t) for t in texts]
+        return sorted(((k, g.ids[item], *x) for g in self.groups for k, item, *x in g.matches(words, overlap)), key=repr)
+
+
 def _shards(items: DataFrame, threshold: float, shard_items: int) -> Iterator[Index]:
     """One index after the other; the driver holds one at a time, besides what it has broadcast."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -205,13 +222,13 @@ def _shards(items: DataFrame, threshold: float, shard_items: int) -> Iterator[In
     word = F.explode(F.array_distinct(F.split(F.btrim(F.regexp_replace(F.translate("text", _CAPITALS, _CAPITALS.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")))
     terms = C.cut(items.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("df")))
     size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    mean, longest = items.agg(F.avg(size), F.max(size)).first()
+    mean = items.agg(F.avg(size)).first()[0]
     shards = -(-n // shard_items) * 2
     for k in range(shards):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         own = part.select(word.alias("w")).distinct().join(terms, "w").collect()
         df = Counter({r.w.encode(): r.df for r in own})
-        yield Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean or 1.0, longest)
+        yield Index(sorted(map(tuple, part.collect()), key=repr), threshold, _AtLeastOne(df), n, mean or 1.0)
 
 
 class _AtLeastOne(dict):
@@ -231,7 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         def work(shared=shared):
             def each(part, texts):
                 index, ids = shared.value, C.column(part, "doc_id").to_pylist()
-                rows = [(ids[k], index.ids[item], *x) for k, item, *x in index.matches(texts, overlap)]
+                rows = [(ids[k], *x) for k, *x in index.matches(texts, overlap)]
                 return dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
 
             return each

@@ -210,38 +210,57 @@ def test_decontaminate_short_parts(spark):
 
 
 def test_decontaminate_shards_alike(spark):
-    """Shards give what one index gives: same scores with non-ASCII capitals, same passages beside a longer item."""
+    """Shards give what one index gives: same scores with non-ASCII capitals, an item's own passages beside a longer one."""
     items = [(i, f"École Über x{i} Ñandú y{i}?\nAnswer: Éire z{i} Ångström v{i}") for i in range(8)] + [(8, "where does the heron nest in early spring?\nAnswer: among tall reeds"), (9, " ".join(f"long{i}" for i in range(150)))]
     noise = " ".join(f"n{i}" for i in range(100))
     rows = [(20 + i, f"{noise} {t} {noise}") for i, t in items] + [(40, f"École Über x1 Ñandú Éire z1 Ångström {noise}"), (41, f"where does the heron nest in early spring? {noise} among tall reeds")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one, many = ({(r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, bench, shard_items=n).collect()} for n in (20_000, 2))
-    assert one == many and {(40, 1), (41, 8)} <= {x[:2] for x in one}
+    pairs = {x[:2] for x in one}
+    assert one == many and (40, 1) in pairs and (41, 8) not in pairs  # a question and an answer that far apart are no leak of a short item
 
 
-def plain_matches(index, items, text, overlap):
-    """Every passage against every item: whole scores, then n-grams of the parts' own lengths."""
+def plain_matches(index, text, overlap):
+    """Every passage of an item's own width against every item: whole scores, then n-grams of the parts' own lengths."""
     words, found = decontaminate.words_of(text), {}
-    width = max(decontaminate.SHORTEST, 2 * index.longest)
-    for start in range(0, max(1, len(words) - width // 2), width // 2):
-        passage = words[start : start + width]
-        for k, (item, _) in enumerate(items):
-            score = sum(x for w, x in index.whole[k].items() if w in set(passage))
-            shares = []
-            for n, wanted in index.parts[k]:
-                there = {b" ".join(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
-                shares.append(len(wanted & there) / len(wanted) if wanted else 0.0)
-            if score >= index.threshold - 1e-9 and wanted and min(shares) >= overlap:
-                found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *shares))
+    for group in index.groups:
+        for k, item in enumerate(group.ids):
+            width = decontaminate.width_of(sum_words[item])
+            assert width == group.width >= 2 * sum_words[item]
+            for start in range(0, max(1, len(words) - width // 2), width // 2):
+                passage = words[start : start + width]
+                score = sum(x for w, x in group.whole[k].items() if w in set(passage))
+                shares = []
+                for n, wanted in group.parts[k]:
+                    there = {b" ".join(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
+                    shares.append(len(wanted & there) / len(wanted) if wanted else 0.0)
+                if score >= group.threshold - 1e-9 and wanted and min(shares) >= overlap:
+                    found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *shares))
     return found
 
 
+sum_words = {}
+
+
+def test_decontaminate_item_alone(spark):
+    """An item's verdict doesn't change when an unrelated long one is added: question and answer 150 words apart are no leak of a short item."""
+    rng = random.Random(4)
+    far = "where does the old heron nest in early spring? " + " ".join(f"n{i}" for i in range(150)) + " among tall reeds by the lake"
+    near = "where does the old heron nest in early spring? " + " ".join(f"n{i}" for i in range(20)) + " among tall reeds by the lake"
+    item, long = (1, "where does the old heron nest in early spring?\nAnswer: among tall reeds by the lake"), (2, " ".join(f"u{rng.randrange(10**6)}" for _ in range(400)) + "?\nAnswer: nothing of it")
+    docs = spark.createDataFrame([(1, far), (2, near), (3, "start " + long[1])], "doc_id long, text string")
+    found = [{(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} for items in ([item], [item, long])]
+    assert found == [{(2, 1)}, {(2, 1), (3, 2)}]
+
+
 def test_decontaminate_brute_force():
     """All passages by all items, with questions and answers of one, two and more words, in texts of several passages."""
     rng = random.Random(8)
     vocab = [f"v{i}" for i in range(60)]
     some = lambda a, b: " ".join(rng.choice(vocab) for _ in range(rng.randint(a, b)))
     items = [(k, rng.choice([f"{some(1, 12)}?\nAnswer: {some(1, 3)}", f"{some(3, 14)}? {some(1, 6)}", some(4, 20), f"{some(2, 9)}. {some(1, 2)}."])) for k in range(60)]
+    items += [(60 + k, f"{some(90, 130)}? {some(30, 40)}") for k in range(6)]
+    sum_words.update((k, len(decontaminate.words_of(t))) for k, t in items)
     index = decontaminate.Index(items)
     texts = []
     for _ in range(80):
@@ -249,10 +268,10 @@ def test_decontaminate_brute_force():
         texts.append(" ".join(x for h in held for x in (some(0, 50), h)) + " " + some(0, 90))
     got = {}
     for k, item, *x in index.matches(texts):
-        got.setdefault(k, {})[items[item][0]] = tuple(x)
+        got.setdefault(k, {})[item] = tuple(x)
     pairs = 0
     for k, t in enumerate(texts):
-        want = plain_matches(index, items, t, decontaminate.OVERLAP)
+        want = plain_matches(index, t, decontaminate.OVERLAP)
         assert set(got.get(k, {})) == set(want), k
         assert all(abs(a - b) < 1e-9 for i, x in want.items() for a, b in zip(x, got[k][i], strict=True))
         pairs += len(want)
@@ -265,7 +284,7 @@ def test_wand_finds_all():
     vocab = [f"v{i}" for i in range(80)]
     items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 25)))) for k in range(150)]
     for threshold in (0.3, 0.5, 0.8):
-        index = decontaminate.Index(items, threshold)
+        [index] = decontaminate.Index(items, threshold).groups
         for _ in range(40):
             words = [rng.choice(vocab).encode() for _ in range(rng.randint(5, 60))]
             terms = {index.term[w] for w in words if w in index.term}
