@@ -39,7 +39,9 @@ BASE_WORTH, TAG_WORTH = 0.7, 0.95
 TAG = "spdx license identifier"
 # the expression ends with the line, or where the next tag begins
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]*?)(?=[\n\r]|\Z|spdx-license-identifier:)", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+#: What may stand before an expression on its line.
+_OPENING = " \t\"'`"
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Every ASCII byte that is in no word becomes a space; A-Z are lower-cased.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -54,27 +56,34 @@ class BadExpression(ValueError):
         self.ids = ids
 
 
-def parse(expression: str) -> tuple:
-    """The tree of an expression: an identifier, or (operator, left, right), by Dijkstra's shunting yard."""
+def parse(text: str) -> tuple[tuple | str, int]:
+    """The tree of the expression at the start of a line, and where it ends: an identifier, or (operator, left, right), by Dijkstra's shunting yard.
+
+    The expression goes on as long as the grammar can: behind a complete one, a word, a mark
+    (as the end of a comment), a bracket too many or a full stop ends it, and the rest of the line is no part of it. A full
+    stop at an identifier's end isn't its own.
+    """
     out, ops, ids, operand = [], [], [], True
+    at = end = len(text) - len(text.lstrip(_OPENING))
 
     def reduce() -> None:
         op, right, left = ops.pop(), out.pop(), out.pop()
         out.append((op, left, right))
 
-    for token in _TOKEN.findall(expression):
-        word = token.lower()
-        if token == "(":
+    while m := _TOKEN.match(text, at):
+        token = m[1].rstrip(".:") or m[1]
+        word, stopped = token.lower(), len(token) < len(m[1])
+        if word == "(":
             if not operand:
-                raise BadExpression("an operator is missing", ids)
+                break
             ops.append(token)
-        elif token == ")":
+        elif word == ")":
             if operand:
                 raise BadExpression("an identifier is missing", ids)
-            while ops and ops[-1] != "(":
+            if "(" not in ops:
+                break
+            while ops[-1] != "(":
                 reduce()
-            if not ops:
-                raise BadExpression("a bracket is missing", ids)
             ops.pop()
         elif word in _RANK:
             if operand:
@@ -85,16 +94,19 @@ def parse(expression: str) -> tuple:
             operand = True
         else:
             if not operand:
-                raise BadExpression("an operator is missing", ids)
+                break
             out.append(token)
             if not ops or ops[-1] != "with":
                 ids.append(token)
             operand = False
+        at, end = m.end(), m.start(1) + len(token)
+        if stopped:
+            break
     if operand or "(" in ops:
         raise BadExpression("the expression ends early", ids)
     while ops:
         reduce()
-    return out[0]
+    return out[0], end
 
 
 def identifiers(tree: tuple | str) -> list[str]:
@@ -156,13 +168,13 @@ def scan(text: str, phrases: ahocorasick.Automaton, allowed: set[str] | frozense
     expressions, permitted = [], None
     for m in _TAG.finditer(text) if tagged else ():
         try:
-            tree = parse(m[1])
+            tree, stop = parse(m[1])
             ids, good = identifiers(tree), satisfied(tree, allowed)
         except BadExpression as e:
-            ids, good = e.ids, False
+            ids, good, stop = e.ids, False, len(m[1])
         permitted = good and permitted is not False if ids else permitted
         if ids:
-            expressions.append(m[1].strip())
+            expressions.append(m[1][:stop].strip(_OPENING))
             labels.update(map(label_of, ids))
             doubt *= 1 - TAG_WORTH
     first = last = None

@@ -116,15 +116,30 @@ def test_long_expressions():
 
 
 def test_expressions():
-    tree = lic.parse("MIT or Apache-2.0 and GPL-2.0 with X")
+    tree, end = lic.parse("MIT or Apache-2.0 and GPL-2.0 with X")
     assert tree == ("or", "MIT", ("and", "Apache-2.0", ("with", "GPL-2.0", "X")))
     assert lic.identifiers(tree) == ["MIT", "Apache-2.0", "GPL-2.0"]
     assert lic.satisfied(tree, {"mit"}) and not lic.satisfied(tree, {"apache-2.0"})
-    for bad in ("", "and MIT", "(MIT", "MIT)", "MIT Apache", "MIT or"):
+    assert end == len("MIT or Apache-2.0 and GPL-2.0 with X")
+    for bad in ("", "and MIT", "(MIT", "MIT or", "-- MIT", "(MIT -->", "MIT and )"):
         with pytest.raises(lic.BadExpression):
             lic.parse(bad)
 
 
+def test_expressions_in_comments():
+    """The comment styles of several languages, and prose: what stands behind a complete expression is no part of it."""
+    automaton = lic._automaton()
+    cases = {
+        "<!-- SPDX-License-Identifier: MIT -->": ("MIT", "mit", True), "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */": ("GPL-2.0-only WITH Classpath-exception-2.0", "gpl", False),
+        "// SPDX-License-Identifier: Apache-2.0 OR MIT -- see LICENSE": ("Apache-2.0 OR MIT", "apache,mit", True), "# SPDX-License-Identifier: MIT. Do as you like": ("MIT", "mit", True), "SPDX-License-Identifier: Apache-2.0.": ("Apache-2.0", "apache", True),
+        "(* SPDX-License-Identifier: (MIT AND ISC) *)": ("(MIT AND ISC)", "isc,mit", True), "{- SPDX-License-Identifier: BSD-3-Clause -}": ("BSD-3-Clause", "bsd", True), '"SPDX-License-Identifier: MIT"': ("MIT", "mit", True), "(SPDX-License-Identifier: MIT)": ("MIT", "mit", True),
+        'license = "SPDX-License-Identifier: GPL-3.0-or-later"; x': ("GPL-3.0-or-later", "gpl", False), "%% SPDX-License-Identifier: MIT Apache": ("MIT", "mit", True), "--[[ SPDX-License-Identifier: MIT OR GPL-2.0 ]]": ("MIT OR GPL-2.0", "gpl,mit", True), "SPDX-License-Identifier: MIT OR": ("MIT OR", "mit", False),
+    }
+    for text, want in cases.items():
+        got = lic.scan(text, automaton)
+        assert (got[7][0], got[5], got[8]) == want, text
+
+
 def plain_scan(t):
     """Words, base places and labels by looking at every place."""
     w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
@@ -158,13 +173,13 @@ def test_expressions_evaluated():
         plain = re.sub(r" WITH Some-exception", "", e)
         plain = re.sub(r"[A-Za-z0-9.+-]+", lambda m: m[0].lower() if m[0].lower() in ("and", "or") else str(lic.label_of(m[0]) in lic.PERMISSIVE), plain)
         want = eval(plain)  # of True, False, and, or and brackets only
-        assert lic.satisfied(lic.parse(e), lic.PERMISSIVE) is want
+        assert lic.satisfied(lic.parse(e)[0], lic.PERMISSIVE) is want
         assert lic.scan(f"x\nSPDX-License-Identifier: {e}\ny", automaton)[8] is want
         seen.add(want)
     assert seen == {True, False}
     assert lic.scan("no tag", automaton)[8] is None and lic.scan("SPDX-License-Identifier: MIT OR", automaton)[8] is False
     assert lic.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0", automaton)[8] is False
-    assert lic.satisfied(lic.parse(" OR ".join(["GPL-2.0"] * 5000 + ["MIT"])), lic.PERMISSIVE)
+    assert lic.satisfied(lic.parse(" OR ".join(["GPL-2.0"] * 5000 + ["MIT"]))[0], lic.PERMISSIVE)
 
 
 def test_url_filter(spark):
