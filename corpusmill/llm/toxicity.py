@@ -194,7 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     """Fits on at most ``sample`` labelled rows that aren't held out, in the order of their hashes as long as their texts have ``chars`` characters together; a text that is too long is passed over."""
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)  # at most ``sample`` rows: small enough to broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    found = C.cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(text, F.struct(F.md5(text), text)).alias("text"), F.first("toxic").alias("toxic")))  # of several texts of one id the one of the least digest
     sizes = {r.doc_id: r.n for r in found.select("doc_id", F.length("text").alias("n")).collect()}  # ``sample`` numbers
     if sum(sizes.values()) > chars:
         held, fitting = 0, []

@@ -56,6 +56,32 @@ def test_whole_words_are_scored(spark):
     assert sum(got[i].predicted == t for i, t in held) / len(held) > 0.95
 
 
+def test_repeated_ids(spark):
+    """Of several texts of one id that of the least digest is learnt, whatever the partitions."""
+    rows, labels = corpus(200)
+    twice = rows + [(i, t[::-1]) for i, t in rows[:100]]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    runs = [[tuple(r) for r in toxicity.toxicity(spark.createDataFrame(twice, "doc_id long, text string").repartition(n), lab).orderBy("doc_id", "score").collect()] for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_plain_scores(spark):
+    """Against scores that are worked out word by word from the weights, without memo and numpy."""
+    rows, labels = corpus(150)
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights, bias = toxicity.train(df, lab).weights()
+    mean = lambda xs: sum(xs) / len(xs)
+
+    def plain(text):
+        worth = [mean([float(weights[b]) for b in toxicity.features(w)]) for w in toxicity.words_of(text)]
+        parts = [worth[i : i + toxicity.SEGMENT] for i in range(0, len(worth), toxicity.SEGMENT)]
+        return max(map(sum, parts), default=0.0) + bias
+
+    scores = toxicity._WordScores(weights)
+    for _, t in [*rows, (0, ""), (1, "one"), (2, "one two three four"), (3, "x" * 200)]:
+        assert abs(plain(t) - toxicity.log_odds(toxicity.words_of(t), scores, bias)) < 1e-4
+
+
 def test_every_ngram_is_in_a_block():
     for word in (b"x" * 41, bytes(97 + i * i % 23 for i in range(300)), "\u00fcber\u00e9".encode() * 20):
         marked = b"<" + word + b">"
