@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 
 
+#: Levels of a curriculum that are broadcast at most.
+BROADCAST_LEVELS = 10_000
+
+
 def hash_key(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
@@ -145,20 +149,21 @@ def curriculum_weight(level: Column, t: Column) -> Column:
 def curriculum(items: DataFrame, key: str, level: str, steps: int, per_step: int, seed: str, ramp: int | None = None) -> DataFrame:
     """step, slot and item, drawn with replacement by weights that move from easy to hard levels.
 
-    Levels are few: a level is drawn by the inverse of their cumulative weights,
-    then an item within it by rank, so nothing is crossed but steps and levels.
+    A level is drawn by the inverse of the levels' cumulative weights, then an item
+    within it by its rank, so nothing is crossed but steps and levels. Ranks are made by
+    ranges: a level that holds all items is spread over all tasks.
     """
     spark = items.sparkSession
-    w = Window.partitionBy(level).orderBy(*hash_order(seed, key))
-    ranked = items.select(F.col(key), F.col(level).alias("_level"), (F.row_number().over(w) - 1).alias("_rank"))
+    ranked = running(items.select(F.col(key), F.col(level).alias("_level")).withColumn("_key", hash_key(seed, key)), ["_level"], ["_key", key], {"_rank": F.lit(1).cast("long")}).drop("_key")
     sizes = items.groupBy(F.col(level).alias("_level")).agg(F.count("*").alias("_size"))
     slots = spark.range(steps * per_step).select(F.floor(F.col("id") / per_step).alias("step"), (F.col("id") % per_step).alias("slot"))
-    weights = spark.range(steps).select(F.col("id").alias("step")).crossJoin(F.broadcast(sizes)).withColumn("_w", F.col("_size") * curriculum_weight(F.col("_level").cast("double"), progress(F.col("step"), ramp or steps)))  # a few levels
+    few = sizes.count() <= BROADCAST_LEVELS
+    weights = spark.range(steps).select(F.col("id").alias("step")).crossJoin(F.broadcast(sizes) if few else sizes).withColumn("_w", F.col("_size") * curriculum_weight(F.col("_level").cast("double"), progress(F.col("step"), ramp or steps)))
     by = Window.partitionBy("step").orderBy("_level")
     share = weights.withColumns({"_to": F.sum("_w").over(by), "_all": F.sum("_w").over(Window.partitionBy("step"))}).withColumns({"_from": (F.col("_to") - F.col("_w")) / F.col("_all"), "_to": F.col("_to") / F.col("_all")})
     name = F.concat_ws(":", F.lit(seed), "step", "slot")
     drawn = slots.withColumns({"_u": uniform(name), "_v": uniform(F.concat(name, F.lit(":item")))}).join(share, "step").filter("_u >= _from and _u < _to")
-    return drawn.withColumn("_rank", F.floor(F.col("_v") * F.col("_size")).cast("int")).join(ranked, ["_level", "_rank"]).select("step", "slot", key, F.col("_level").alias(level))
+    return drawn.withColumn("_rank", F.floor(F.col("_v") * F.col("_size")).cast("long")).join(ranked, ["_level", "_rank"]).select("step", "slot", key, F.col("_level").alias(level))
 
 
 def with_next(df: DataFrame, group: str, order: str, name: str, none: Column, index: str = "index") -> DataFrame:
