@@ -70,7 +70,7 @@ def stream_step_windows(spark: SparkSession, d: str) -> DataFrame:
     with stateful.rocksdb(spark):
         out = stateful.step_windows(_events(spark, d), "user_id", "ts", "event_id", "value", SIZE, IDLE, "0 seconds")
         stream.to_table(out, f"{place}/out", f"{place}/state").awaitTermination()
-    return spark.read.parquet(f"{place}/out").select("key", "n", "window_n", F.round("window_mean", 6).alias("window_mean"), F.round("mean", 6).alias("mean"))
+    return spark.read.parquet(f"{place}/out").select("key", "n", "window_n", F.round(F.col("window_mean") * F.col("window_n") * 100).cast("long").alias("window_cents"), F.round(F.col("mean") * F.col("n") * 100).cast("long").alias("cents"))
 
 
 def copied_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ ORACLES = {
     "stream_step_windows": f"""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_ms(ts) AS ms, value, row_number() OVER w AS n, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS total, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id)),
 s AS (SELECT *, sum(CASE WHEN pause > {IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) AS part FROM o),
 p AS (SELECT *, (row_number() OVER (PARTITION BY key, part ORDER BY n) - 1) // {SIZE} AS piece, max(part) OVER (PARTITION BY key) AS last_part, max(ms) OVER () AS mark FROM s)
-SELECT key, max(n) AS n, count(*) AS window_n, round(avg(value), 6) AS window_mean, round(max_by(total, n) / max(n), 6) AS mean FROM p GROUP BY key, part, piece HAVING count(*) = {SIZE} OR part < any_value(last_part) OR max(ms) + {IDLE} < any_value(mark)""",
+SELECT key, max(n) AS n, count(*) AS window_n, CAST(round(sum(value) * 100) AS BIGINT) AS window_cents, CAST(round(max_by(total, n) * 100) AS BIGINT) AS cents FROM p GROUP BY key, part, piece HAVING count(*) = {SIZE} OR part < any_value(last_part) OR max(ms) + {IDLE} < any_value(mark)""",
     "copied_tree": "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 1) AS total, true AS listed FROM customer GROUP BY 1",
     "price_ranks": f"SELECT 'all' AS flag, {_RANKS} FROM (SELECT l_extendedprice AS x FROM lineitem) UNION ALL SELECT flag, {_RANKS} FROM (SELECT l_returnflag AS flag, l_extendedprice AS x FROM lineitem) GROUP BY flag",
     "kept_documents": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang",

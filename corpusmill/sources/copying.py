@@ -61,11 +61,14 @@ def _copier(target: str):
 
 
 def listed(spark: SparkSession, source: str) -> DataFrame:
-    """name (below the source), path, length and time of every file; the listing is Spark's, no content is read."""
+    """name (below the source), path, length and time of every file, empty ones too; the driver sees the listing and no content."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getPath().toUri().getPath().rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-    return found.select(F.substring_index("path", root + "/", -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, found, rows = fs.getFileStatus(at).getPath().toString().rstrip("/"), fs.listFiles(at, True), []
+    while found.hasNext():
+        x = found.next()
+        rows.append((x.getPath().toString()[len(root) + 1 :], x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return spark.createDataFrame(rows, "name string, path string, length long, ms long").select("name", "path", "length", F.timestamp_millis("ms").alias("modified"))
 
 
 def copy_tree(spark: SparkSession, source: str, target: str, rounds: int = 8, hook: Hook = _nothing) -> DataFrame:
