@@ -64,24 +64,25 @@ def overlay_compare(base: DataFrame, other: DataFrame, key: str, value: str) ->
 def overlap(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """doc_id and item_id of documents that have a run of ``words`` words of an item.
 
-    Runs are compared by a 64-bit hash first: where the items' runs are few enough, their
-    hashes are broadcast and only the documents' runs that are among them leave the scan;
-    else both sides are joined by hash. What meets is compared as text.
+    A run is two 64-bit hashes of its words' hashes, so no text but the words is ever built or
+    sent. Where the items' runs are few enough, their first hashes are broadcast and only the
+    documents' runs that are among them leave the scan; else both sides are joined by hash.
     """
 
     def runs(df: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != "")
         each = df.select(key, w.alias("w")).filter(F.size("w") >= words)
-        at = F.sequence(F.lit(1), F.size("w") - (words - 1))
-        texts = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, words), " ")))
-        return each.select(key, F.explode(texts).alias("run")).select(key, "run", F.xxhash64("run").alias("hash"))
+        each = each.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("a"), F.transform("w", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
+        at = F.sequence(F.lit(1), F.size("a") - (words - 1))
+        found = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("a", i, words)).alias("hash"), F.xxhash64(F.slice("b", i, words)).alias("other")))
+        return each.select(key, F.inline(found))
 
-    wanted = runs(items, "item_id")
+    wanted = runs(items, "item_id").distinct()
     hashes = wanted.select("hash").distinct()
     few = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     seen = runs(docs, "doc_id")
     seen = seen.join(F.broadcast(hashes), "hash", "left_semi") if few else seen  # BROADCAST_ROWS hashes at most
-    return seen.join(wanted, ["hash", "run"]).select("doc_id", "item_id").distinct()
+    return seen.join(wanted, ["hash", "other"]).select("doc_id", "item_id").distinct()
 
 
 def zip_by_position(df: DataFrame, other: DataFrame, order: str, other_order: str) -> DataFrame:

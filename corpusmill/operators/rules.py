@@ -65,7 +65,7 @@ def gate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def capped(df: DataFrame, reason: str, by: str, key: str, cap: int, seed: str, label: str = "cap_reached") -> DataFrame:
-    """Rows in hash order by group: after the cap-th one without a reason, all get ``label``. Groups spread over ranges."""
+    """Rows in hash order by group: after the cap-th one without a reason, all get ``label``. Groups spread over ranges; give the columns that are needed only, as whole rows are sorted."""
     taken = running(df.withColumn("_hash", hash_order(seed, key)[0]), [by], ["_hash", key], {"_before": F.col(reason).isNull().cast("long")})
     return taken.withColumn(reason, F.when(F.col("_before") >= cap, F.lit(label)).otherwise(F.col(reason))).drop("_hash", "_before")
 

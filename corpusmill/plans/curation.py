@@ -71,7 +71,7 @@ def clean_text(spark, d):
 
 
 def capped_reasons(spark, d):
-    tagged = rules.apply(counted(spark, d), document_rules())
+    tagged = rules.apply(counted(spark, d), document_rules()).select("doc_id", "source", "reason")  # no text is sorted
     return rules.histogram(rules.capped(tagged, "reason", "source", "doc_id", 20, "42").withColumn("reason", F.coalesce("reason", F.lit("kept"))))
 
 

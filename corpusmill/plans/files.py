@@ -160,10 +160,10 @@ def cached_table(spark, d):
 def progress_file(spark, d):
     """A progress record that is replaced as a whole."""
     path = f"{new_dir(spark, 'files')}/progress.json"
-    before = sinks.read_bytes(spark, path)
+    before = sinks.read_progress(spark, path)
     for n in (1, 2):
-        sinks.write_bytes(spark, path, json.dumps({"seen": docs(spark, d).count() * n}).encode())
-    seen = json.loads(sinks.read_bytes(spark, path))["seen"]
+        sinks.write_progress(spark, path, json.dumps({"seen": docs(spark, d).count() * n}).encode())
+    seen = json.loads(sinks.read_progress(spark, path))["seen"]
     return spark.createDataFrame([(before is None, seen)], "fresh boolean, seen long")
 
 

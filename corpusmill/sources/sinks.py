@@ -103,6 +103,29 @@ def read_bytes(spark, path: str) -> bytes | None:
         stream.close()
 
 
+def _numbered(spark, path: str) -> list[str]:
+    """The numbered files of a progress file, the newest last."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(n for x in found if (n := x.getPath().toString()).rpartition(".")[2].isdigit())
+
+
+def write_progress(spark, path: str, content: bytes) -> None:
+    """A small record that is replaced: the new one gets the next number before the old ones go, so that there is one at every moment."""
+    old = _numbered(spark, path)
+    write_bytes(spark, f"{path}.{int(old[-1].rpartition('.')[2]) + 1 if old else 0:012d}", content)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for x in old:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+        gone.getFileSystem(conf).delete(gone, False)
+
+
+def read_progress(spark, path: str) -> bytes | None:
+    """The newest record, or None before the first."""
+    found = _numbered(spark, path)
+    return read_bytes(spark, found[-1]) if found else None
+
+
 def full_manifest(df: DataFrame, reason: str, source: str, words: str, caps: dict[str, int], parameters: dict[str, str]) -> DataFrame:
     """One row: kept and dropped rows, drops by reason, kept rows by source, words of kept rows, and the caps and parameters of the build."""
     kept = F.col(reason).isNull()

@@ -113,3 +113,16 @@ def test_replaced_files(spark, tmp_path):
     assert sinks.sidecar_path("a/b.jsonl") == "a/b_capability_rescues.jsonl"
     with pytest.raises(Exception):
         sinks.copy_tree(spark, f"{tmp_path}/none", f"{tmp_path}/x")
+
+
+def test_progress(spark, tmp_path):
+    """At every moment there is a record: also between the new one and the end of the old ones."""
+    path = f"{tmp_path}/progress.json"
+    assert sinks.read_progress(spark, path) is None
+    for k in range(12):
+        sinks.write_progress(spark, path, str(k).encode())
+        assert sinks.read_progress(spark, path) == str(k).encode()
+    sinks.write_bytes(spark, f"{path}.{12:012d}", b"new")  # broken off before the old one goes
+    assert sinks.read_progress(spark, path) == b"new"
+    sinks.write_progress(spark, path, b"next")
+    assert sinks.read_progress(spark, path) == b"next" and len(list(tmp_path.glob("progress.json.*"))) == 1
