@@ -177,7 +177,7 @@ def token_caps(spark, d):
 
 
 def _pool(spark, d):
-    return docs(spark, d).select(F.left("text", F.lit(30)).alias("problem"), F.col("text").alias("solution"), F.when(F.contains("text", F.lit("!!")), "").otherwise("x").alias("answer"), F.lit("unknown").alias("level"), F.regexp_replace("source", r"^src(\d)\d*$", "s$1").alias("source"))
+    return docs(spark, d).select(F.col("text").alias("problem"), F.col("text").alias("solution"), F.when(F.contains("text", F.lit("!!")), "").otherwise("x").alias("answer"), F.lit("unknown").alias("level"), F.regexp_replace("source", r"^src(\d)\d*$", "s$1").alias("source"))
 
 
 BANDS = {"s1": (50, 400), "s2": (500, 8000)}
@@ -266,7 +266,7 @@ ORACLES = {
 ORACLES["word_stats_by_source"] = f"SELECT source, len(l) AS n, l[1] AS min, l[len(l) // 2 + 1] AS median, l[CAST(floor((len(l) - 1) * 0.95) AS BIGINT) + 1] AS p95, l[-1] AS max FROM (SELECT source, list_sort(list({WORDS})) AS l FROM documents GROUP BY source)"
 _KIND = "['math', 's1k', 'numina', 'stratos', 'openr1', 'other'][doc_id % 6 + 1]"
 _AUDIT = "CASE source WHEN 's1' THEN n > 50 AND n < 400 WHEN 's2' THEN n > 500 AND n < 8000 ELSE n > 100 AND n < 2000 END"
-_POOL = rf"(SELECT regexp_replace(source, '^src(\d)\d*$', 's\1') AS source, length(left(text, 30)) > 10 AS p, NOT contains(text, '!!') AS b, {WORDS} AS n FROM documents)"
+_POOL = rf"(SELECT regexp_replace(source, '^src(\d)\d*$', 's\1') AS source, length(text) > 10 AS p, NOT contains(text, '!!') AS b, {WORDS} AS n FROM documents)"
 ORACLES |= {
     "source_gate": "SELECT CASE WHEN source IN ('src3', 'src17') THEN 'blocked_source' WHEN source NOT IN (SELECT 'src' || i FROM range(15) AS t(i)) THEN 'disallowed_source' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
     "source_like": "SELECT lang, source, count(*) AS n FROM documents WHERE source LIKE '%c1%' OR source LIKE '%src7%' OR lang LIKE '%e%' GROUP BY 1, 2",

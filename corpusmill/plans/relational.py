@@ -172,7 +172,7 @@ def zipped_rows(spark, d):
 
 def grouped_members(spark, d):
     """Each line of an order with all line numbers of the order."""
-    rows = read(spark, d, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber")
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     out = link.with_group(rows, ["l_orderkey"], "l_linenumber", "numbers")
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"))
 
@@ -252,7 +252,7 @@ def cumulative_rewards(spark, d):
 
 
 def cyclic_stream(spark, d):
-    mixed = select.mix_streams(read(spark, d, "events").filter("event_id < 2000").select("event_id"), "event_id", 500, 0.1, 0.5, "mix")
+    mixed = select.mix_streams(read(spark, d, "events").select("event_id"), "event_id", 500, 0.1, 0.5, "mix")
     return select.cyclic_items(mixed, "event_id", read(spark, d, "nation"), "n_nationkey", "13").select("event_id", "n_nationkey")
 
 
@@ -322,7 +322,7 @@ _RATE = lambda c, of="true": f"round(count(*) FILTER (({c}) AND ({of})) / greate
 ORACLES |= {
     "looked_up": "SELECT kind, CASE kind WHEN 'inner' THEN f ELSE n END AS n, CASE kind WHEN 'all' THEN n ELSE f END AS found FROM (SELECT count(*) AS n, count(*) FILTER (c_nationkey < 10) AS f FROM orders JOIN customer ON o_custkey = c_custkey), (VALUES ('left'), ('all'), ('inner')) AS t(kind)",
     "zipped_rows": "SELECT a.n_nationkey, a.n_name, b.n_name AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY -n_nationkey) AS r FROM nation) b USING (r)",
-    "grouped_members": "SELECT l_orderkey, l_linenumber, string_agg(l_linenumber, ',' ORDER BY l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS numbers FROM lineitem WHERE l_orderkey < 2000",
+    "grouped_members": "SELECT l_orderkey, l_linenumber, string_agg(l_linenumber, ',' ORDER BY l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS numbers FROM lineitem",
     "latest_parts": "WITH e AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS key, event_type, event_id FROM events), p AS (SELECT key, min(event_id) AS id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS part FROM e WHERE event_type IN ('purchase', 'click', 'view') GROUP BY key, event_type) SELECT (SELECT count(DISTINCT key) FROM p) AS n, (SELECT CAST(sum(id) AS BIGINT) FROM (SELECT arg_min(id, part) AS id FROM p WHERE key IS NOT NULL GROUP BY key)) AS ids, (SELECT count(*) FROM p WHERE key IS NULL) AS bad, (SELECT count(key) - count(DISTINCT key) FROM p) AS hidden",
     "anti_by_key": "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "failure_breakdown": f"SELECT mode, count(*) AS n FROM {_MODES} WHERE (ok AND NOT correct) OR starts_with(mode, 'error:') OR mode = 'timeout' GROUP BY mode",
@@ -334,7 +334,7 @@ ORACLES |= {
     "accepted_per_batch": "SELECT b AS batch, count(*) AS n, CAST(sum(c) AS BIGINT) AS candidates FROM (SELECT (c - 1) // 2 AS b, p_partkey, min(c) AS c FROM part, range(1, 7) AS t(c) WHERE (p_size + c * 5 + p_partkey) % 3 = 0 GROUP BY 1, 2) GROUP BY 1",
     "tag_rates": "SELECT w AS \"window\", count(*) AS completions, round(avg(value), 4) AS mean, " + ", ".join(f"{_RATE(c)} AS {k}_rate" for k, c in {"correct": "i % 2 = 0", "wrong": "i % 2 = 1", "clipped": "i % 5 = 0", "scattered_box": "false"}.items()) + f", count(*) FILTER (k = 'view') AS mcq_count, {_RATE('i % 2 = 0', 'k = ' + chr(39) + 'view' + chr(39))} AS mcq_correct_rate, count(*) FILTER (k = 'click') AS multi_count, {_RATE('i % 3 = 0', 'k = ' + chr(39) + 'click' + chr(39))} AS multi_ideal_box_rate, {_RATE('i % 5 = 0', 'k NOT IN (' + chr(39) + 'view' + chr(39) + ', ' + chr(39) + 'click' + chr(39) + ')')} AS single_clipped_rate, {_RATE('i % 7 = 0', 'k = ' + chr(39) + 'view' + chr(39))} AS mcq_letter_among_mcq_rate FROM (SELECT event_id // 1000 AS w, event_id AS i, event_type AS k, round(value, 2) AS value FROM events) GROUP BY w",
     "cumulative_rewards": "SELECT n, CAST(floor(s / n) AS BIGINT) AS mean FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, sum(round(value * 100)::BIGINT) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE n % 200 = 0",
-    "cyclic_stream": f"WITH s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events WHERE event_id < 2000 AND {_U(chr(39) + 'mix:' + chr(39) + ' || event_id')} < 0.1::DOUBLE + (0.5::DOUBLE - 0.1::DOUBLE) * least(event_id / 500.0::DOUBLE, 1.0)) SELECT event_id, n_nationkey FROM s JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY {_H('13', 'n_nationkey')}, n_nationkey) - 1 AS p, count(*) OVER () AS c FROM nation) ON r % c = p",
+    "cyclic_stream": f"WITH s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events WHERE {_U(chr(39) + 'mix:' + chr(39) + ' || event_id')} < 0.1::DOUBLE + (0.5::DOUBLE - 0.1::DOUBLE) * least(event_id / 500.0::DOUBLE, 1.0)) SELECT event_id, n_nationkey FROM s JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY {_H('13', 'n_nationkey')}, n_nationkey) - 1 AS p, count(*) OVER () AS c FROM nation) ON r % c = p",
     "layer_weights": "SELECT CASE WHEN vec_id % 3 = 0 THEN 'model.layers.' || (vec_id % 8) || '.w' || vec_id ELSE 'head.w' || vec_id END AS name, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * (1 + CASE WHEN vec_id % 5 = 0 THEN 0 WHEN vec_id % 3 = 0 THEN 0.9::DOUBLE + (vec_id % 8) / 7.0::DOUBLE * (0.2::DOUBLE - 0.9::DOUBLE) ELSE 0.5::DOUBLE END))), 4) AS total FROM embeddings",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -60,7 +60,7 @@ def stream_partial(spark, d):
 
 def stream_sessions(spark, d):
     place = _place(spark)
-    rows = _events(spark, d).filter("user_id < 20")
+    rows = _events(spark, d)
     per = stream.sessions(rows, "ts", "6 hours", ["user_id"], [F.count("*").alias("n")], "40 days")
     stream.complete(per, f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
@@ -93,7 +93,7 @@ ORACLES = {
 ORACLES |= {
     "stream_restart": "SELECT run, run = 1 AS restarted, n FROM (SELECT count(*) AS n FROM events), range(3) AS t(run)",
     "stream_partial": "SELECT event_type, count(*) AS n, round(sum(value), 1) AS total FROM events GROUP BY 1",
-    "stream_sessions": "SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 6 HOURS) AS sessions, count(*) AS n FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE user_id < 20) GROUP BY 1",
+    "stream_sessions": "SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 6 HOURS) AS sessions, count(*) AS n FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY 1",
     "stream_count_windows": "SELECT event_type, w AS \"window\", count(*) AS n, round(avg(v), 4) AS mean FROM (SELECT event_type, round(value, 2) AS v, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 25 AS w FROM events) GROUP BY event_type, w HAVING count(*) = 25",
     "stream_progress": "SELECT count(*) AS rows, true AS some_batches, true AS estimated FROM events",
 }
