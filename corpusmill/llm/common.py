@@ -200,3 +200,9 @@ def word_hashes(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.n
     place = np.arange(first, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     parts = (_BYTE_LOWER if lower else _BYTE)[data[first:]] * _PLACES[place & 0xFFFF]
     return mix(np.add.reduceat(parts, starts - first)), starts
+
+
+def crc32_step(text: str = "s", place: str = "k", value: str = "x") -> str:
+    """DuckDB SQL: crc32 (before its last inversion) after one more byte of an ASCII text, bit by bit."""
+    bit = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return f"list_reduce(list_prepend(xor({value}, ascii(substr({text}, {place}, 1))::BIGINT), [0::BIGINT for i in range(8)]), lambda x, y: {bit})"

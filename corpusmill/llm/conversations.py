@@ -332,3 +332,41 @@ def structure_report(conversations: DataFrame) -> DataFrame:
         out = out.alias("a").join(other.withColumnRenamed("conv_id", "_conv"), F.col("a.conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return out.select("conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """DuckDB SQL: the same search over whole audit strings, in a recursion over the rows of each conversation."""
+    moves, ends = [], []
+    for state in range(4):
+        for code in CODES:
+            at, edit, price = _after(state, len(code) - 1), code[-1], INSERT * (len(code) - 1)
+            if edit == "K":
+                moves += [(state, code, initial, to, price + KEEP) for (s, initial), to in _EMIT.items() if s == at]
+            else:
+                moves.append((state, code, "*", at if edit == "D" else _NEXT[at], price + (DELETE if edit == "D" else REROLE)))
+        ends += [(state, "I" * k, INSERT * k) for k in range(3) if _after(state, k) in _ENDS]
+    values = lambda rows: ", ".join(str(r) for r in rows)
+    key = "lpad(CAST(CAST(left({0}.key, 10) AS BIGINT) + {1} AS VARCHAR), 10, '0') || substr({0}.key, 11) || {2}"
+    return rf"""
+WITH RECURSIVE named AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+crc(s, k, x) AS (SELECT s, 1, 4294967295::BIGINT FROM named UNION ALL SELECT s, k + 1, {C.crc32_step()} FROM crc WHERE k <= length(s)),
+codes AS (SELECT s, xor(x, 4294967295::BIGINT) % 20 AS c FROM crc WHERE k = length(s) + 1),
+d AS (SELECT conv_id, turn, c, CASE WHEN c = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM conversations JOIN codes ON s = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') WHERE c <> 0),
+e AS (SELECT conv_id, turn, role, text FROM (SELECT *, unnest(range(CASE WHEN c = 3 THEN 2 ELSE 1 END)) FROM d)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, right(regexp_replace(text, '[ 	-]+$', ''), 1) AS last FROM e),
+o AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+moves(st, word, initial, goal, price) AS (VALUES {values(moves)}), ends(st, word, price) AS (VALUES {values(ends)}),
+w(conv_id, i, st, key) AS (SELECT conv_id, 0::BIGINT, 0, '0000000000' FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL SELECT w.conv_id, w.i + 1, m.goal, min({key.format("w", f"m.price + CASE WHEN o.fault = 'truncated' AND right(m.word, 1) <> 'D' THEN {TRUNCATED} ELSE 0 END", "m.word")})
+  FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1 JOIN moves m ON m.st = w.st AND (right(m.word, 1) = 'D' OR o.fault NOT IN ('blank', 'duplicate')) AND m.initial IN ('*', o.initial) GROUP BY w.conv_id, w.i, m.goal),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id),
+best AS (SELECT w.conv_id, min({key.format("w", "ends.price", "ends.word")}) AS key FROM w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN ends ON ends.st = w.st GROUP BY w.conv_id),
+edits AS (SELECT conv_id, p, substr(key, 10 + p, 1) AS edit FROM (SELECT *, unnest(range(1, length(key) - 9)) AS p FROM best)),
+placed AS (SELECT *, CAST(sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS BIGINT) AS i, CAST(sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS BIGINT) AS j FROM edits),
+given AS (SELECT p.conv_id, p.p, p.j, p.edit, CASE WHEN p.edit = 'K' THEN o.role END AS role, CASE WHEN p.edit = 'I' THEN '' ELSE o.text END AS text FROM placed p LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i WHERE p.edit <> 'D'),
+led AS (SELECT *, max(CASE WHEN j = 1 AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM given),
+fixed AS (SELECT conv_id, string_agg(coalesce(role, CASE WHEN (j - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p) AS t FROM led GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank, CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(left(b.key, 10), '0') AS BIGINT) AS cost, coalesce(substr(b.key, 11), '') AS audit, sha256(coalesce(f.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM a.conv_id"""

@@ -173,13 +173,11 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB SQL: whole paths as lists, every node against the paths below it."""
-    bit = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"  # crc32, by the bit
-    byte = f"list_reduce(list_prepend(xor(x, ascii(substr(s, k, 1))::BIGINT), [0::BIGINT for i in range(8)]), lambda x, y: {bit})"
     return f"""
 WITH RECURSIVE named AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
 crc(conv_id, s, k, x) AS (
   SELECT conv_id, s, 1, 4294967295::BIGINT FROM named
-  UNION ALL SELECT conv_id, s, k + 1, {byte} FROM crc WHERE k <= length(s)),
+  UNION ALL SELECT conv_id, s, k + 1, {C.crc32_step()} FROM crc WHERE k <= length(s)),
 convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(x, 4294967295::BIGINT) % 6 AS h FROM crc WHERE k = length(s) + 1),
 t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY pos) AS l FROM t GROUP BY conv_id),

@@ -70,4 +70,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_url_filter, op4_pii, op5_license_scan, op6_sentencepiece, op7_jaccard_join, op8_quality_rules, op9_toxicity, op10_suffix_dedup, op11_token_blocks, op12_structure_repair, op13_prefix_trie)}
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle(), "op13_prefix_trie": prefixtrie.oracle()}
+ORACLES: dict[str, str] = {"op2_line_dedup": linededup.oracle(), "op3_url_filter": urlfilter.oracle(), "op12_structure_repair": conversations.oracle(), "op13_prefix_trie": prefixtrie.oracle()}

@@ -169,6 +169,21 @@ def test_report(spark, monkeypatch, chunk):
     assert {k: v for k, v in got.items() if k not in (7, 8)} == want and {7, 8} < got.keys()
 
 
+def test_report_sql(tmp_path):
+    """The plain version and the SQL of the query say the same."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = corpus()
+    pq.write_table(pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.string(), pa.string()])], names=["conv_id", "turn", "role", "text"]), tmp_path / "t.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/t.parquet'")
+    found = {r[0]: tuple(r[1:]) for r in con.execute(ORACLES["op12_structure_repair"]).fetchall()}
+    want = plain_report(rows)
+    assert {k: v for k, v in found.items() if k not in (7, 8)} == {k: v for k, v in want.items() if k not in (7, 8)} and found.keys() == want.keys()
+
+
 def test_long_conversation(spark):
     rows = [(1, i, ("user", "assistant")[(i // 3) % 2], f"t{i % 700}.") for i in range(5000)]
     got = conversations.structure_report(spark.createDataFrame(rows, SCHEMA)).collect()
