@@ -1,9 +1,10 @@
 """Exact order statistics of groups of any size, by pivots: no task sees more than its share of a group.
 
-A round splits the interval that holds a wanted rank at about ``PIVOTS`` approximate quantiles,
-counts the rows between them exactly, and goes on with the part that holds the rank. An
-interval of ``SMALL`` rows is sorted; one of a single value is done. Rounds grow with the logarithm of
-the rows, and after the first each reads only the parts that are left.
+Equal values are counted first. A round splits the interval that holds a wanted rank at about
+``PIVOTS`` approximate quantiles of its distinct values, counts the rows between them exactly, and
+goes on with the part that holds the rank. An interval of ``SMALL`` values is sorted; one of a
+single value is done. Rounds grow with the logarithm of the distinct values, and after the
+first each reads only the parts that are left.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def order_statistics(df: DataFrame, by: list[str], x: str, at: Mapping[str, Callable[[Column], Column]], small: int = SMALL) -> DataFrame:
     """For each group n and the values at ranks (from 0) of its sorted values; ``at`` gives a rank from n. Nulls are left out; a rank out of bounds is the nearest one."""
-    rows = df.select(*by, F.col(x).alias("_x")).filter("_x is not null")
-    sizes = _kept(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")))
+    rows = _kept(df.select(*by, F.col(x).alias("_x")).filter("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_c")))
+    sizes = _kept(rows.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max")))
     kind = rows.schema["_x"].dataType
     bounded = lambda f: F.greatest(F.lit(0), F.least(f(F.col("n")).cast("long"), F.col("n") - 1))
     targets = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), bounded(f).alias("rank")) for k, f in at.items()])).alias("t"), F.lit(None).cast(kind).alias("lo"), F.col("_max").alias("hi")).select(*by, "t.name", "t.rank", "lo", "hi")
@@ -42,14 +43,14 @@ def order_statistics(df: DataFrame, by: list[str], x: str, at: Mapping[str, Call
     while True:
         stats = _kept(live.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [i / (PIVOTS + 1) for i in range(1, PIVOTS + 1)], 1000).alias("_p")).withColumn("_p", F.array_sort(F.array_distinct("_p"))))
         done = live.alias("r").join(hint(stats.filter(F.col("_n") <= small)).alias("s"), same("r", "s"), "left_semi")
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_x")) - 1  # ``small`` rows at most
-        found.append(targets.alias("t").join(done.withColumn("_nth", nth).alias("s"), same("t", "s") & (F.col("t.rank") == F.col("s._nth"))).select(*[f"t.{b}" for b in by], "t.name", F.col("s._x").alias("value")))
+        upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))  # ``small`` rows at most
+        found.append(targets.alias("t").join(done.withColumn("_upto", upto).alias("s"), same("t", "s") & (F.col("t.rank") < F.col("s._upto")) & (F.col("t.rank") >= F.col("s._upto") - F.col("s._c"))).select(*[f"t.{b}" for b in by], "t.name", F.col("s._x").alias("value")))
         large = stats.filter(F.col("_n") > small)
         if large.isEmpty():
             break
         place = F.size(F.filter("_p", lambda p: p < F.col("_x")))
-        split = live.alias("r").join(hint(large).alias("s"), same("r", "s")).select(*[F.col(f"r.{k}") for k in keys], F.col("r._x").alias("_x"), F.col("s._p").alias("_p")).withColumn("_b", place)
-        counts = split.groupBy(*keys, "_b").agg(F.count("*").alias("_k"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+        split = live.alias("r").join(hint(large).alias("s"), same("r", "s")).select(*[F.col(f"r.{k}") for k in keys], F.col("r._x").alias("_x"), F.col("r._c").alias("_c"), F.col("s._p").alias("_p")).withColumn("_b", place)
+        counts = split.groupBy(*keys, "_b").agg(F.sum("_c").alias("_k"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
         w = Window.partitionBy(*keys).orderBy("_b")  # a row for each pivot
         parts = _kept(counts.withColumn("_before", F.sum("_k").over(w) - F.col("_k")))
         hit = targets.alias("t").join(parts.alias("s"), same("t", "s") & (F.col("t.rank") >= F.col("s._before")) & (F.col("t.rank") < F.col("s._before") + F.col("s._k")))
@@ -60,7 +61,7 @@ def order_statistics(df: DataFrame, by: list[str], x: str, at: Mapping[str, Call
         match = reduce(lambda p, q: p & q, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True)) & (F.col("_x") >= F.col("_from")) & (F.col("_x") <= F.col("_to"))
         if targets.isEmpty():
             break
-        live = _kept(live.drop("lo", "hi").join(hint(inside), match).select(*by, "_x", F.col("_from").alias("lo"), F.col("_to").alias("hi")))
+        live = _kept(live.drop("lo", "hi").join(hint(inside), match).select(*by, "_x", "_c", F.col("_from").alias("lo"), F.col("_to").alias("hi")))
     values = reduce(DataFrame.unionByName, found).groupBy(*by).pivot("name", list(at)).agg(F.first("value"))
     return sizes.select(*by, "n").alias("n").join(values.alias("v"), reduce(lambda p, q: p & q, [F.col(f"n.{b}").eqNullSafe(F.col(f"v.{b}")) for b in by], F.lit(True)), "left").select(*[f"n.{b}" for b in by], "n.n", *[f"v.{k}" for k in at])
 
