@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from ..functions import braces, grading
 from ..functions import text as T
 from ..operators import records, reward, rules, select
+from ..shared import dealt
 from .templates import NUMBERS, TEMPLATES, column
 
 class Cases(NamedTuple):
-    """given and wanted: columns as DDL; work: the wanted columns from the given ones."""
+    """given and wanted: columns as DDL; work: the wanted columns from the given ones; steps: what several of them need, which the query makes a column of first."""
 
     given: str
     wanted: str
     work: Callable[[DataFrame], dict[str, Column]]
+    steps: Callable[[], dict[str, Column]] = dict
 
 
 def names(ddl: str) -> list[tuple[str, str]]:
@@ -33,9 +35,9 @@ def query(name: str, cases: Cases) -> Callable:
     rows = TEMPLATES[name]
 
     def run(spark, d):
-        numbers = spark.read.parquet(f"{d}/part.parquet").selectExpr(*[f"{x} AS {k}" for k, x in NUMBERS.items()])
+        numbers = dealt(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_name", "p_brand"), "p_partkey").selectExpr(*[f"{x} AS {k}" for k, x in NUMBERS.items()])
         df = numbers.selectExpr("k AS case_id", *[f"{column(rows, i, kind, True)} AS {k}" for i, (k, kind) in enumerate(names(cases.given))])
-        return df.select("case_id", *[c.alias(k) for k, c in cases.work(df).items()])
+        return df.withColumns(cases.steps()).select("case_id", *[c.alias(k) for k, c in cases.work(df).items()])
 
     return run
 
@@ -97,7 +99,7 @@ TABLES: dict[str, Cases] = {
     # ---- cleaning
     "abrupt_tails": Cases("t string", "abrupt boolean, code boolean, noise boolean", lambda df: {"abrupt": T.ends_abruptly("t"), "code": T.is_code("t"), "noise": T.has_noise("t")}),
     "cut_at_noise": Cases("t string", "cut string, earliest string", lambda df: {"cut": T.cut_at_noise("t"), "earliest": T.earliest(F.lower("t"), T.NOISE)["phrase"]}),
-    "clean_traces": Cases("t string", "words long, reason string, phrase string", lambda df: {"words": T.word_count(T.clean_trace("t")["text"]).cast("long"), "reason": T.clean_trace("t")["reason"], "phrase": T.clean_trace("t")["phrase"]}),
+    "clean_traces": Cases("t string", "words long, reason string, phrase string", lambda df: _traced(_step(df, "_trace", T.clean_trace("t"))), lambda: {"_trace": T.clean_trace("t")}),
     "answer_tails": Cases("t string", "without string", lambda df: {"without": T.drop_answer_tail("t")}),
     "stage0_texts": Cases("t string", "clean string", lambda df: {"clean": T.stage0_clean("t")}),
     "letter_sentences": Cases("t string", "without string", lambda df: {"without": T.drop_letter_sentence("t")}),
@@ -126,6 +128,15 @@ TABLES: dict[str, Cases] = {
 }
 
 
+def _step(df: DataFrame, name: str, column: Column) -> Column:
+    """A step's column where it was made, else what it is made of."""
+    return F.col(name) if name in df.columns else column
+
+
+def _traced(trace: Column) -> dict[str, Column]:
+    return {"words": T.word_count(trace["text"]).cast("long"), "reason": trace["reason"], "phrase": trace["phrase"]}
+
+
 def _parts():
     @F.pandas_udf("boolean")
     def run(pred: pd.Series, gold: pd.Series) -> pd.Series:

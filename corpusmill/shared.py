@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +29,10 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over four tasks a core at least: a small file of few row groups is read by few tasks, and what follows takes much longer than reading."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return df.repartition(4 * tasks, *keys)
