@@ -17,3 +17,7 @@ def test_clean_traces(spark):
     df = cases.QUERIES["clean_traces"](spark, SF)
     assert optimized(df).count("</?think>") == 1
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_shortest_traces(spark):
+    assert optimized(cases.QUERIES["shortest_traces"](spark, SF)).count("</?think>") == 1
