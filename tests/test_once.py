@@ -21,3 +21,9 @@ def test_clean_traces(spark):
 
 def test_shortest_traces(spark):
     assert optimized(cases.QUERIES["shortest_traces"](spark, SF)).count("</?think>") == 1
+
+
+def test_verified_generations(spark):
+    df = cases.QUERIES["verified_generations"](spark, SF)
+    assert optimized(df).count("</?think>") == 1
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
