@@ -34,5 +34,5 @@ def remove(spark: SparkSession, path: str) -> None:
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """The rows over four tasks a core at least: a small file of few row groups is read by few tasks, and what follows takes much longer than reading."""
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    return df.repartition(4 * tasks, *keys)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return df.repartition(tasks, *keys)
