@@ -31,3 +31,9 @@ def test_once(spark, monkeypatch, name):
     got = grading.of_kind_udf(kind).func(pd.Series([PAIRS[kind][0], "?", PAIRS[kind][0], None] * 50), pd.Series([PAIRS[kind][1]] * 200))
     assert got.tolist() == [True, False, True, False] * 50 and len(calls) == 3
     assert cases.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_plus_minus_once(monkeypatch):
+    calls = counted(monkeypatch, grading, "same_list")
+    got = grading.same_udf.func(pd.Series([r"\pm 2", r"\pm 3"] * 50), pd.Series(["-2, 2"] * 100))
+    assert got.tolist() == [True, False] * 50 and len(calls) == 2
