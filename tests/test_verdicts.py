@@ -7,7 +7,7 @@ from corpusmill.functions import grading
 from corpusmill.plans import cases
 
 SF = "/root/testdata/sf0.001"
-KINDS = {"grade_lists": "UOL", "grade_equations": "EQ", "grade_ordered_lists": "OL", "grade_expressions": "EX", "grade_intervals": "INT", "grade_numeric": "NV", "grade_letters": "MCM"}
+KINDS = {"grade_lists": "UOL", "grade_equations": "EQ", "grade_ordered_lists": "OL", "grade_expressions": "EX", "grade_intervals": "INT", "grade_numeric": "NV", "grade_letters": "MCM", "grade_choices": "MCS"}
 
 
 def counted(monkeypatch, owner, name, by_key=False):
