@@ -37,3 +37,9 @@ def test_plus_minus_once(monkeypatch):
     calls = counted(monkeypatch, grading, "same_list")
     got = grading.same_udf.func(pd.Series([r"\pm 2", r"\pm 3"] * 50), pd.Series(["-2, 2"] * 100))
     assert got.tolist() == [True, False] * 50 and len(calls) == 2
+
+
+def test_kinds_once(monkeypatch):
+    calls = counted(monkeypatch, grading, "judge")
+    got = grading.typed_udf().func(pd.Series([r"\boxed{1, BA}", "none"] * 50), pd.Series([["1.0", "AB"], None] * 50), pd.Series([["NV", "MCM"]] * 100))
+    assert got.tolist() == [True, False] * 50 and len(calls) == 2
