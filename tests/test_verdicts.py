@@ -13,9 +13,9 @@ KINDS = {"grade_lists": "UOL", "grade_equations": "EQ", "grade_ordered_lists": "
 def counted(monkeypatch, owner, name, by_key=False):
     calls, real = [], owner[name] if by_key else getattr(owner, name)
 
-    def fn(*args):
+    def fn(*args, **named):
         calls.append(args)
-        return real(*args)
+        return real(*args, **named)
 
     monkeypatch.setitem(owner, name, fn) if by_key else monkeypatch.setattr(owner, name, fn)
     return calls
