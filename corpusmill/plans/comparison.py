@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra, braces
 from ..operators import matching
+from ..shared import dealt
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ _PART = {
 
 
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "part").selectExpr(*[f"{x} AS {k}" for k, x in _PART.items()], "p_name")
+    return dealt(_t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_name"), "p_partkey").selectExpr(*[f"{x} AS {k}" for k, x in _PART.items()], "p_name")
 
 
 _NUMBERS = f"(SELECT {', '.join(f'{x} AS {k}' for k, x in _PART.items())} FROM part)"
