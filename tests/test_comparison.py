@@ -7,3 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_equal_expressions(spark):
     assert comparison.QUERIES["equal_expressions"](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_equal_equations(spark):
+    assert comparison.QUERIES["equal_equations"](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
