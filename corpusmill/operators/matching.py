@@ -7,13 +7,16 @@ alternating trees from all parts without a partner, level by level, in joins on
 part); each right part is claimed by one tree, so the paths that are found have no part in
 common and are turned together. When a round finds no path in a group, its matching is as
 large as any. A group's work is dealt out by its parts, however large it is.
+
+Numbers within one tolerance need no search: in order of size, each takes the first that is
+left for it. ``same_numbers`` does this for a group in one row, unless the group is large.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
@@ -67,6 +70,44 @@ def maximum_matching(edges: DataFrame) -> DataFrame:
         live = live.join(paths.select("g").distinct(), "g", "left_semi")  # the others have the largest matching
 
 
+#: Parts of a group, of both lists together, that are held in one row.
+ROW_PARTS = 20_000
+_PAIRED = "named_struct('i', 0, 'j', 0, 'n', 0L)"
+
+
+def _paired(xs: Column, ys: Column, tolerance: float) -> Column:
+    """How many numbers of two sorted arrays can be paired within a tolerance: the smaller one of two that are too far apart has no partner among those that follow."""
+
+    def step(s: Column, _: Column) -> Column:
+        x, y = F.get(xs, s["i"]), F.get(ys, s["j"])
+        near = F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
+        return F.struct((s["i"] + (near | (x < y)).cast("int")).alias("i"), (s["j"] + (near | (x > y)).cast("int")).alias("j"), (s["n"] + near.cast("long")).alias("n"))
+
+    over = lambda s: (s["i"] >= F.size(xs)) | (s["j"] >= F.size(ys))
+    steps = F.sequence(F.lit(0), F.size(xs) + F.size(ys))
+    return F.aggregate(steps, F.expr(_PAIRED), lambda s, i: F.when(over(s), s).otherwise(step(s, i)), lambda s: s["n"])
+
+
+def same_numbers(left: DataFrame, right: DataFrame, tolerance: float, row_parts: int = ROW_PARTS) -> DataFrame:
+    """As ``same_lists`` of numbers x of ``left`` (g, l, x) and y of ``right`` (g, r, y) that are the same within ``tolerance``, in one shuffle; groups of more than ``row_parts`` parts go through the rounds. An l and an r name one part of a group."""
+    side = lambda df, k, v, is_left: df.select("g", F.lit(is_left).alias("_left"), F.col(k).alias("_k"), F.col(v).cast("double").alias("_v"))
+    parts = side(left, "l", "x", True).unionByName(side(right, "r", "y", False))
+    large = _kept(parts.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > row_parts).select("g"))
+    rest = None
+    if not large.isEmpty():
+        parts = parts.join(large, "g", "left_anti")
+        some, others = left.join(large, "g", "left_semi"), right.join(large, "g", "left_semi")
+        rest = same_lists(some, others, edges_within(some, others, tolerance, 0.0))
+    finite = (F.abs("_v") < float("inf")) & F.col("g").isNotNull()
+    mine = lambda is_left: F.col("_left") == is_left
+    values = lambda is_left: F.sort_array(F.collect_list(F.when(mine(is_left) & finite, F.col("_v"))))
+    grouped = parts.groupBy("g", F.when(F.col("g").isNull(), F.col("_left")).alias("_own")).agg(  # lists without a group aren't compared
+        F.count(F.when(mine(True), F.col("_k"))).alias("n_left"), F.count(F.when(mine(False), F.col("_k"))).alias("n_right"), values(True).alias("_xs"), values(False).alias("_ys"),
+    )
+    out = grouped.select("g", "n_left", "n_right", _paired(F.col("_xs"), F.col("_ys"), max(float(tolerance), 1e-12)).alias("n_matched")).withColumn("same", (F.col("n_left") == F.col("n_matched")) & (F.col("n_right") == F.col("n_matched")))
+    return out if rest is None else out.unionByName(rest)
+
+
 def same_lists(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
     """For each group of ``left`` (g, l) or ``right`` (g, r): n_left, n_right, n_matched, and whether all parts are paired."""
     count = lambda df, k, name: df.groupBy("g").agg(F.count(k).alias(name))

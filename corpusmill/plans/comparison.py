@@ -64,7 +64,7 @@ def unordered_lists(spark: SparkSession, d: str) -> DataFrame:
     items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.row_number().over(w).cast("long").alias("i"), "l_quantity", "l_partkey")
     left = items.select("g", F.col("i").alias("l"), (F.col("l_quantity") + (F.col("l_partkey") % 7 - 3) * 0.5).alias("x"))
     right = items.select("g", (-F.col("i")).alias("r"), F.col("l_quantity").cast("double").alias("y"))
-    return matching.same_lists(left, right, matching.edges_within(left, right, 1.0, 0.0)).select(F.col("g").alias("l_orderkey"), F.col("n_left").alias("n_parts"), "same")
+    return matching.same_numbers(left, right, 1.0).select(F.col("g").alias("l_orderkey"), F.col("n_left").alias("n_parts"), "same")
 
 
 #: Of numbers and one tolerance, sorted parts can be paired if any can.

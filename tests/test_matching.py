@@ -52,3 +52,22 @@ def test_odd(spark):
     left, right = spark.createDataFrame([(1, 0, None), (1, 1, -5.0), (2, 0, 0.0)], "g long, l long, x double"), spark.createDataFrame([(1, 0, None), (1, 1, -5.01), (2, 0, 0.0), (3, 0, 1.0)], "g long, r long, y double")
     got = {r.g: (r.n_left, r.n_right, r.n_matched, r.same) for r in matching.same_lists(left, right, matching.edges_within(left, right, 0.0, 0.01)).collect()}
     assert got == {1: (2, 2, 1, False), 2: (1, 1, 1, True), 3: (0, 1, 0, False)}
+
+
+def test_same_numbers(spark):
+    """One row a group, and the rounds for the groups that are too large for it, against all permutations; no rounds without such groups."""
+    rnd, left, right, want = random.Random(5), [(90, 0, None), (90, 1, float("nan")), (91, 0, float("inf")), (None, 0, 1.0)], [(90, 0, None), (90, 1, 2.0), (91, 0, float("inf")), (None, 0, 1.0)], {90: (2, 2, 0), 91: (1, 1, 0)}
+    for g in range(60):
+        xs, ys = ([round(rnd.uniform(0, 1.2), 2) for _ in range(rnd.randint(0, 6))] for _ in range(2))
+        left += [(g, i, x) for i, x in enumerate(xs)]
+        right += [(g, i, y) for i, y in enumerate(ys)]
+        if xs or ys:
+            want[g] = (len(xs), len(ys), largest(xs, ys, lambda x, y: abs(x - y) <= 0.1))
+    left, right = spark.createDataFrame(left, "g long, l long, x double").repartition(3), spark.createDataFrame(right, "g long, r long, y double").repartition(2)
+    for row_parts in (8, 1000):
+        rows = matching.same_numbers(left, right, 0.1, row_parts).collect()
+        assert {r.g: (r.n_left, r.n_right, r.n_matched) for r in rows if r.g is not None} == want
+        assert sorted((r.n_left, r.n_right, r.same) for r in rows if r.g is None) == [(0, 1, False), (1, 0, False)]
+        assert all(r.same == (r.n_left == r.n_right == r.n_matched) for r in rows)
+    plan = matching.same_numbers(left, right, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
