@@ -21,8 +21,10 @@ document. A null text is empty, and an empty one still has its END. Repeated row
 of their own. Columns other than doc_id and text aren't looked at. An empty table gives
 a table and blocks without rows.
 
-A text is cut before spaces that are followed by something else, where a byte-level tokenizer
-always starts anew; parts are encoded once and memoised. Other tokenizers get whole texts.
+Texts are cut where a byte-level tokenizer always starts anew: before spaces that are followed by
+something else, and between Latin letters, ASCII digits, marks and white space. Cuts are found in the
+bytes of all texts of a chunk together, equal parts are encoded once and memoised. Texts that hold
+a token of the tokenizer's own, and other tokenizers, get whole texts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +57,45 @@ MAGIC = b"RANS"
 _HEAD = struct.Struct("<4s8q")
 #: Parts of texts that a Python worker remembers, and how long they are at most.
 MEMO, MEMO_CHARS = 600_000, 48
-_CUT = re.compile(r" (?=\S)")
-#: Parts that are encoded together.
-TOGETHER = 4000
+#: A word that a byte-level tokenizer doesn't take apart before its model does, and the characters that stand for bytes in the model.
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: Kinds of bytes: the space, other white space, letters, digits, marks, the apostrophe (which contractions begin with), and what is left (no ASCII character that is seen). Letters are those of ASCII here; `cuts` adds Latin ones.
+_SPACE, _WHITE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(7)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39], _KIND[32], _KIND[9:14] = _APOSTROPHE, _SPACE, _WHITE
+#: By 8 times the kind of the byte before and the kind of a byte: whether a tokenizer starts anew between them, whatever else there is.
+_APART = np.zeros(64, bool)
+_APART[[8 * a + b for a in (_LETTER, _DIGIT, _MARK) for b in (_LETTER, _DIGIT, _MARK) if a != b]] = True
+_APART[[8 * a + _APOSTROPHE for a in (_LETTER, _DIGIT)]] = True
+_APART[[8 * a + b for a in (_LETTER, _DIGIT, _MARK, _APOSTROPHE) for b in (_SPACE, _WHITE)]] = True
+_APART[[8 * _WHITE + b for b in (_LETTER, _DIGIT, _MARK, _APOSTROPHE)]] = True
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where parts of texts begin: the bytes of texts that end at ``ends``, one behind the other."""
+    kinds = _KIND[data]
+    latin = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))  # À to ſ, all of them letters but × and ÷
+    latin = latin[(data[latin] != 0xC3) | ((data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7))]
+    kinds[latin] = kinds[latin + 1] = _LETTER
+    seen = (kinds >= _LETTER) & (kinds <= _APOSTROPHE)  # whether a character that isn't white space begins there
+    far = np.flatnonzero(data > 0xC5)
+    pairs = data[far].astype(np.uint16) << 8 | data[np.minimum(far + 1, len(data) - 1)]
+    seen[far[~np.isin(pairs, (0xE19A, 0xE280, 0xE281, 0xE380))]] = True  # those begin with bytes that white space has, too
+    begins = np.zeros(len(data), bool)
+    begins[1:] = _APART[(kinds[:-1] << 3) + kinds[1:]]
+    before = kinds == _SPACE
+    before[:-1] &= seen[1:]
+    some = ends[np.diff(ends, prepend=0) > 0]
+    before[some - 1] = False  # what follows is another text
+    begins |= before
+    begins[0] = True
+    begins[some[:-1]] = True
+    return np.flatnonzero(begins)
 
 
 class Table:
@@ -194,43 +232,54 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.tok.get_vocab_size(), END + 1) <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.memo: dict[str, bytes] = {}
-        if self.cuts:
-            self.width = np.zeros(self.tok.get_vocab_size(), np.int64)
-            added = {i: len(t.content.encode()) for i, t in self.tok.get_added_tokens_decoder().items()}
-            for token, i in self.tok.get_vocab().items():
-                self.width[i] = added.get(i, len(token))  # a character of the vocabulary is a byte
+            file = json.load(f)
+        pre = file.get("pre_tokenizer") or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not file.get("normalizer")
+        self.own = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts, each with its space: encoded in one go, and taken apart by the bytes that ids stand for."""
-        found = {}
-        for a in range(0, len(parts), TOGETHER):
-            some = parts[a : a + TOGETHER]
-            ids = np.array(self.tok.encode_batch_fast(["".join(" " + p for p in some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) + 1 for p in some])) + 1
-            data, size, begin = ids.tobytes(), self.kind.itemsize, 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                found[p] = data[begin * size : end * size]
-                begin = end
-        return found
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        data, bounds = np.fromiter(chain.from_iterable(ids), self.kind).tobytes(), [0, *accumulate(len(x) * self.kind.itemsize for x in ids)]
+        return [data[a:b] for a, b in pairwise(bounds)]
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts that differ from each other; what a worker remembers stays, as frequent parts come early."""
+        out = list(map(self.memo.get, parts))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        others, model = [], self.tok.model
+        for i in new:
+            if _WORD.fullmatch(parts[i].decode()):
+                out[i] = np.array([x.id for x in model.tokenize(parts[i].decode("latin-1").translate(_BYTES))], self.kind).tobytes()
+            else:
+                others.append(i)
+        for i, ids in zip(others, self._encode([parts[i].decode() for i in others]), strict=True):
+            out[i] = ids
+        room = MEMO - len(self.memo)
+        self.memo.update((parts[i], out[i]) for i in islice((i for i in new if len(parts[i]) <= MEMO_CHARS), max(0, room)))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [x + self.end for x in self._encode(texts)]
-        cut = [_CUT.split(t) for t in texts]
-        found = self._learn(sorted(set().union(*cut).difference(self.memo)))
-        self.memo.update(found)
-        get = self.memo.__getitem__
-        heads = self._encode([parts[0] for parts in cut])
-        out = [head + b"".join(map(get, parts[1:])) + self.end for head, parts in zip(heads, cut, strict=True)]
-        room = MEMO - len(self.memo) + len(found)  # what came first stays: frequent parts come early
-        for p in chain(filter(lambda p: len(p) > MEMO_CHARS, found), islice(filter(lambda p: len(p) <= MEMO_CHARS, found), max(0, room), None)):
-            del self.memo[p]
+        whole = [i for i, t in enumerate(texts) if any(own in t for own in self.own)]
+        kept = set(whole)
+        raw = [b"" if i in kept else t.encode() for i, t in enumerate(texts)]
+        data, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        out = [self.end] * len(texts)
+        if data:
+            starts = cuts(np.frombuffer(data, np.uint8), ends)
+            parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+            found, at = self._parts(parts.dictionary.to_pylist()), parts.indices.to_numpy()
+            size = self.kind.itemsize
+            n = np.fromiter(map(len, found), np.int64, len(found)) // size
+            ids, first, each = np.frombuffer(b"".join(found), self.kind), np.cumsum(n) - n, n[at]
+            upto = np.append(0, np.cumsum(each))
+            ids = ids[np.repeat(first[at] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+            bounds = (size * upto[np.searchsorted(starts, np.append(0, ends))]).tolist()
+            out = [ids[a:b] + self.end for a, b in pairwise(bounds)]
+        for i, x in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = x + self.end
         return out
 
 
@@ -289,8 +338,7 @@ def _blocks(freqs: dict[int, int], block: int):
             return pa.RecordBatch.from_pylist([{"shard": held[0]["shard"], "first": held[0]["start"], "n_tokens": len(ids), "n_docs": len(held), "frame": frame}], schema)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
+            for r in (r for a, b in C.runs_of(C.sizes_of(C.column(batch, "ids"))) for r in batch.slice(a, b - a).to_pylist()):
                 if held and ((r["shard"], r["seq"]) != after or size >= block):
                     yield flush()
                     held, size = [], 0
@@ -334,7 +382,9 @@ def _read(freqs: dict[int, int], with_ids: bool):
                 starts, data = ends - frame.lengths, memoryview(ids.astype("<u4", copy=False).tobytes())
                 cuts = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 out = [pa.array(frame.doc_ids, pa.int64()), pa.array(starts + frame.first + batch.column(0)[i].as_py()), pa.array(frame.lengths), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out + [pa.array([bytes(x) for x in cuts], pa.binary())] * with_ids, names=names)
+                if with_ids:
+                    out.append(pa.array([bytes(x) for x in cuts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
