@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 PRIME = (1 << 31) - 1
 #: Seeds of the points in the field, and of those among real numbers; each of the latter comes with its mirror image.
 FIELD, REAL = (11, 12), (21, -21, 22, -22, 23, -23)
@@ -34,13 +36,27 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 }
 _NAMES = "|".join(sorted(FUNCTIONS, key=len, reverse=True))
 _TOKEN = rf"(\d+\.?\d*|\.\d+|{_NAMES}|pi|\^\(-?\d{{1,4}}\)|\^\d{{1,4}}(?![\d.])|[A-Za-z]|[-+*/^()])"
-_PLAIN = {r"\\(?:left|right|displaystyle|,|;|!|:|quad)": "", r"\\(?:cdot|times)": "*", r"\\div(?![a-z])": "/", r"\\(?:dfrac|tfrac)": r"\\frac", r"\*\*": "^", "[−–]": "-", "×": "*", r"\\frac\s*(\d)\s*(\d)": r"\\frac{$1}{$2}", r"\\frac\s*(\d)\s*\{": r"\\frac{$1}{", r"\\sqrt\s*(\d)": r"\\sqrt{$1}"}
+_COMMANDS = {r"\\(?:left|right|displaystyle|,|;|!|:|quad)": "", r"\\(?:cdot|times)": "*", r"\\div(?![a-z])": "/", r"\\(?:dfrac|tfrac)": r"\\frac"}
+_SIGNS = {"**": "^", "−": "-", "–": "-", "×": "*"}
+_SHORT = {r"\\frac\s*(\d)\s*(\d)": r"\\frac{$1}{$2}", r"\\frac\s*(\d)\s*\{": r"\\frac{$1}{", r"\\sqrt\s*(\d)": r"\\sqrt{$1}"}
+
+
+def _replaced(x: Column, patterns: dict[str, str]) -> Column:
+    """Patterns of commands are looked for only in texts with a backslash."""
+    out = x
+    for pattern, instead in patterns.items():
+        out = F.regexp_replace(out, pattern, instead)
+    return F.when(F.contains(x, F.lit("\\")), out).otherwise(x)
+
 
+def _signs(x: Column) -> Column:
+    for sign, instead in _SIGNS.items():
+        x = F.replace(x, F.lit(sign), F.lit(instead))
+    return x
 
-def _rewritten(x: Column) -> Column:
+
+def _rounded(x: Column) -> Column:
     """Braces become round brackets, innermost first, and fractions quotients."""
-    for pattern, instead in _PLAIN.items():
-        x = F.regexp_replace(x, pattern, instead)
 
     def once(t: Column, _: Column) -> Column:
         t = F.regexp_replace(t, r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", "(($1)/($2))")
@@ -48,9 +64,18 @@ def _rewritten(x: Column) -> Column:
         return t
 
     rounds = F.regexp_count(x, F.lit(r"\{"))
-    t = F.when(rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), x, once)).otherwise(x)
-    t = F.regexp_replace(F.regexp_replace(t, r"\\([a-zA-Z]+)", "$1"), r"\s+", "")
-    return F.regexp_replace(t, rf"({_NAMES})\^\(?(\d+)\)?\(([^()]*)\)", "($1($3))^($2)")
+    return F.when(F.contains(x, F.lit("{")), F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), x, once)).otherwise(x)
+
+
+def _powers(t: Column) -> Column:
+    """A function's power before its argument stands behind it."""
+    return F.when(F.contains(t, F.lit("^")), F.regexp_replace(t, rf"({_NAMES})\^\(?(\d+)\)?\(([^()]*)\)", "($1($3))^($2)")).otherwise(t)
+
+
+#: From a text to the spelling that tokens are found in; each step needs its text more than once.
+_REWRITTEN = (
+    lambda t: _replaced(t, _COMMANDS), _signs, lambda t: _replaced(t, _SHORT), _rounded, lambda t: F.regexp_replace(_replaced(t, {r"\\([a-zA-Z]+)": "$1"}), r"\s+", ""), _powers,
+)
 
 
 def _found(t: Column) -> Column:
@@ -59,8 +84,8 @@ def _found(t: Column) -> Column:
 
 def _spelled(t: Column, found: Column) -> Column:
     """Tokens with a ``*`` between things side by side and ``~`` for a sign; null if something is left over."""
-    ends = lambda a: F.rlike(a, F.lit(r"^(\d.*|\.\d+|pi|[A-Za-z]|\)|\^.+)$"))
-    begins = lambda a: F.rlike(a, F.lit(r"^(\d.*|\.\d+|[A-Za-z]+|\()$"))
+    ends = lambda a: ~a.isin("+", "-", "*", "/", "^", "(", *FUNCTIONS)
+    begins = lambda a: ~(a.isin("+", "-", "*", "/", ")") | F.startswith(a, F.lit("^")))
     none = F.array().cast("array<string>")
 
     def spelled(a: Column, i: Column) -> Column:
@@ -101,7 +126,14 @@ def _postfix(ts: Column) -> Column:
     return F.aggregate(ts, F.expr(_START), step, lambda acc: F.concat(acc["out"], acc["ops"]))
 
 
-_NUMBER, _POWER = r"^(\d|\.)", r"^\^\(?-?\d"
+def _is_power(t: Column) -> Column:
+    """Of tokens that are no operators."""
+    return F.startswith(t, F.lit("^"))
+
+
+def _is_number(t: Column) -> Column:
+    """Of tokens that are numbers, letters or pi: digits and the point come before letters."""
+    return t < F.lit("A")
 
 
 def _machine(post: Column, kind: str, number: Callable, variable: Callable, unary: Callable, power: Callable, binary: Callable) -> Column:
@@ -112,27 +144,39 @@ def _machine(post: Column, kind: str, number: Callable, variable: Callable, unar
         below = lambda k: F.slice(stack, k + 1, F.size(stack))
         two, one = t.isin("+", "-", "*", "/", "^"), t.isin(*FUNCTIONS, "~")
         put = lambda x, rest: F.array_prepend(rest, x.cast(kind))
-        return F.when(two, put(binary(t, b, a), below(2))).when(one, put(unary(t, a), below(1))).when(F.rlike(t, F.lit(_POWER)), put(power(a, F.regexp_extract(t, r"(-?\d+)", 1).cast("int")), below(1))).when(F.rlike(t, F.lit(_NUMBER)), put(number(t), stack)).otherwise(put(variable(t), stack))
+        return F.when(two, put(binary(t, b, a), below(2))).when(one, put(unary(t, a), below(1))).when(_is_power(t), put(power(a, F.regexp_extract(t, r"(-?\d+)", 1).cast("int")), below(1))).when(_is_number(t), put(number(t), stack)).otherwise(put(variable(t), stack))
 
     return F.aggregate(post, F.array().cast(f"array<{kind}>"), step, lambda stack: F.when(F.size(stack) == 1, F.get(stack, F.lit(0))))
 
 
 def _even(post: Column) -> Column:
     """Whether every operation finds what it needs and one value is left."""
-    takes = lambda t: F.when(t.isin("+", "-", "*", "/", "^"), 2).when(t.isin(*FUNCTIONS, "~") | F.rlike(t, F.lit(_POWER)), 1).otherwise(0)
+    takes = lambda t: F.when(t.isin("+", "-", "*", "/", "^"), 2).when(t.isin(*FUNCTIONS, "~") | _is_power(t), 1).otherwise(0)
     return F.aggregate(post, F.lit(0), lambda n, t: F.when((n < takes(t)) | (n < 0), -1).otherwise(n + 1 - takes(t))) == 1
 
 
 def power_mod(a: Column, n: Column) -> Column:
-    """a to the n-th in the field, by squaring."""
+    """a to the n-th in the field, by squaring; as many steps as n has binary digits."""
     start = F.struct(F.lit(1).cast("long").alias("r"), a.cast("long").alias("b"))
-    step = lambda s, i: F.struct(F.when(F.call_function("shiftright", n.cast("long"), i).bitwiseAND(F.lit(1).cast("long")) == 1, s["r"] * s["b"] % PRIME).otherwise(s["r"]).alias("r"), (s["b"] * s["b"] % PRIME).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), start, step, lambda s: s["r"])
+
+    def power(n: Column) -> Column:
+        step = lambda s, i: F.struct(F.when(F.call_function("shiftright", n, i).bitwiseAND(F.lit(1).cast("long")) == 1, s["r"] * s["b"] % PRIME).otherwise(s["r"]).alias("r"), (s["b"] * s["b"] % PRIME).alias("b"))
+        return F.aggregate(F.when(n < 8, F.sequence(F.lit(0), F.lit(2))).otherwise(F.sequence(F.lit(0), F.lit(30))), start, step, lambda s: s["r"])
+
+    return let(n.cast("long"), power)
 
 
 def inverse(a: Column) -> Column:
-    """1 / a in the field; null for 0."""
-    return F.when(a != 0, power_mod(a, F.lit(PRIME - 2)))
+    """1 / a in the field; null for 0. The power of PRIME - 2 by runs of ones: from 1, 2, 4, 8 and 16 of them to 29."""
+    squared = lambda x, k: F.aggregate(F.sequence(F.lit(1), F.lit(k)), x, lambda r, _: r * r % PRIME)
+    longer = lambda x, k, y: squared(x, k) * y % PRIME
+
+    def power(a: Column) -> Column:
+        to_29 = lambda one, four, eight: lambda sixteen: let(longer(longer(longer(sixteen, 8, eight), 4, four), 1, one), lambda x: longer(x, 2, one))
+        to_16 = lambda four: let(longer(four, 4, four), lambda eight: let(longer(eight, 8, eight), to_29(a, four, eight)))
+        return let(longer(a, 1, a), lambda two: let(longer(two, 2, two), to_16))
+
+    return let(a.cast("long"), lambda a: F.when(a != 0, power(a)))
 
 
 def in_field(post: Column) -> Column:
@@ -146,7 +190,7 @@ def _in_field(post: Column, seed: Column) -> Column:
     def number(t: Column) -> Column:
         digits = F.replace(t, F.lit("."), F.lit("")).try_cast("long") % PRIME
         places = F.length(F.regexp_extract(t, r"\.(\d*)", 1))
-        return F.when(places > 0, digits * power_mod(F.lit(pow(10, -1, PRIME)), places) % PRIME).otherwise(digits)
+        return F.when(F.contains(t, F.lit(".")), digits * power_mod(F.lit(pow(10, -1, PRIME)), places) % PRIME).otherwise(digits)
 
     def binary(t: Column, x: Column, y: Column) -> Column:
         return F.when(t == "+", (x + y) % PRIME).when(t == "-", F.pmod(x - y, F.lit(PRIME))).when(t == "*", x * y % PRIME).when(t == "/", x * inverse(y) % PRIME).otherwise(F.when(x.isNotNull() & y.isNotNull(), hashed(F.lit("^"), x, y)))
@@ -201,7 +245,7 @@ def _all(xs: Column, test: Callable[[Column], Column]) -> Column:
 def with_postfix(df: DataFrame, texts: list[Column], name: str = "_p") -> DataFrame:
     """Adds an array of the texts in postfix order; null where the grammar doesn't hold one. Each step is a projection of its own, since the next needs it more than once."""
     steps = [
-        _rewritten, lambda t: F.struct(t.alias("t"), _found(t).alias("found")), lambda s: _spelled(s["t"], s["found"]), _postfix, lambda p: F.when(~F.array_contains(p, "(") & _even(p), p),
+        *_REWRITTEN, lambda t: F.struct(t.alias("t"), _found(t).alias("found")), lambda s: _spelled(s["t"], s["found"]), _postfix, lambda p: F.when(~F.array_contains(p, "(") & _even(p), p),
     ]
     df = df.withColumn(name, F.array(*texts))
     for step in steps:
@@ -257,15 +301,16 @@ def with_equal_equations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> Da
     ready, found = _valued(both, at, len(names)), {}
     small = lambda q: (q <= LARGEST_FACTOR) | (q >= PRIME - LARGEST_FACTOR)
     whole = lambda x: (F.abs(x) > 0.5) & (F.abs(x - F.round(x)) <= RELATIVE * F.abs(x))
-    for k, (i, j) in enumerate(at):  # quotients one way and the other, and ratios at the real points
+    for k, (i, j) in enumerate(at):  # ratios at the real points
         points = F.filter(_pair(i, j)[2], lambda p: (F.abs(p["x"]) > 1e-9) & (F.abs(p["y"]) > 1e-9))
-        ready = ready.withColumns({f"_q{k}": F.zip_with(_at("_f", i), _at("_f", j), lambda x, y: F.struct((x * inverse(y) % PRIME).alias("q"), (y * inverse(x) % PRIME).alias("r"))), f"_x{k}": F.transform(points, lambda p: F.try_divide(p["x"], p["y"]))})
+        ready = ready.withColumn(f"_x{k}", F.transform(points, lambda p: F.try_divide(p["x"], p["y"])))
     for k, (name, (i, j)) in enumerate(zip(pairs, at, strict=True)):
         held, equal, _ = _pair(i, j)
-        q, first = F.col(f"_q{k}"), _at(f"_x{k}", 0)
-        same = (q[0]["q"] == q[1]["q"]) & (small(q[0]["q"]) | small(q[0]["r"]))
-        zero = (_at("_f", i)[0] == 0) | (_at("_f", j)[0] == 0)
+        first, (x, y) = _at(f"_x{k}", 0), ([F.get(_at("_f", n), F.lit(m)) for m in (0, 1)] for n in (i, j))
+        either = let(inverse(x[0] * y[0] % PRIME), lambda v, x=x[0], y=y[0]: small(x * x % PRIME * v % PRIME) | small(y * y % PRIME * v % PRIME))  # the quotient one way and the other
+        same = (y[1] != 0) & (x[0] * y[1] % PRIME == x[1] * y[0] % PRIME) & either
+        zero = (x[0] == 0) | (y[0] == 0)
         real = _all(F.col(f"_x{k}"), _near(first)) & (whole(first) | whole(F.try_divide(F.lit(1.0), first)))
         verdict = F.when(F.coalesce(zero, F.lit(False)), equal).when(F.coalesce(same, F.lit(False)), True).otherwise(~_at("_d", k) & real)
         found[name] = F.when(held, F.coalesce(verdict, F.lit(False)))
-    return ready.withColumns(found).drop(*_OWN, *[f"_{x}{k}" for k in range(len(at)) for x in "qx"])
+    return ready.withColumns(found).drop(*_OWN, *[f"_x{k}" for k in range(len(at))])

@@ -53,3 +53,14 @@ def test_postfix(spark):
     rows = [("a+b*c", "a b c * +"), ("(a+b)*c", "a b + c *"), ("-a^2", "a ^2 ~"), ("a-b-c", "a b - c -"), ("sin(a)b", "a sin b *"), ("2a^(b)", "2 a b ^ *"), ("a/b*c", "a b / c *")]
     df = algebra.with_postfix(spark.createDataFrame(rows, "t string, want string"), [F.col("t")])
     assert [" ".join(r._p[0]) for r in df.collect()] == [w for _, w in rows]
+
+
+def test_inverse(spark):
+    """No bits are looked at for an inverse, which every quotient of equations needs."""
+    p = algebra.PRIME
+    given = [0, 1, 2, p - 1, p - 2, 1 << 30, 123_456_789, None]
+    df = spark.createDataFrame([(a,) for a in given], "a long").select("a", algebra.inverse(F.col("a")).alias("i"), *[algebra.power_mod(F.col("a"), F.lit(n)).alias(f"p{n}") for n in (0, 1, 7, 8, 9999)])
+    assert spark.range(3).select(algebra.inverse(F.col("id")))._jdf.queryExecution().analyzed().toString().count("shiftright") == 0
+    for r in df.filter("a IS NOT NULL").collect():
+        assert r.i == (pow(r.a, -1, p) if r.a else None) and all(r[f"p{n}"] == pow(r.a, n, p) for n in (0, 1, 7, 8, 9999))
+    assert df.filter("a IS NULL AND i IS NULL").count() == 1
